@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenlake.llm import mixing, url_reputation
+from lumenlake.llm import decontaminate, mixing, quality, url_reputation
 from lumenlake.llm.common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -19,7 +27,9 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op3_decontaminate": op3_decontaminate,
     "op4_url_reputation": op4_url_reputation,
     "op10_mix_sources": op10_mix_sources,
 }
-ORACLES: dict[str, str] = {"op4_url_reputation": url_reputation.ORACLE, "op10_mix_sources": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE, "op4_url_reputation": url_reputation.ORACLE, "op10_mix_sources": mixing.ORACLE}
