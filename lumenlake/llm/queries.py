@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenlake.llm import chosen_path, decontaminate, mixing, quality, url_reputation
+from lumenlake.llm import chosen_path, decontaminate, mixing, quality, toxicity, url_reputation
 from lumenlake.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_decontaminate": op3_decontaminate,
     "op4_url_reputation": op4_url_reputation,
+    "op7_toxicity": op7_toxicity,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_mix_sources": op10_mix_sources,
 }
