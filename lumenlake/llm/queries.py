@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenlake.llm import chosen_path, decontaminate, mixing, quality, toxicity, url_reputation
+from lumenlake.llm import chosen_path, decontaminate, mixing, quality, secrets, toxicity, url_reputation
 from lumenlake.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_reputation": op4_url_reputation,
     "op7_toxicity": op7_toxicity,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_secrets": op9_secrets,
     "op10_mix_sources": op10_mix_sources,
 }
 ORACLES: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE, "op4_url_reputation": url_reputation.ORACLE, "op10_mix_sources": mixing.ORACLE}
