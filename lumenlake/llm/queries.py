@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenlake.llm import chosen_path, decontaminate, mixing, quality, secrets, toxicity, url_reputation
+from lumenlake.llm import chosen_path, decontaminate, mixing, parsing, quality, secrets, toxicity, url_reputation
 from lumenlake.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_decontaminate": op3_decontaminate,
     "op4_url_reputation": op4_url_reputation,
+    "op5_fingerprints": op5_fingerprints,
     "op7_toxicity": op7_toxicity,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_secrets": op9_secrets,
