@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenlake.llm import chosen_path, decontaminate, mixing, parsing, quality, secrets, toxicity, url_reputation
+from lumenlake.llm import chosen_path, decontaminate, html_text, mixing, parsing, quality, secrets, toxicity, url_reputation
 from lumenlake.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_url_reputation": op4_url_reputation,
     "op5_fingerprints": op5_fingerprints,
+    "op6_html_text": op6_html_text,
     "op7_toxicity": op7_toxicity,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_secrets": op9_secrets,
