@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenlake.llm import chosen_path, decontaminate, html_text, mixing, parsing, quality, secrets, toxicity, url_reputation
+from lumenlake.llm import chosen_path, decontaminate, html_text, mixing, parsing, quality, secrets, token_shards, toxicity, url_reputation
 from lumenlake.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.sequences(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,6 +52,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_token_shards": op2_token_shards,
     "op3_decontaminate": op3_decontaminate,
     "op4_url_reputation": op4_url_reputation,
     "op5_fingerprints": op5_fingerprints,
