@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from datetime import datetime
+from itertools import chain, groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from lumenlake.functions import telemetry as tel
 MAX_SPANS = 5000
 #: The least width of a bar, and the slack of logs after a trace's end and around a linked span.
 MIN_WIDTH, LOG_SLACK_US, LINK_SLACK_US = 0.5, 1_000_000, 86_400_000_000
-_TREE = "project string, trace_id string, span_id string, position int, depth int, is_orphan boolean, has_children boolean"
+_TREE = pa.schema([("project", pa.string()), ("trace_id", pa.string()), ("span_id", pa.string()), ("position", pa.int32()), ("depth", pa.int32()), ("is_orphan", pa.bool_()), ("has_children", pa.bool_())])
 
 
 def check_trace_id(trace_id: str) -> str:
@@ -44,10 +46,10 @@ def trace_summary(spans: DataFrame, cap: int = MAX_SPANS) -> DataFrame:
     return out.withColumn("duration_ns", F.greatest((F.unix_micros("end_ts") - F.unix_micros("start_ts")) * 1000, F.lit(0)))
 
 
-def _ordered(spans: pd.DataFrame) -> list[tuple[str, int, bool, bool]]:
+def depth_first(ids: list[str], parents: list[str | None]) -> list[tuple[str, int, bool, bool]]:
     """(span_id, depth, is_orphan, has_children) in depth-first order; spans sorted by (ts, span_id), ids unique."""
-    ids, parents = spans["span_id"].tolist(), spans["parent_span_id"].tolist()
-    known, children = set(ids), {}
+    known: set[str] = set(ids)
+    children: dict[str | None, list[str]] = {}
     for i, p in zip(ids, parents, strict=True):
         children.setdefault(p, []).append(i)
     seen: set[str] = set()
@@ -85,19 +87,32 @@ def trace_tree(spans: DataFrame, cap: int = MAX_SPANS, collapsed: list[str] | No
     rows = single.select("project", "trace_id", "span_id", "parent_span_id", F.unix_micros("ts").alias("us"))
     hide = set(collapsed or ())
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "span_id"], kind="stable")
-        pdf["parent_span_id"] = pdf["parent_span_id"].astype(object).where(pdf["parent_span_id"].notna(), None)
-        shown, skip = [], None
-        for row in _ordered(pdf):
-            if skip is not None and row[1] > skip:
-                continue
-            skip = row[1] if row[0] in hide else None
-            shown.append(row)
-        out = pd.DataFrame(shown, columns=["span_id", "depth", "is_orphan", "has_children"])
-        return out.assign(project=pdf["project"].iloc[0], trace_id=pdf["trace_id"].iloc[0], position=range(len(out)))[["project", "trace_id", "span_id", "position", "depth", "is_orphan", "has_children"]]
-
-    return rows.groupBy("project", "trace_id").applyInPandas(build, _TREE)
+    def shown(ids: list[str], parents: list[str | None]) -> list[tuple[str, int, bool, bool]]:
+        out, skip = [], None
+        for row in depth_first(ids, parents):
+            if skip is None or row[1] <= skip:
+                skip = row[1] if row[0] in hide else None
+                out.append(row)
+        return out
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # rows of the trace that the batch may have cut
+        for batch in chain(batches, [None]):
+            rows = held + (list(zip(*(c.to_pylist() for c in batch.columns), strict=True)) if batch is not None else [])
+            out: list[tuple] = []
+            held = []
+            for key, group in groupby(rows, key=lambda r: (r[0], r[1])):
+                own = list(group)
+                if batch is not None and own[-1] is rows[-1]:
+                    held = own
+                    continue
+                out += [(*key, i, n, depth, lost, more) for n, (i, depth, lost, more) in enumerate(shown([r[2] for r in own], [r[3] for r in own]))]
+            if out:
+                yield pa.RecordBatch.from_pylist([dict(zip(_TREE.names, r, strict=True)) for r in out], schema=_TREE)
+
+    # a trace is one run of at most `cap` sorted rows; many traces share a batch
+    dealt = rows.repartition("project", "trace_id").sortWithinPartitions("project", "trace_id", "us", "span_id")
+    return dealt.select("project", "trace_id", "span_id", "parent_span_id").mapInArrow(build, "project string, trace_id string, span_id string, position int, depth int, is_orphan boolean, has_children boolean")
 
 
 def waterfall_bars(spans: DataFrame, cap: int = MAX_SPANS) -> DataFrame:

@@ -174,3 +174,74 @@ def _attribute_type() -> str:
     from lumenlake.schema import ATTRIBUTES
 
     return ATTRIBUTES.simpleString()
+
+
+def _empty_value():
+    from lumenlake.schema import VALUE
+
+    return F.lit(None).cast(VALUE.simpleString())
+
+
+def _value(**kinds):
+    """A value struct with the given fields set."""
+    from lumenlake.schema import VALUE
+
+    return F.struct(*((kinds[f.name].cast(f.dataType) if f.name in kinds else F.lit(None).cast(f.dataType)).alias(f.name) for f in VALUE))
+
+
+def _attrs(**pairs):
+    return F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs.items()))
+
+
+def _resources(rows: DataFrame, items: str, outer: str, inner: str) -> DataFrame:
+    """rows(request_id, service, item) to exports with one resource per service."""
+    from lumenlake.schema import ATTRIBUTES
+
+    per = rows.groupBy("request_id", "service").agg(F.collect_list("item").alias(items))
+    scope = F.struct(F.lit("app").alias("name"), F.lit("1").alias("version"), F.lit(None).cast(ATTRIBUTES.simpleString()).alias("attributes"))
+    resource = F.struct(F.array(F.struct(F.lit("service.name").alias("key"), _value(stringValue=F.col("service")).alias("value"))).alias("attributes"))
+    one = F.struct(resource.alias("resource"), F.array(F.struct(scope.alias("scope"), F.col(items))).alias(inner))
+    return per.groupBy("request_id").agg(F.collect_list(one).alias(outer)).select("request_id", F.lit("p1").alias("project"), outer)
+
+
+def span_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested span exports; ids of every 13th span are too short and every 17th has no start time."""
+    from lumenlake.schema import SPAN
+
+    e = _events(spark, sf_dir)
+    n = F.col("event_id")
+    start = (F.unix_micros("ts") * 1000).cast("decimal(20,0)")
+    kinds = {f.name: f.dataType for f in SPAN}
+    span = {
+        "traceId": F.when(n % 13 == 0, F.lit("ab")).otherwise(F.md5(F.concat(F.lit("t"), F.floor(n / 5).cast("string")))), "spanId": F.upper(F.substring(F.md5(F.concat(F.lit("s"), n.cast("string"))), 1, 16)),
+        "name": F.col("event_type"), "kind": (n % 5 + 1).cast("int"), "startTimeUnixNano": F.when(n % 17 == 0, F.lit(0).cast("decimal(20,0)")).otherwise(start),
+        "endTimeUnixNano": start + (F.round(F.col("value") * 1000).cast("long") * 1000).cast("decimal(20,0)"), "attributes": _attrs(user=_value(intValue=F.col("user_id")), rate=_value(doubleValue=F.lit(0.5))),
+        "events": F.array(F.struct((start + 1500).cast("decimal(20,0)").alias("timeUnixNano"), F.lit("tick").alias("name"), F.lit(None).cast(kinds["attributes"].simpleString()).alias("attributes"))),
+    }
+    item = F.struct(*(span[k].cast(t).alias(k) if k in span else F.lit(None).cast(t).alias(k) for k, t in kinds.items()))
+    return _resources(e.select(F.floor(n / 50).cast("long").alias("request_id"), "service", item.alias("item")), "spans", "resourceSpans", "scopeSpans")
+
+
+def metric_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested metric exports: each event is a gauge, a counter, a histogram or a kind that is not taken, by event_id % 5."""
+    from lumenlake.schema import METRIC
+
+    e = _events(spark, sf_dir)
+    n, ns = F.col("event_id"), (F.unix_micros("ts") * 1000).cast("decimal(20,0)")
+    kinds = {f.name: f.dataType for f in METRIC}
+
+    def filled(kind, **values):
+        return F.struct(*((values[f.name].cast(f.dataType) if f.name in values else F.lit(None).cast(f.dataType)).alias(f.name) for f in kind))
+
+    number, histo = kinds["gauge"]["dataPoints"].dataType.elementType, kinds["histogram"]["dataPoints"].dataType.elementType
+    attributes = _attrs(user=_value(intValue=F.col("user_id")))
+    gauge = filled(kinds["gauge"], dataPoints=F.array(filled(number, timeUnixNano=ns, attributes=attributes, asDouble=F.col("value"))))
+    total = filled(kinds["sum"], dataPoints=F.array(filled(number, timeUnixNano=ns, startTimeUnixNano=ns - 1000, attributes=attributes, asInt=F.col("user_id"))), aggregationTemporality=F.when(n % 15 == 1, 0).otherwise(2), isMonotonic=F.lit(True))
+    buckets = F.when(n % 10 == 2, F.array(F.lit(1), F.lit(2), F.lit(3))).otherwise(F.array(F.lit(1), F.lit(2)))
+    histogram = filled(kinds["histogram"], dataPoints=F.array(filled(histo, timeUnixNano=ns, attributes=attributes, count=F.lit(3), sum=F.col("value"), bucketCounts=buckets, explicitBounds=F.array(F.lit(10.0)))), aggregationTemporality=F.lit(2))
+    summary = filled(kinds["summary"], dataPoints=F.array(filled(kinds["summary"]["dataPoints"].dataType.elementType, timeUnixNano=ns)))
+    pick = {"gauge": (gauge, (0, 4)), "sum": (total, (1,)), "histogram": (histogram, (2,)), "summary": (summary, (3,))}
+    values = {k: F.when((n % 5).isin(*on), v) for k, (v, on) in pick.items()}
+    names = F.when(n % 5 == 0, "event.value").when(n % 5 == 1, "events.total").when(n % 5 == 2, "event.size").when(n % 5 == 3, "event.summary").otherwise(F.lit(""))
+    item = filled(METRIC, name=names, unit=F.lit("1"), **values)
+    return _resources(e.select(F.floor(n / 50).cast("long").alias("request_id"), "service", item.alias("item")), "metrics", "resourceMetrics", "scopeMetrics")

@@ -12,6 +12,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenlake.functions import telemetry as tel
 
@@ -60,7 +61,7 @@ def _number(x: float) -> object:
     return ("+Inf" if x > 0 else "-Inf") if math.isinf(x) else x
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nested_json(text: pd.Series, is_list: pd.Series) -> pd.Series:
     """JSON text of nested array or key-value list contents, keys sorted (only rows that hold one reach this)."""
 
@@ -109,7 +110,7 @@ def attrs_to_json(attributes: Column) -> Column:
     return F.when(F.size(attributes) > 0, text)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _encode_nested(arrays: pd.Series, lists: pd.Series) -> pd.Series:
     """For each attribute: the JSON text of its nested value, or null."""
 
