@@ -179,12 +179,19 @@ def viterbi(e: np.ndarray, transition: np.ndarray, before: bool, after: bool) ->
     return np.array(tags[::-1])
 
 
+def transition_gain(t: np.ndarray) -> float:
+    """The most that transitions can gain when a token is not outside, whatever its neighbours' tags are."""
+    into, out = t[:, 1:] - t[:, :1], t[1:, :] - t[:1, :]  # [before, tag], [tag, after]
+    both = into[:, :, None] + out[None, :, :]
+    return float(max(both.max(), into.max(), out.max(), 0))
+
+
 def crf_spans(model: Model, tokens: Tokens) -> list[tuple[int, int]]:
     """(first, last) token of each span that the CRF tags."""
     if not len(tokens.start):
         return []
     e = tokens.x @ model.emission
-    most = 2 * float(model.transition.max() - model.transition.min())
+    most = transition_gain(model.transition)
     open_ = e[:, OUTSIDE] - np.maximum(e[:, BEGIN], e[:, INSIDE]) <= most
     at = np.flatnonzero(open_)
     if not len(at):
