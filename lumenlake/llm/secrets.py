@@ -230,9 +230,11 @@ def _silver(batch: pa.RecordBatch) -> Iterator[tuple]:
 
 def train(docs: DataFrame, n_with: int = TRAIN_WITH, n_without: int = TRAIN_WITHOUT) -> Model | None:
     """Fit on windows of a bounded sample of texts; None when no text has a base span."""
-    marked = docs.select("text", F.regexp_like("text", F.lit(r"(?i)(password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{14}|[0-9a-f]{16}")).alias("_m"), F.xxhash64("text").alias("_h")).where(F.col("text").isNotNull())
-    sample = marked.where("_m").orderBy("_h").limit(n_with).unionByName(marked.where("NOT _m").orderBy("_h").limit(n_without)).select("text", "_h")
-    sample = materialize(sample, "secret-sample").repartition(8, "_h").select("text")
+    marked = docs.where(F.col("text").isNotNull()).select(F.regexp_like("text", F.lit(r"(?i)(password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{14}|[0-9a-f]{16}")).alias("_m"), F.xxhash64("text").alias("_h"))
+    picked = marked.where("_m").orderBy("_h").limit(n_with).unionByName(marked.where("NOT _m").orderBy("_h").limit(n_without)).select("_h").distinct()
+    # only hashes are ranked; at most n_with + n_without of them are joined back to their texts
+    chosen = docs.select("text", F.xxhash64("text").alias("_h")).join(F.broadcast(materialize(picked, "secret-picked")), "_h").dropDuplicates(["_h"])
+    sample = materialize(chosen, "secret-sample").repartition(8, "_h").select("text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, list[int]] = {}
