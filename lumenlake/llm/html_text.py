@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 
 from lumenlake.llm.common import blocks
 
-TRAIN_PAGES = 300
+#: Pages that training reads at most, in hash order, and the length below which a page may be one of them.
+TRAIN_PAGES, TRAIN_CHARS = 300, 50_000
 GENERATED_PAGES = 400
 BUCKETS = 1 << 12
 #: Elements that make blocks, that have no end tag, whose text is never shown, and what a start tag closes.
@@ -337,7 +338,9 @@ class Model(NamedTuple):
 
 def train(pages: DataFrame, n: int = TRAIN_PAGES) -> Model:
     """Fit on at most n pages of the table, in hash order, and on the generated pages."""
-    rows = pages.where(F.col("html").isNotNull() & (F.length("html") < 200_000)).select("html").orderBy(F.xxhash64("html")).limit(n).collect()
+    hashed = pages.where(F.length("html") < TRAIN_CHARS).select("html", F.xxhash64("html").alias("_h"))
+    picked = hashed.select("_h").distinct().orderBy("_h").limit(n)  # hashes are ranked, not pages
+    rows = hashed.join(F.broadcast(picked), "_h").dropDuplicates(["_h"]).orderBy("_h").collect()  # at most n pages of TRAIN_CHARS
     parsed: list[Page] = []
     labels: list[list[int]] = []
     for row in rows:
