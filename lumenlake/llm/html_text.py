@@ -2,7 +2,7 @@
 
 Each block element of a page is a node with a binary variable (content or not). Node potentials are
 learned weights of its tag, its class, id and role words, the length, links and punctuation of its
-text, its subtree and its depth; one learned table couples every child with its parent. Sum-product
+text and its subtree; one learned table couples every child with its parent. Sum-product
 messages pass from the leaves to the root and back, all pages of a batch at once, level by level,
 and give exact marginals. Weights are fitted by maximum likelihood on labelled pages: a bounded
 sample of the table's own pages whose <article> or <main> element marks the content, and generated
@@ -162,7 +162,7 @@ def parse(source: str) -> Page:
             total_links[parent[i]] += total_links[i]
     features = []
     for i in range(len(parent)):
-        f = [_id("bias"), _id(f"tag:{tags[i]}"), _id(f"own:{min(own[i], 80).bit_length()}"), _id(f"all:{min(total[i], 2000).bit_length()}"), _id(f"depth:{min(depth[i], 8)}")]
+        f = [_id("bias"), _id(f"tag:{tags[i]}"), _id(f"own:{min(own[i], 80).bit_length()}"), _id(f"all:{min(total[i], 2000).bit_length()}")]
         f.append(_id(f"links:{0 if not links[i] else 1 + (2 * links[i] > own[i])}"))
         f.append(_id(f"below:{0 if not total_links[i] else 1 + (2 * total_links[i] > total[i])}"))
         f.append(_id(f"stops:{min(stops[i], 3)}"))
@@ -210,7 +210,7 @@ def sum_product(f: Forest, weight: np.ndarray, couple: np.ndarray) -> tuple[np.n
     return 1 / (1 + np.exp(np.clip(full[:, 0] - full[:, 1], -40, 40))), joint
 
 
-def fit(pages: list[Page], labels: list[list[int]], steps: int = 200, rate: float = 0.1, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def fit(pages: list[Page], labels: list[list[int]], steps: int = 300, rate: float = 0.3, ridge: float = 2e-5) -> tuple[np.ndarray, np.ndarray]:
     """Node weights and the parent-child table by maximum likelihood, with the exact marginals as expectations."""
     f, y = forest(pages), np.array([v for own in labels for v in own])
     child = np.flatnonzero(f.parent >= 0)
@@ -267,8 +267,8 @@ def generate_pages(n: int = GENERATED_PAGES, seed: int = 11) -> Iterator[tuple[s
         if kind == "header":
             return r.choice((f"<header><h1>{sentence(1, 4)}</h1><p>{sentence(2, 6)}</p></header>", f'<div id="header" class="site-header"><div class="logo">{link()}</div><p>{sentence(2, 6)}</p></div>'))
         if kind == "footer":
-            body = f"&copy; {sentence(2, 12)} {link()}"
-            return r.choice((f"<footer>{body}</footer>", f"<footer><p>{body}</p></footer>", f'<div class="footer"><p>{body}</p></div>', f'<div id="copyright">{body}</div>'))
+            body = f"{r.choice(('&copy; ', ''))}{sentence(1, r.choice((3, 12)))} {link() if r.random() < 0.5 else ''}"
+            return r.choice((f"<footer>{body}</footer>", f"<footer>{body}</footer>", f"<footer><p>{body}</p></footer>", f'<div class="footer"><p>{body}</p></div>', f'<div id="copyright">{body}</div>'))
         if kind == "side":
             body = f"<h3>{sentence(1, 3)}</h3><ul>" + "".join(f"<li>{link()}</li>" for _ in range(r.randint(2, 6))) + f"</ul><p>{sentence(4, 14)}</p>"
             return r.choice((f"<aside>{body}</aside>", f'<div class="{r.choice(("sidebar", "widget", "related", "recent-posts"))}">{body}</div>'))
@@ -291,10 +291,11 @@ def generate_pages(n: int = GENERATED_PAGES, seed: int = 11) -> Iterator[tuple[s
             return f"<{tag}>{words}</{tag}>"
 
         body = [keep("h1", sentence(3, 12))]
-        for _ in range(r.randint(1, 9)):
+        brief = r.random() < 0.3  # some articles are but a few words
+        for _ in range(r.randint(0, 2 if brief else 9)):
             pick = r.random()
             if pick < 0.74:
-                body.append(keep("p", " ".join(sentence(1, 24) for _ in range(r.randint(1, 6)))))
+                body.append(keep("p", " ".join(sentence(1, 5 if brief else 24) for _ in range(r.randint(1, 2 if brief else 6)))))
             elif pick < 0.82:
                 body.append(keep("h2", sentence(2, 8)))
             elif pick < 0.88:
