@@ -29,13 +29,11 @@ def metric_attributes(points: DataFrame, project: str, name: str, start: datetim
     """Each attribute key of a metric: its number of different values and the first of them in order; keys in order, keys + 1 rows at most."""
     rows = points.where(tel.in_range(F.col("ts"), start, end) & (F.col("project") == project) & (F.col("name") == name))
     pairs = rows.select(F.explode(tel.attributes_map(F.col("attributes"))).alias("key", "value")).distinct()
-    ranked = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy(F.asc_nulls_last("value"))))
-    return (
-        ranked.groupBy("key")
-        .agg(F.count("value").alias("distinct_values"), F.array_sort(F.collect_list(F.when(F.col("_n") <= values, F.col("value")))).alias("first_values"))
-        .orderBy("key")
-        .limit(keys + 1)
-    )
+    counts = pairs.groupBy("key").agg(F.count("value").alias("distinct_values"))
+    # the rank's limit is applied before the shuffle too, so a key of very many values stays small
+    first = pairs.where(F.col("value").isNotNull()).withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("value"))).where(F.col("_n") <= values)
+    listed = first.groupBy("key").agg(F.array_sort(F.collect_list("value")).alias("first_values"))
+    return counts.join(listed, "key", "left").withColumn("first_values", F.coalesce("first_values", F.array().cast("array<string>"))).orderBy("key").limit(keys + 1)
 
 
 def metric_kinds(points: DataFrame) -> DataFrame:

@@ -127,10 +127,30 @@ def rank_series(groups: DataFrame, values: DataFrame, limit: int = MAX_SERIES) -
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total"), "grp")))  # limit + 1 rows
 
 
+def _steps(start: datetime, end: datetime, step_s: int) -> Column:
+    """The starts of the steps of [aligned start, end)."""
+    first, last = tel.micros(aligned_start(start, step_s)), tel.micros(end)
+    return F.transform(F.sequence(F.lit(first), F.lit(max(first, last - 1)), F.lit(step_s * 1_000_000)), lambda u: F.timestamp_micros(u))
+
+
+def ranked_steps(groups: DataFrame, values: DataFrame, start: datetime, end: datetime, step_s: int, limit: int = MAX_SERIES) -> DataFrame:
+    """rank_series() and fill_steps() in one pass over values: (grp, rank, steps, incompatible_series) of the first limit + 1
+    groups, steps being a map of at most MAX_STEPS values. See unfolded()."""
+    bad = F.max("incompatible_series") if "incompatible_series" in values.columns else F.max(F.lit(None).cast("long"))
+    folded = values.groupBy("grp").agg(F.sum("value").alias("_t"), F.map_from_entries(F.collect_list(F.struct("step_ts", "value"))).alias("steps"), bad.alias("incompatible_series"))
+    top = groups.join(folded, "grp", "left").withColumn("_t", F.coalesce("_t", F.lit(0.0)).cast("double")).orderBy(F.desc("_t"), "grp").limit(limit + 1)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("_t"), "grp"))).drop("_t")  # limit + 1 rows
+
+
+def unfolded(ranked: DataFrame, start: datetime, end: datetime, step_s: int) -> DataFrame:
+    """One row per group and step of ranked_steps(), null where there is no value, in rank and time order."""
+    spine = ranked.select("*", F.explode(_steps(start, end, step_s)).alias("step_ts"))
+    return spine.select("grp", "rank", "step_ts", F.try_element_at("steps", F.col("step_ts")).alias("value"), "incompatible_series").orderBy("rank", "step_ts")
+
+
 def fill_steps(groups: DataFrame, values: DataFrame, start: datetime, end: datetime, step_s: int) -> DataFrame:
     """Every step of [aligned start, end) for every group of `groups` (a ranked, bounded table), null where there is no value."""
-    first, last = tel.micros(aligned_start(start, step_s)), tel.micros(end)
-    spine = groups.select("*", F.explode(F.transform(F.sequence(F.lit(first), F.lit(max(first, last - 1)), F.lit(step_s * 1_000_000)), lambda u: F.timestamp_micros(u))).alias("step_ts"))
+    spine = groups.select("*", F.explode(_steps(start, end, step_s)).alias("step_ts"))
     return spine.join(values, ["grp", "step_ts"], "left")
 
 

@@ -70,15 +70,6 @@ def metric_query(points: DataFrame, q: MetricQuery, kind: tuple[int, bool, str |
             values = metrics.histogram_rate(deltas, step) if aggregate == "rate" else metrics.histogram_avg(deltas)
         else:
             values = metrics.counter_rate(deltas, step) if aggregate == "rate" else metrics.counter_increase(deltas)
-    merged = None
-    if quantile is not None:
-        merged = values.groupBy("grp").agg(F.max("incompatible_series").alias("incompatible_series"))
-        values = values.drop("incompatible_series")
-    ranked = metrics.rank_series(metrics.seed_groups(inside), values, q.limit)
-    kept = ranked.where(F.col("rank") <= q.limit).select("grp", "rank")
-    if merged is not None:
-        kept = kept.join(merged, "grp", "left")
-    else:
-        kept = kept.withColumn("incompatible_series", F.lit(None).cast("long"))
-    series = metrics.fill_steps(kept, values, start, q.end, step).select("grp", "rank", "step_ts", "value", "incompatible_series").orderBy("rank", "step_ts")
+    ranked = metrics.ranked_steps(metrics.seed_groups(inside), values, start, q.end, step, q.limit)
+    series = metrics.unfolded(ranked.where(F.col("rank") <= q.limit), start, q.end, step)
     return MetricResult(series, ranked.agg((F.count("*") > q.limit).alias("truncated")), kind, aggregate, step, start)
