@@ -306,9 +306,13 @@ def jaccard_join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without their near copies: of each class the row with the least doc_id stays; rows without an id stay."""
-    joined = materialize(jaccard_join(docs), "join-result")
-    kept = docs.join(joined.where("doc_id = class_id").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """The documents without their near copies: of each class the row with the least doc_id stays; rows without an id stay.
+
+    The rows that go are the smaller side of the join: broadcast while they are few, shuffled beyond that.
+    """
+    joined = materialize(jaccard_join(docs), "join-result").where("doc_id IS NOT NULL")
+    gone = materialize(joined.where("doc_id <> class_id").select("doc_id").distinct(), "join-gone")
+    kept = docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
     if joined.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+        kept = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    return kept
