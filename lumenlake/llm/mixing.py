@@ -102,17 +102,16 @@ def mix(docs: DataFrame, seed: str = "mix-1", **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, seed: str = "mix-1", **options) -> DataFrame:
     """The mix itself, with the columns of docs: each document once per epoch taken; the document at
     the cut once more with as many of its words as the budget still holds, joined by single spaces."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "source")
-    sized = _sized(rows, seed)
+    sized = _sized(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "source"), seed).drop("text", "source")  # the text travels once, in its row
     narrow = materialize(sized.select("_source", "_size", "_key"), "mix-sizes")
-    taken = _taken(sized.drop("source"), narrow, seed, **options)
+    taken = _taken(sized, narrow, seed, **options)
     whole = F.col("_epochs") + F.when((F.col("_part") == F.col("_size")) & (F.col("_size") > 0), 1).otherwise(0)
     cut = (F.col("_part") > 0) & (F.col("_part") < F.col("_size"))
     copies = F.concat(
         F.array_repeat(F.lit(0).cast("long"), whole.cast("int")),
         F.when(cut, F.array(F.col("_part"))).otherwise(F.array().cast("array<bigint>")),
     )
-    head = F.array_join(F.slice(F.split(F.regexp_replace(F.col("text"), r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), 1, F.col("_copy").cast("int")), " ")
+    head = F.array_join(F.slice(F.split(F.regexp_replace(F.col("_row.text"), r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), 1, F.col("_copy").cast("int")), " ")
     out = taken.withColumn("_copy", F.explode(copies))
     new = {"text": head} | ({"n_chars": F.length(head).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
     part = F.col("_copy") > 0
