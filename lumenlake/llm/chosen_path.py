@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.llm.bytetok import U64, Words, hash_spans, mix64, shingles, utf8, words
-from lumenlake.llm.common import blocks, broadcast_if_small, materialize
+from lumenlake.llm.common import blocks, broadcast_if_small, drop_materialized, materialize
 from lumenlake.llm.components import components
 
 SHINGLE = 5
@@ -294,9 +294,13 @@ def jaccard_join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     whole = groups.select(F.col("node").alias("key"), F.col("component").alias("group")).unionByName(groups.select(F.col("component").alias("key"), F.col("component").alias("group")).distinct())
     sizes = whole.groupBy("group").agg(F.count("*").alias("n"))
     members = materialize(whole.join(sizes, "group").join(classes, "key").select("group", "key", "n", "copies", F.col("rep").alias("doc_id")), "join-members")
+    drop_materialized(one)
+    drop_materialized(groups)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(broadcast_if_small(members), "doc_id")
     sets = materialize(full_sets(texts).dropDuplicates(["key"]), "join-full-sets")
+    drop_materialized(members)
     links = materialize(verified_links(in_blocks(sets)), "join-links")
+    drop_materialized(sets)
     degree = links.groupBy("key").agg(F.sum("links").alias("links"))
     joined = components(links.where("key <> root").select(F.col("key").alias("u"), F.col("root").alias("v")), "join-classes-of-links")
     labelled = classes.join(joined, classes["key"] == joined["node"], "left").select(classes["key"], "rep", "copies", F.coalesce("component", classes["key"]).alias("component"))
