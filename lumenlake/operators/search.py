@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from lumenlake.functions import telemetry as tel
 
 
+MAX_ARRIVALS = 500
+
+
 @dataclass(frozen=True)
 class Search:
     """Filters of a search over [start, end); empty values do not filter."""
@@ -138,6 +141,11 @@ def tail_watermark(signal: DataFrame, previous_us: int = 0) -> DataFrame:
     return signal.agg(F.greatest(F.lit(previous_us).cast("long"), F.coalesce(F.unix_micros(F.max("ingest_ts")), F.lit(0))).alias("watermark_us"))
 
 
+def live_reset(arrivals: DataFrame, truncated: bool, most: int = MAX_ARRIVALS) -> bool:
+    """Whether a live list starts over from its base page: a poll was truncated, or more than `most` rows have arrived."""
+    return truncated or arrivals.limit(most + 1).count() > most
+
+
 def live_merge(base: DataFrame, arrivals: DataFrame, window_start: datetime) -> DataFrame:
     """Arrivals and a base page, each (ts, ingest_ts) once (an arrival wins), from the window's start on, newest first."""
     both = arrivals.withColumn("_rank", F.lit(0)).unionByName(base.withColumn("_rank", F.lit(1)))

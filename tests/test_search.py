@@ -75,6 +75,7 @@ def test_live_merge_prefers_arrivals(spark, rows):
     base = rows.where("project = 'p1'")
     again = base.where("body = 'slow request'").withColumn("body", search.F.lit("arrived"))
     assert bodies(search.live_merge(base, again, H1)) == ["same ts b", "same ts a", "arrived"]
+    assert not search.live_reset(again, False, 1) and search.live_reset(again, True) and search.live_reset(base, False, 2)
 
 
 def test_services(spark, rows):
