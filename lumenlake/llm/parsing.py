@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,8 @@ LEVELS = 6
 FIRST_LEVEL = 3
 SKETCH = 64
 ROUNDS = 2
-RANGE_BYTES = 12_000_000
+MAX_RANGES = 20_000
+RANGE_BYTES = 4_000_000
 _BIT = np.array([0, 1, 28, 2, 29, 14, 24, 3, 30, 22, 20, 15, 25, 17, 4, 8, 31, 27, 13, 23, 21, 19, 16, 7, 26, 12, 18, 6, 11, 5, 10, 9], np.uint8)  # fixed values: De Bruijn positions
 
 
@@ -124,14 +126,14 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((np.isin(union, a) & np.isin(union, b)).mean())
 
 
-def _range_starts(docs: DataFrame, range_bytes: int) -> list[int]:
+def _range_starts(docs: DataFrame, range_bytes: int) -> list[float]:
     """Ids at which a new range begins, about range_bytes of text apart: quantiles of the id."""
     total, rows = docs.agg(F.sum(F.octet_length("text")), F.count("doc_id")).first()
-    n = min(int((total or 0) // range_bytes) + 1, 20_000)
+    n = min(int((total or 0) // range_bytes) + 1, MAX_RANGES)
     if n == 1 or not rows:
         return []
     cuts = docs.where("doc_id IS NOT NULL").stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)
-    return sorted({int(c) for c in cuts})
+    return sorted({float(int(c)) for c in cuts})
 
 
 def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -139,9 +141,10 @@ def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     next range's first row (the first range's, after the last)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     starts = _range_starts(docs, range_bytes)
-    edge = F.array(*[F.lit(s) for s in starts]) if starts else None
-    part = F.size(F.filter(edge, lambda s: s <= F.col("doc_id"))) if starts else F.lit(0)
-    ranged = docs.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(part).cast("int"))
+    ranged = docs.withColumn("part", F.lit(0))
+    if starts:  # a binary search per row; a null id falls into the first range
+        split = Bucketizer(splits=[-float("inf"), *map(float, starts), float("inf")], inputCol="_id", outputCol="_part")
+        ranged = split.transform(docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("double"), F.lit(-1e300)))).withColumn("part", F.col("_part").cast("int")).drop("_id", "_part")
     order = F.struct("doc_id", F.xxhash64("text").alias("h"))
     first = {r["part"]: (r["o"]["doc_id"], r["o"]["h"]) for r in ranged.groupBy("part").agg(F.min(order).alias("o")).collect()}  # one row per range
     if not first:
