@@ -15,11 +15,15 @@ from lumenlake.llm.common import drop_materialized, materialize
 MAX_ROUNDS = 60
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of u is linked to u's least neighbour (or u)."""
+def _large_star(edges: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """Every larger neighbour of u is linked to u's least neighbour (or u). Returns the least neighbours' table as well.
+
+    That table is written first: the join then shuffles both sides for itself, and adaptive execution
+    can split the edges of a hub or broadcast a small table.
+    """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{label}-least")
+    return least, both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -38,9 +42,11 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
 
     before = state(now)
     for _ in range(MAX_ROUNDS):
-        after = materialize(_small_star(_large_star(now)), label)
+        least, larger = _large_star(now, label)
+        after = materialize(_small_star(larger), label)
         mark = state(after)
         drop_materialized(now)
+        drop_materialized(least)
         now = after
         if mark == before and mark[2] == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
