@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 #: Rows a side may have to be broadcast; a larger side goes through a shuffle join.
 BROADCAST_ROWS = 100_000
 #: Bytes of text that one numpy pass works on inside a task.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 _local_scratch: list[str] = []
 _scopes: list[list[str]] = []
 
@@ -75,6 +76,13 @@ def held_out(doc_id, modulus: int, remainder: int):
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == remainder, F.lit(False))
 
 
+def _trim() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def blocks(batch: pa.RecordBatch, column: str, max_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most max_bytes of text each (a longer row comes alone)."""
     import numpy as np
@@ -87,3 +95,4 @@ def blocks(batch: pa.RecordBatch, column: str, max_bytes: int = BLOCK_BYTES) ->
         stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + max_bytes, "right")) - 1)
         yield batch.slice(start, min(stop, n) - start)
         start = stop
+    _trim()
