@@ -5,9 +5,11 @@ a bounded sample of labelled rows: terms that toxic texts hold far more often th
 beyond chance, where near copies count once so that words that merely travel with the copies of
 one document are passed over. The terms form a trie; its states carry the edits spent, so walking it
 is the intersection of the trie with the terms' Levenshtein automata. States are made as the words
-of the corpus need them. Every hit gets a context: the words around it and the quotation marks
-that enclose it. A logistic model over exact, stem and misspelled hits, quoted or not, gives the
-score; quoted hits start from a prior that weighs them less.
+of the corpus need them. A stem's automaton is that of its prefix, and toxic words below a stem are
+terms of their own. Every hit gets a context: the words around it and the quotation marks that
+enclose it. A logistic model over exact, stem, misspelled and misspelled stem hits, quoted or not,
+the misspelled ones by number and by rate, gives the score; quoted hits start from a prior that
+weighs them less.
 
 Defined cases: null and empty texts have no hits and get the score of a text without any; a null
 doc_id is never held out and never learned from; repeated rows are scored each; labels that are
@@ -31,20 +33,22 @@ from lumenlake.llm.common import blocks, held_out, materialize
 
 #: Labelled rows that training reads at most, in hash order.
 TRAIN_TOXIC, TRAIN_CLEAN = 3_000, 6_000
-LEXICON_TERMS = 500
 #: Terms that may compete for the lexicon, and how much more frequent a term must be in toxic texts.
 CANDIDATES, LIFT = 100_000, 20
 STEM_LENGTHS = (4, 5, 6)
 CONTEXT = 6
-#: Misspelled hits count by their rate in longer texts, where chance neighbours of a term add up.
+#: The rate of misspelled hits is taken in so many words: in longer texts chance neighbours of a term add up.
 SPARSE_WORDS = 200
 CUT = 0.3
 HOLD_OUT = (4, 2)
 #: Marks that open or close a quotation, and words that report speech.
 QUOTES = '"“”„«»'
 REPORTING = ("said", "says", "called", "wrote", "quote", "quoted", "term", "word", "dijo", "sagte", "schrieb", "dit", "disait")
-#: Numbers of hits by kind: exact, stem, misspelled, each unquoted and quoted; then reported ones.
-KINDS = 7
+#: Numbers of hits by kind: exact, stem, misspelled, each unquoted and quoted; reported ones; misspelled stems, unquoted
+#: and quoted; then the rates of misspelled terms and of misspelled stems.
+KINDS = 13
+#: The column of each kind's unquoted hits, and those of the numbers that have a rate.
+COLUMN, RATED = (0, 2, 4, 7), (4, 5, 7, 8)
 
 
 def edits_allowed(term: str) -> int:
@@ -66,7 +70,7 @@ class Automaton:
         self.word: list[str | None] = [None]
         self.stem = [False]
         for term in sorted(lexicon):
-            node, allowed = 0, 0 if lexicon[term] else edits_allowed(term)
+            node, allowed = 0, edits_allowed(term)
             self.budget[0] = max(self.budget[0], allowed)
             for c in term:
                 if c not in self.next[node]:
@@ -81,7 +85,7 @@ class Automaton:
         self.states: dict[frozenset, int] = {}
         self.members: list[frozenset] = []
         self.table: list[dict[str, int]] = []
-        self.accepts: list[int] = []  # 0: no term; 1: exact; 2: inside a stem's words; 3: misspelled
+        self.accepts: list[int] = []  # 0: no term; 1: exact; 2: inside a stem's words; 3: misspelled; 4: inside a misspelled stem's words
         self.start = self._state(self._closed({(0, 0, "")}))
 
     def _closed(self, items: set) -> frozenset:
@@ -108,12 +112,9 @@ class Automaton:
             kinds = [0]
             for node, spent, wait in items:
                 if wait == "stem":
-                    kinds.append(2)
-                elif not wait and (term := self.word[node]) is not None:
-                    if self.stem[node] and spent == 0:
-                        kinds.append(2)
-                    elif spent <= edits_allowed(term) and not self.stem[node]:
-                        kinds.append(1 if spent == 0 else 3)
+                    kinds.append(2 if spent == 0 else 4)
+                elif not wait and (term := self.word[node]) is not None and spent <= edits_allowed(term):
+                    kinds.append((2 if self.stem[node] else 1) + (0 if spent == 0 else 2))
             hits = [k for k in kinds if k]
             self.accepts.append(min(hits) if hits else 0)
         return self.states[items]
@@ -128,8 +129,8 @@ class Automaton:
                 if c == wait:
                     out.add((node, spent, ""))
                 continue
-            if self.stem[node] and spent == 0 and self.word[node]:
-                out.add((node, 0, "stem"))
+            if self.stem[node] and spent <= edits_allowed(self.word[node]):
+                out.add((0, spent, "stem"))  # whatever follows
             child = self.next[node].get(c)
             if child is not None:
                 out.add((child, spent, ""))
@@ -187,15 +188,15 @@ def hit_features(column: pa.Array, automaton: Automaton) -> np.ndarray:
         if high == len(w.doc) - 1 or w.doc[high + 1] != doc:
             after = raw[w.end[at] : offsets[doc + 1]].decode("utf-8", "replace")
         quoted = any(q in before for q in QUOTES) and any(q in after for q in QUOTES)
-        out[doc, (int(kind[at]) - 1) * 2 + quoted] += 1
+        out[doc, COLUMN[kind[at] - 1] + quoted] += 1
         out[doc, 6] += any(r in before.lower().split() for r in REPORTING)
-    out[:, 4:6] *= (SPARSE_WORDS / np.maximum(w.count, SPARSE_WORDS))[:, None]
+    out[:, 9:] = out[:, RATED] * (SPARSE_WORDS / np.maximum(w.count, SPARSE_WORDS))[:, None]
     return np.log1p(out)
 
 
 def fit(x: np.ndarray, toxic: np.ndarray, toxic_share: float, ridge: float = 0.02) -> tuple[np.ndarray, float]:
     """Logistic weights, drawn to a prior that counts quoted and reported hits less; classes weighed by their true shares."""
-    prior = np.array([3.0, 1.0, 3.0, 1.0, 1.0, 0.0, -1.0])
+    prior = np.array([3.0, 1.0, 3.0, 1.0, 0.75, 0.0, -1.0, 0.5, 0.0, 0.5, 0.0, 0.25, 0.0])
     n1, n0 = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
     weight = np.where(toxic, toxic_share / n1, (1 - toxic_share) / n0)
     z, beta = np.column_stack([x, np.ones(len(x))]), np.append(prior, np.log(max(toxic_share, 1e-4) / max(1 - toxic_share, 1e-4)))
@@ -248,11 +249,13 @@ def _one_of_each(sample: DataFrame) -> DataFrame:
     return sample.where((F.col("y") == 0) | F.xxhash64("text").isin(kept))
 
 
-def learn_lexicon(sample: DataFrame, terms: int = LEXICON_TERMS) -> dict[str, bool]:
+def learn_lexicon(sample: DataFrame) -> dict[str, bool]:
     """Terms of sample(text, y) that toxic texts hold far more often than clean ones, beyond chance.
 
     A term must be in so many toxic texts (near copies count once) that none of CANDIDATES terms
     would be expected to reach that by chance, and be LIFT times as frequent there as in clean ones.
+    All such terms are taken, and the words below a stem that toxic texts hold LIFT times as often:
+    the stem's numbers vouch for them. The bounded sample bounds the lexicon.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,19 +273,30 @@ def learn_lexicon(sample: DataFrame, terms: int = LEXICON_TERMS) -> dict[str, bo
     least = max(3, math.ceil(math.log(CANDIDATES / 0.01) / math.log((n1 + n0) / n1)))
     rate = (F.col("pos") / n1) / ((F.col("neg") + 1) / (n0 + 1))
     counts = single.mapInArrow(count, "term string, stem boolean, pos long, neg long").groupBy("term", "stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    found = counts.where((F.col("pos") >= least) & (rate >= LIFT)).orderBy(F.desc("pos"), "stem", "term").limit(20 * terms).collect()
+    counts = materialize(counts, "toxicity-terms")
+    found = counts.where((F.col("pos") >= least) & (rate >= LIFT)).collect()
     words_, stems = {r["term"]: r["pos"] for r in found if not r["stem"]}, {r["term"]: r["pos"] for r in found if r["stem"]}
+    below: dict[str, int] = {}  # by prefix, the most texts that one word or longer stem is in
+    inner: dict[str, int] = {}
+    for terms, most in ((words_, below), (stems, inner)):
+        for term, pos in terms.items():
+            for k in STEM_LENGTHS:
+                if len(term) > k or (len(term) == k and most is below):
+                    most[term[:k]] = max(most.get(term[:k], 0), pos)
     chosen: dict[str, bool] = {}
     for stem, pos in sorted(stems.items(), key=lambda t: (-t[1], -len(t[0]), t[0])):
-        longer = [p for t, p in stems.items() if t != stem and t.startswith(stem)]
-        whole = [p for t, p in words_.items() if t.startswith(stem)]
         # a stem stands for itself when no single word or longer stem accounts for it, and no chosen stem holds it
-        if max(whole, default=0) < 0.7 * pos and max(longer, default=0) < 0.9 * pos and not any(s and stem.startswith(t) for t, s in chosen.items()):
+        if below.get(stem, 0) < 0.7 * pos and inner.get(stem, 0) < 0.9 * pos and not any(stem[:k] in chosen for k in STEM_LENGTHS):
             chosen[stem] = True
-    for word, _ in sorted(words_.items(), key=lambda t: (-t[1], t[0])):
-        if not any(s and word.startswith(t) for t, s in chosen.items()):
-            chosen[word] = False
-    return dict(list(chosen.items())[:terms])
+    if chosen:
+        prefix = F.broadcast(sample.sparkSession.createDataFrame([(t,) for t in sorted(chosen)], "prefix string"))  # stems of the bounded sample
+        under = F.array(*[F.substring("term", 1, k) for k in STEM_LENGTHS])
+        family = counts.where((~F.col("stem")) & (F.col("pos") > 0) & (F.col("pos") / n1 >= LIFT * F.col("neg") / n0))
+        family = family.select("term", F.explode(F.array_distinct(under)).alias("prefix")).join(prefix, "prefix").select("term").distinct()
+        words_ |= {r["term"]: 0 for r in family.collect() if r["term"] not in words_}
+    for word in words_:
+        chosen.setdefault(word, False)
+    return chosen
 
 
 def train(docs: DataFrame, labels: DataFrame, n_toxic: int = TRAIN_TOXIC, n_clean: int = TRAIN_CLEAN) -> Model:

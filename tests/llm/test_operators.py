@@ -412,3 +412,36 @@ def test_token_records_round_trip(spark, tmp_path):
     read = token_shards.read_records(str(tmp_path / "out"), 13, 9, length=64, shard=16)
     assert [x.tobytes() for x in read] == [at[s] for s in range(13, 22)]
     assert token_shards.sequences(docs.limit(0)).count() == 0
+
+
+def test_toxicity_of_misspelled_stems_and_long_texts(spark):
+    r = random.Random(4)
+    family = [stem + a + b for stem in ("grumbo", "snarke") for a in "aeiou" for b in ("ld", "nt", "rk", "sh", "ft", "mp", "sk", "lt")]
+    rows = [(i, prose(i, 40) + (f" you {r.choice(family)} {r.choice(family)} thing" if i % 4 == 0 else "") + " " + prose(i + 5000, 10)) for i in range(800)]
+    # every term misspelled in the letters of its stem
+    bad = [w[0] + w[2] + w[1] + w[3:] for w in family]
+    long = [w for k in range(60) for w in (*prose(9000 + k, 30).split(), bad[k])]
+    rows += [(2000, prose(1, 20) + f" you {bad[3]} {bad[50]} {bad[17]} {bad[61]} " + prose(2, 10)), (2001, " ".join(long)), (2002, prose(9500, 1860))]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(800)], "doc_id long, quality int, toxic int")
+    docs = documents(spark, rows)
+    model = toxicity.train(docs, labels)
+    stems = [t for t, stem in model.lexicon.items() if stem]
+    assert {t[:4] for t in stems} >= {"grum", "snar"} and any(not stem and t in family for t, stem in model.lexicon.items())
+    automaton = toxicity.Automaton(model.lexicon)
+    assert all(automaton.match(w) in (3, 4) for w in bad) and all(automaton.match(w) in (1, 2) for w in family)
+    out = {x["doc_id"]: x["predicted"] for x in toxicity.score_toxicity(docs, model).withColumn("predicted", (F.col("score") >= toxicity.CUT).cast("int")).collect()}
+    assert (out[2000], out[2001], out[2002]) == (1, 1, 0)
+    assert np.mean([out[i] == (i % 4 == 0) for i in range(800)]) > 0.98
+
+
+def test_stems_have_an_edit_budget():
+    automaton = toxicity.Automaton({"grumbo": True, "vequ": True, "grumbolt": False})
+    assert [automaton.match(w) for w in ("grumbold", "grumbolt", "gurmbolt", "grmbosh", "grumbbosh", "vqeuent", "grum")] == [2, 1, 3, 4, 4, 0, 0]
+
+
+def test_every_significant_term_is_in_the_lexicon(spark):
+    r = random.Random(5)
+    terms = ["".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(7)) for _ in range(600)]
+    rows = [(" ".join([*r.sample(terms, 60), *prose(i, 20).split()]), 1) for i in range(400)] + [(prose(i, 80), 0) for i in range(1000, 1400)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, y int"))
+    assert sum(t in lexicon for t in terms) > 560
