@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from lumenlake.functions import telemetry as tel
 
+#: Spans that the lookup of one trace returns; the forms over all traces take every span.
 MAX_SPANS = 5000
+#: Tree rows in an Arrow batch at most.
+OUT_ROWS = 10_000
 #: The least width of a bar, and the slack of logs after a trace's end and around a linked span.
 MIN_WIDTH, LOG_SLACK_US, LINK_SLACK_US = 0.5, 1_000_000, 86_400_000_000
 _TREE = pa.schema([("project", pa.string()), ("trace_id", pa.string()), ("span_id", pa.string()), ("position", pa.int32()), ("depth", pa.int32()), ("is_orphan", pa.bool_()), ("has_children", pa.bool_())])
@@ -32,14 +35,16 @@ def trace_get(spans: DataFrame, project: str, trace_id: str, start: datetime, en
     return found.orderBy("ts", "ingest_ts").limit(cap + 1)
 
 
-def capped(spans: DataFrame, cap: int = MAX_SPANS) -> DataFrame:
-    """The first `cap` spans of every trace."""
+def capped(spans: DataFrame, cap: int | None) -> DataFrame:
+    """The first `cap` spans of every trace; all of them without a cap."""
+    if cap is None:
+        return spans
     order = Window.partitionBy("project", "trace_id").orderBy("ts", "ingest_ts", "span_id")
     return spans.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).drop("_n")
 
 
-def trace_summary(spans: DataFrame, cap: int = MAX_SPANS) -> DataFrame:
-    """start_ts, end_ts, duration_ns, services and spans of every trace, over its first `cap` spans."""
+def trace_summary(spans: DataFrame, cap: int | None = None) -> DataFrame:
+    """start_ts, end_ts, duration_ns, services and spans of every trace, over all its spans or its first `cap`."""
     out = capped(spans, cap).groupBy("project", "trace_id").agg(
         F.min("ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.array_sort(F.collect_set("service")).alias("services"), F.count("*").alias("spans")
     )
@@ -75,12 +80,12 @@ def depth_first(ids: list[str], parents: list[str | None]) -> list[tuple[str, in
     return out
 
 
-def trace_tree(spans: DataFrame, cap: int = MAX_SPANS, collapsed: list[str] | None = None) -> DataFrame:
+def trace_tree(spans: DataFrame, cap: int | None = None, collapsed: list[str] | None = None) -> DataFrame:
     """position, depth, is_orphan and has_children of every span, in depth-first order of its trace.
 
     Roots have no parent or one that is absent (orphans); siblings go by (ts, span_id); spans that no
-    root reaches follow as orphans. A span id counts once (its first row). Traces are cut to `cap`
-    spans before they reach Python. `collapsed` hides the descendants of the spans named.
+    root reaches follow as orphans. A span id counts once (its first row). Traces are whole, or cut to
+    `cap` spans where one is given. `collapsed` hides the descendants of the spans named.
     """
     first = Window.partitionBy("project", "trace_id", "span_id").orderBy("ts", "ingest_ts")
     single = capped(spans, cap).withColumn("_n", F.row_number().over(first)).where("_n = 1")
@@ -98,26 +103,28 @@ def trace_tree(spans: DataFrame, cap: int = MAX_SPANS, collapsed: list[str] | No
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # rows of the trace that the batch may have cut
         for batch in chain(batches, [None]):
-            rows = held + (list(zip(*(c.to_pylist() for c in batch.columns), strict=True)) if batch is not None else [])
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True)) if batch is not None else []
             out: list[tuple] = []
-            held = []
+            if held and (batch is None or (rows and rows[0][:2] != held[0][:2])):
+                rows, held = held + rows, []
             for key, group in groupby(rows, key=lambda r: (r[0], r[1])):
                 own = list(group)
                 if batch is not None and own[-1] is rows[-1]:
-                    held = own
+                    held += own
                     continue
+                own, held = held + own, []
                 out += [(*key, i, n, depth, lost, more) for n, (i, depth, lost, more) in enumerate(shown([r[2] for r in own], [r[3] for r in own]))]
-            if out:
-                yield pa.RecordBatch.from_pylist([dict(zip(_TREE.names, r, strict=True)) for r in out], schema=_TREE)
+            for at in range(0, len(out), OUT_ROWS):
+                yield pa.RecordBatch.from_pylist([dict(zip(_TREE.names, r, strict=True)) for r in out[at : at + OUT_ROWS]], schema=_TREE)
 
-    # a trace is one run of at most `cap` sorted rows; many traces share a batch
+    # a trace is one run of sorted rows; many traces share a batch, and a long one spans many
     dealt = rows.repartition("project", "trace_id").sortWithinPartitions("project", "trace_id", "us", "span_id")
     return dealt.select("project", "trace_id", "span_id", "parent_span_id").mapInArrow(build, "project string, trace_id string, span_id string, position int, depth int, is_orphan boolean, has_children boolean")
 
 
-def waterfall_bars(spans: DataFrame, cap: int = MAX_SPANS) -> DataFrame:
+def waterfall_bars(spans: DataFrame) -> DataFrame:
     """offset_pct and width_pct of every span within its trace's duration."""
-    total = trace_summary(spans, cap).select("project", "trace_id", F.unix_micros("start_ts").alias("_start"), F.col("duration_ns").alias("_total"))
+    total = trace_summary(spans).select("project", "trace_id", F.unix_micros("start_ts").alias("_start"), F.col("duration_ns").alias("_total"))
     rows = spans.join(total, ["project", "trace_id"])
     width = F.least(F.greatest(F.col("duration_ns") / F.col("_total") * 100, F.lit(MIN_WIDTH)), F.lit(100.0))
     offset = F.least(F.greatest((F.unix_micros("ts") - F.col("_start")) * 1000 / F.col("_total") * 100, F.lit(0.0)), 100 - width)
@@ -143,8 +150,8 @@ def span_links(spans: DataFrame) -> DataFrame:
     return links.join(target, near, "left").select(links["project"], "from_trace_id", "from_span_id", links["trace_id"].alias("to_trace_id"), links["span_id"].alias("to_span_id"), "to_service", "to_name")
 
 
-def trace_logs(logs: DataFrame, spans: DataFrame, cap: int = MAX_SPANS) -> DataFrame:
+def trace_logs(logs: DataFrame, spans: DataFrame) -> DataFrame:
     """The logs of each trace from its start to a second past its end."""
-    bounds = trace_summary(spans, cap).select("project", "trace_id", F.unix_micros("start_ts").alias("_a"), (F.unix_micros("end_ts") + LOG_SLACK_US).alias("_b"))
+    bounds = trace_summary(spans).select("project", "trace_id", F.unix_micros("start_ts").alias("_a"), (F.unix_micros("end_ts") + LOG_SLACK_US).alias("_b"))
     us = F.unix_micros("ts")
     return logs.join(bounds, ["project", "trace_id"]).where((us >= F.col("_a")) & (us < F.col("_b"))).drop("_a", "_b")

@@ -89,3 +89,22 @@ def test_errors_links_and_logs(spark, rows):
     end = H1 + timedelta(seconds=1, milliseconds=40)
     lines = logs(spark, [{"ts": t, "trace_id": T1, "body": b} for t, b in ((ROOT - timedelta(microseconds=1), "before"), (ROOT, "start"), (end + timedelta(milliseconds=999), "slack"), (end + timedelta(seconds=1), "after"))])
     assert {r["body"] for r in traces.trace_logs(lines, rows).collect()} == {"start", "slack"}
+
+
+def test_a_long_trace_is_whole(spark):
+    n = traces.MAX_SPANS + 300
+    rows = spans(spark, [
+        {"ts": H0 + timedelta(milliseconds=i), "trace_id": T1, "span_id": f"{i:05d}", "parent_span_id": f"{i // 2:05d}" if i else None, "service": "late" if i == n - 1 else "api", "status_code": 2 if i == n - 2 else 1, "duration_ns": MS}
+        for i in range(n)
+    ] + [{"ts": H0, "trace_id": T2, "span_id": "other", "duration_ns": MS}])
+    one = traces.trace_summary(rows).where(f"trace_id = '{T1}'").first()
+    assert (one["spans"], one["services"], one["duration_ns"]) == (n, ["api", "late"], n * MS)
+    got = traces.trace_tree(rows).where(f"trace_id = '{T1}'").orderBy("position").collect()
+    want = traces.depth_first([f"{i:05d}" for i in range(n)], [f"{i // 2:05d}" if i else None for i in range(n)])
+    assert [(r["span_id"], r["depth"], r["is_orphan"], r["has_children"]) for r in got] == want and len(want) == n
+    assert traces.trace_tree(rows, collapsed=["00000"]).count() == 2
+    assert [r["span_id"] for r in traces.first_error_span(rows, traces.trace_tree(rows)).collect()] == [f"{n - 2:05d}"]
+    bars = {r["span_id"]: r["offset_pct"] for r in traces.waterfall_bars(rows).where(f"trace_id = '{T1}'").collect()}
+    assert bars["02650"] == pytest.approx(50) and len(bars) == n
+    lines = logs(spark, [{"ts": H0 + timedelta(milliseconds=n + 998), "trace_id": T1, "body": "late"}])
+    assert traces.trace_logs(lines, rows).count() == 1
