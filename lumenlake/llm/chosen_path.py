@@ -149,6 +149,20 @@ def sketches(docs: DataFrame, runs: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, sketch binary, leaves array<bigint>")
 
 
+def with_class_key(docs: DataFrame) -> DataFrame:
+    """docs and the key of each text's class as _class_key."""
+
+    @F.arrow_udf("long")
+    def keys(text: pa.Array) -> pa.Array:
+        out = [np.zeros(0, np.int64)]
+        for part in blocks(pa.RecordBatch.from_arrays([text], ["text"]), "text"):
+            data, offsets = utf8(part.column(0))
+            out.append(class_keys(words(data, offsets), data, offsets).view(np.int64))
+        return pa.array(np.concatenate(out))
+
+    return docs.withColumn("_class_key", keys("text"))
+
+
 def full_sets(members: DataFrame) -> DataFrame:
     """(group, key, n, copies, payload) with the full shingle set as payload, for members(group, key, n, copies, text)
     whose text has that key: the text of another row with the same id is not taken for it."""
@@ -278,14 +292,12 @@ def verified_links(blocks_of_components: DataFrame, similarity: float = SIMILARI
     return blocks_of_components.mapInArrow(run, "key long, root long, links long")
 
 
-def jaccard_join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, n_links of every document: class_id is the least doc_id among the documents joined to it by
-    links, n_links the number of other documents with the same words or a similarity of 0.8 or more."""
+def keyed_join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """jaccard_join with each document's class of equal texts (key) and of linked ones (component; null where key is 0)."""
     rows = materialize(sketches(docs, runs_needed(recall=recall)), "join-sketches")
     named = rows.where("key <> 0").select("doc_id", "key")
     classes = materialize(named.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "join-classes")
-    one = rows.where("key <> 0 AND doc_id IS NOT NULL").join(classes, "key").where("doc_id = rep").dropDuplicates(["key"])
-    one = materialize(one.select("key", "sketch", "leaves"), "join-sets")
+    one = materialize(rows.where("key <> 0").select("key", "sketch", "leaves").dropDuplicates(["key"]), "join-sets")
     leaves = one.select("key", F.explode(F.array_distinct("leaves")).alias("group"))
     company = leaves.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
     buckets = leaves.join(company, "group").join(one.select("key", F.col("sketch").alias("payload")), "key").withColumn("copies", F.lit(1).cast("long"))
@@ -297,6 +309,11 @@ def jaccard_join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     drop_materialized(one)
     drop_materialized(groups)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(broadcast_if_small(members), "doc_id")
+    nameless = members.where("doc_id IS NULL").drop("doc_id")
+    if nameless.limit(1).count():  # their texts are found by class
+        bare = with_class_key(docs.where(F.col("doc_id").isNull()).select("text")).withColumnRenamed("_class_key", "key").dropDuplicates(["key"])
+        columns = ["group", "key", "n", "copies", "text"]
+        texts = texts.select(*columns).unionByName(bare.join(broadcast_if_small(nameless), "key").select(*columns))
     sets = materialize(full_sets(texts).dropDuplicates(["key"]), "join-full-sets")
     drop_materialized(members)
     links = materialize(verified_links(in_blocks(sets)), "join-links")
@@ -305,18 +322,35 @@ def jaccard_join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     joined = components(links.where("key <> root").select(F.col("key").alias("u"), F.col("root").alias("v")), "join-classes-of-links")
     labelled = classes.join(joined, classes["key"] == joined["node"], "left").select(classes["key"], "rep", "copies", F.coalesce("component", classes["key"]).alias("component"))
     least = labelled.groupBy("component").agg(F.min("rep").alias("class_id"))
-    final = labelled.join(least, "component").join(degree, "key", "left").select("key", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return rows.select("doc_id", "key").join(final, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    final = labelled.join(least, "component").join(degree, "key", "left").select("key", "component", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return rows.select("doc_id", "key").join(final, "key", "left").select("doc_id", "key", "component", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def jaccard_join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id, n_links of every document: class_id is the least doc_id among the documents joined to it by
+    links, n_links the number of other documents with the same words or a similarity of 0.8 or more."""
+    return keyed_join(docs, recall).select("doc_id", "class_id", "n_links")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without their near copies: of each class the row with the least doc_id stays; rows without an id stay.
+    """The documents without their near copies: of each class one row stays, with the least doc_id (an id before none),
+    then the least key; of rows with the same id and words any one. Rows without a class stay.
 
-    The rows that go are the smaller side of the join: broadcast while they are few, shuffled beyond that.
+    Rows go by id and text, so another text with the same id is not taken for them. The rows that go are the smaller
+    side of the join: broadcast while they are few, shuffled beyond that.
     """
-    joined = materialize(jaccard_join(docs), "join-result").where("doc_id IS NOT NULL")
-    gone = materialize(joined.where("doc_id <> class_id").select("doc_id").distinct(), "join-gone")
-    kept = docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
-    if joined.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
-    return kept
+    joined = materialize(keyed_join(docs).where("key <> 0").select("doc_id", "key", "component"), "join-result")
+    rows = joined.groupBy("component", "key", "doc_id").agg(F.count("*").alias("n"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "key")).alias("best")
+    company = rows.groupBy("component").agg(best, F.sum("n").alias("size")).where("size > 1").select("component", F.col("best.doc_id").alias("best_id"), F.col("best.key").alias("best_key"))
+    placed = rows.join(broadcast_if_small(company), "component")
+    placed = placed.withColumn("stays", (F.col("key") == F.col("best_key")) & F.col("doc_id").eqNullSafe(F.col("best_id")))
+    placed = materialize(placed.select(F.col("doc_id").alias("_id"), F.col("key").alias("_of"), "n", "stays"), "join-gone")
+    gone, again = placed.where("NOT stays"), placed.where("stays AND n > 1").select("_id", "_of")
+    keyed = with_class_key(docs)
+    same = (F.col("_class_key") == F.col("_of")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    kept = keyed.join(broadcast_if_small(gone.select("_id", "_of")), same, "left_anti")
+    if again.limit(1).count():
+        again = broadcast_if_small(again)
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "_class_key"]))
+    return kept.select(*docs.columns)

@@ -445,3 +445,16 @@ def test_every_significant_term_is_in_the_lexicon(spark):
     rows = [(" ".join([*r.sample(terms, 60), *prose(i, 20).split()]), 1) for i in range(400)] + [(prose(i, 80), 0) for i in range(1000, 1400)]
     lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, y int"))
     assert sum(t in lexicon for t in terms) > 560
+
+
+def test_near_copies_with_shared_or_missing_ids(spark):
+    texts = {name: prose(seed, 80) for name, seed in (("a", 7001), ("b", 7002), ("c", 7003), ("d", 7004), ("e", 7005), ("f", 7006))}
+    near = {name: t.rsplit(" ", 1)[0] + " zzz" for name, t in texts.items()}
+    rows = [(1, texts["a"]), (5, near["a"]), (5, texts["b"]), (6, texts["c"]), (6, texts["d"]), (None, texts["e"]), (None, texts["e"]), (None, near["e"]), (None, near["c"]), (8, texts["f"]), (8, texts["f"]), (8, near["f"]), (9, None), (9, None), (None, "")]
+    docs = documents(spark, rows)
+    got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in chosen_path.jaccard_join(docs).collect())
+    assert got == brute_join(rows)
+    kept = Counter((r["doc_id"], r["text"]) for r in chosen_path.one_of_each(docs).collect())
+    of_e, of_f = ([k for k in kept if k[1] in (texts[x], near[x])] for x in "ef")
+    assert len(of_e) == len(of_f) == 1 and of_e[0][0] is None and of_f[0][0] == 8
+    assert kept == Counter([(1, texts["a"]), (5, texts["b"]), (6, texts["c"]), (6, texts["d"]), *of_e, *of_f, (9, None), (9, None), (None, "")])
