@@ -1,22 +1,28 @@
 """HTML extraction by a tree-structured graphical model.
 
 Each block element of a page is a node with a binary variable (content or not). Node potentials are
-learned weights of its tag, its class, id and role words, the length, links and punctuation of its
-text and its subtree; one learned table couples every child with its parent. Sum-product
-messages pass from the leaves to the root and back, all pages of a batch at once, level by level,
-and give exact marginals. Weights are fitted by maximum likelihood on labelled pages: a bounded
-sample of the table's own pages whose <article> or <main> element marks the content, and generated
-pages (generate_pages) with known labels that use div-and-class layouts, side bars, notices,
-adverts, forms and reader comments.
+learned weights of its tag, its parent's tag, the landmark element around it, its class, id and role
+words, the length, links and punctuation of its text and its subtree; one learned table couples
+every child with its parent. Sum-product messages pass from the leaves to the root and back, all
+pages of a batch at once, level by level, and give exact marginals. Weights are fitted by maximum
+likelihood on labelled pages: a bounded sample of the table's own pages whose <article> or <main>
+element marks the content, and generated pages (generate_pages) with known labels in semantic and
+div-and-class layouts with side bars, notices, adverts, forms and reader comments.
 
 Text is cut at the borders of block elements; a block belongs to its nearest block element and is
 kept when that node's content marginal is at least 0.5. Character references are decoded, white
 space (a <br> too) becomes one space, blocks are trimmed and joined by one line feed.
 
+parse() takes markup as browsers do: <html>, <head> and <body> tags and the end tags of p, li, dt,
+dd, tr, td, th and the like may be missing; a quotation mark opens a value only after "="; inline
+end tags do not close the blocks that were opened inside them. Its time grows with the page's
+length, whatever is nested or left open. Nodes below MAX_DEPTH hang on the ancestor at that depth.
+
 Defined cases: null html is empty and gives an empty text; text outside any element belongs to the
-page's root; unclosed comments, scripts and tags run to the end; end tags without a start are
-ignored; repeated pages are extracted each; an empty table gives an empty result; extra columns are
-ignored.
+page's root; unclosed comments, scripts and tags run to the end; a quotation mark that never closes
+is an ordinary character; end tags without a start are ignored; very long pages are taken whole (a
+block of BLOCK_BYTES or one page is in memory at a time); repeated pages are extracted each; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +31,8 @@ import html
 import random
 import re
 import zlib
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -37,27 +45,53 @@ from lumenlake.llm.common import blocks
 
 #: Pages that training reads at most, in hash order, and the length below which a page may be one of them.
 TRAIN_PAGES, TRAIN_CHARS = 300, 50_000
-GENERATED_PAGES = 400
+GENERATED_PAGES = 600
 BUCKETS = 1 << 12
-#: Elements that make blocks, that have no end tag, whose text is never shown, and what a start tag closes.
+MAX_DEPTH = 512
+#: Bytes of markup that are parsed together.
+BLOCK_BYTES = 400_000
+#: Elements that make blocks, that have no end tag, whose content is raw text that is not shown, whose text
+#: is not shown, and tags that change nothing.
 BLOCK = frozenset(
-    "html body div section article main nav header footer aside form fieldset ul ol li dl dt dd p h1 h2 h3 h4 h5 h6 table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary hgroup menu dialog center iframe head".split()
+    "div section article main nav header footer aside form fieldset ul ol li dl dt dd p h1 h2 h3 h4 h5 h6 table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary hgroup menu dialog center button object canvas video audio search".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style noscript template textarea select option button svg math iframe object canvas video audio title".split())
-CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-SCOPE = frozenset(("ul", "ol", "dl", "table", "html", "body"))
-_PIECE = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S | re.I)
-_ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+RAW = frozenset("script style noscript textarea title iframe noembed noframes".split())
+HIDDEN = frozenset("template select option optgroup datalist".split())
+IGNORED = frozenset(("html", "head", "body"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Elements that implied ends do not reach through, and what a start tag closes up to which elements.
+WALLS = frozenset("table td th caption button object template".split())
+CLOSES = {
+    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("table",)), "th": (("td", "th"), ("table",)),
+    "thead": (("thead", "tbody", "tfoot", "tr"), ("table",)), "tbody": (("thead", "tbody", "tfoot", "tr"), ("table",)), "tfoot": (("thead", "tbody", "tfoot", "tr"), ("table",)), "option": (("option",), ("select",)),
+}
+TABLE_PARTS = frozenset("table thead tbody tfoot tr td th caption".split())
+LANDMARKS = ("", "article", "main", "nav", "aside", "footer", "header", "form", "section")
+#: Class, id and role words that mark clutter inside an <article> when its pages are taken as labelled.
+CLUTTER = frozenset("ad ads advert advertisement sponsored promo share social comment comments reply replies related newsletter cookie cookies notice banner popup subscribe menu nav navbar sidebar breadcrumb breadcrumbs".split())
+_PIECE = re.compile(
+    r"""(?P<text>[^<]++)|<!--(?:-?>|.*?(?:--!?>|\Z))|</(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)"""
+    r"""|<(?P<start>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)|(?P<bare><)""",
+    re.S,
+)
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for t in RAW}
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(?:class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]+))""", re.I)
 _NAME = re.compile(r"[a-z]+")
+TAGS = ("#page", *sorted(BLOCK))
+_TAG = {t: i for i, t in enumerate(TAGS)}
 
 
 class Page(NamedTuple):
-    parent: list[int]
-    depth: list[int]
-    features: list[list[int]]
+    parent: np.ndarray  # of each node; node 0 is the page
+    depth: np.ndarray
+    tag: np.ndarray  # index into TAGS
+    landmark: np.ndarray  # index into LANDMARKS
+    own: np.ndarray  # words of the node's own text
+    links: np.ndarray  # those inside links
+    stops: np.ndarray  # sentence ends
+    names: list[tuple[int, str]]  # (node, class, id or role word)
     blocks: list[tuple[int, str]]  # (node, text)
-    tags: list[str]
 
 
 def _feature(name: str) -> int:
@@ -76,99 +110,130 @@ def _id(name: str) -> int:
 
 
 def parse(source: str) -> Page:
-    """Block nodes (0 is the page), their features and the page's text blocks in order."""
-    parent, depth, tags, names = [-1], [0], ["#page"], [[]]
-    own, links, stops, total, total_links = [0], [0], [0], [0], [0]
+    """Block nodes (0 is the page), what their features need, and the page's text blocks in order."""
+    parent, depth, tags, landmark = array("i", [-1]), array("i", [0]), array("i", [0]), array("i", [0])
+    own, links, stops = array("i", [0]), array("i", [0]), array("i", [0])
+    names: list[tuple[int, str]] = []
     out: list[tuple[int, str]] = []
-    stack: list[tuple[str, int]] = [("#page", 0)]  # open elements and the block node they belong to
+    stack: list[tuple[str, int]] = [("#page", 0)]  # open elements and the block node they belong to; '' was closed early
+    at: dict[str, list[int]] = defaultdict(list)  # places of each tag's open elements in the stack
+    walls, blocks_at = [0], [0]  # places of walls and of block elements
     text: list[str] = []
     linked = hidden = 0
 
     def flush() -> None:
         if text:
-            joined = " ".join(html.unescape("".join(text)).split())
+            joined = " ".join("".join(text).split())
             text.clear()
             if joined:
                 out.append((stack[-1][1], joined))
 
-    def pop() -> None:
+    def forget(tag: str) -> None:
         nonlocal linked, hidden
-        tag, _ = stack[-1]
-        if tag in BLOCK:
-            flush()
-        stack.pop()
+        at[tag].pop()
         linked -= tag == "a"
         hidden -= tag in HIDDEN
 
-    def close(tags_: tuple[str, ...], scope: frozenset) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in tags_:
-                while len(stack) > i:
-                    pop()
-                return
-            if stack[i][0] in scope:
-                return
-
-    for m in _PIECE.finditer(source):
-        tag = m[3]
-        if tag is None:
-            piece = m[0]
-            if hidden or m[1] or piece.startswith(("<!", "<?")):
-                continue
-            text.append(piece)
-            node, n = stack[-1][1], len(piece.split())
-            own[node] += n
-            links[node] += n if linked else 0
-            stops[node] += piece.count(".") + piece.count("!") + piece.count("?")
-            continue
-        tag = tag.lower()
-        if m[2]:
-            if any(t == tag for t, _ in stack[1:]):
-                close((tag,), frozenset())
-            continue
-        if tag in VOID:
-            if tag in ("br", "hr") and not hidden:
-                text.append(" ")
-            continue
-        if tag in BLOCK and tag != "p" or tag == "p":
-            if any(t == "p" for t, _ in stack):
-                close(("p",), SCOPE)
+    def pop_to(place: int) -> None:
+        while len(stack) > place:
+            tag = stack[-1][0]
+            if tag in BLOCK:
+                flush()
+                blocks_at.pop()
+            stack.pop()
+            if tag:
+                forget(tag)
+                if tag in WALLS:
+                    walls.pop()
+
+    def end(tag: str) -> None:
+        if not at[tag]:
+            return
+        place = at[tag][-1]
+        if tag in TABLE_PARTS or tag in WALLS or (tag in BLOCK and place > walls[-1]):
+            pop_to(place)
+        elif tag not in BLOCK:
+            if place > blocks_at[-1]:
+                pop_to(place)
+            else:  # an inline element that was opened around blocks: it ends, they go on
+                stack[place] = ("", stack[place][1])
+                forget(tag)
+
+    def start(tag: str, rest: str) -> None:
+        nonlocal linked, hidden
+        if tag in BLOCK:
+            if at["p"] and at["p"][-1] > walls[-1]:
+                pop_to(at["p"][-1])
+            if tag in HEADINGS and stack[blocks_at[-1]][0] in HEADINGS:
+                pop_to(blocks_at[-1])
         if tag in CLOSES:
-            close(CLOSES[tag], SCOPE - {tag})
+            closed, around = CLOSES[tag]
+            limit = max((at[t][-1] for t in around if at[t]), default=0)
+            places = [at[t][-1] for t in closed if at[t] and at[t][-1] > limit]
+            if places:
+                pop_to(min(places))
+        node = stack[-1][1]
         if tag in BLOCK:
             flush()
+            up = parent[node] if depth[node] >= MAX_DEPTH else node
             node = len(parent)
-            up = stack[-1][1]
             parent.append(up)
             depth.append(depth[up] + 1)
-            tags.append(tag)
-            names.append(_NAME.findall(" ".join(a or b or c or "" for _, a, b, c in _ATTRIBUTE.findall(m[4])).lower()) if m[4] else [])
-            for counts in (own, links, stops, total, total_links):
+            tags.append(_TAG[tag])
+            landmark.append(LANDMARKS.index(tag) if tag in LANDMARKS else landmark[up])
+            for counts in (own, links, stops):
                 counts.append(0)
-        else:
-            node = stack[-1][1]
-        if not m[4].endswith("/") or tag in BLOCK:
-            stack.append((tag, node))
-            linked += tag == "a"
-            hidden += tag in HIDDEN
-    while len(stack) > 1:
-        pop()
+            if rest:
+                words = _NAME.findall(" ".join(a or b or c for a, b, c in _ATTRIBUTE.findall(rest)).lower())
+                names.extend((node, w) for w in dict.fromkeys(words))
+            blocks_at.append(len(stack))
+        elif rest.endswith("/"):
+            return
+        elif tag == "a" and at["a"]:
+            end("a")
+        if tag in WALLS:
+            walls.append(len(stack))
+        at[tag].append(len(stack))
+        stack.append((tag, node))
+        linked += tag == "a"
+        hidden += tag in HIDDEN
+
+    place, match = 0, _PIECE.match
+    while m := match(source, place):
+        place = m.end()
+        if (piece := m["text"] or m["bare"]) is not None:
+            if hidden:
+                continue
+            if "&" in piece:
+                piece = html.unescape(piece)
+            text.append(piece)
+            node, n = stack[-1][1], len(piece.split())
+            own[node] += n
+            if linked:
+                links[node] += n
+            stops[node] += piece.count(".") + piece.count("!") + piece.count("?")
+        elif (tag := m["start"]) is not None:
+            tag = tag.lower()
+            if tag in RAW:
+                close = _RAW_END[tag].search(source, place)
+                place = close.end() if close else len(source)
+            elif tag in VOID:
+                if tag == "hr":
+                    if at["p"] and at["p"][-1] > walls[-1]:
+                        pop_to(at["p"][-1])
+                    flush()
+                elif tag == "br" and not hidden:
+                    text.append(" ")
+            elif tag not in IGNORED:
+                start(tag, m["rest"])
+        elif (tag := m["end"]) is not None:
+            if (tag := tag.lower()) == "br":
+                text.append(" ")
+            else:
+                end(tag)
+    pop_to(1)
     flush()
-    for i in range(len(parent) - 1, -1, -1):
-        total[i] += own[i]
-        total_links[i] += links[i]
-        if i:
-            total[parent[i]] += total[i]
-            total_links[parent[i]] += total_links[i]
-    features = []
-    for i in range(len(parent)):
-        f = [_id("bias"), _id(f"tag:{tags[i]}"), _id(f"own:{min(own[i], 80).bit_length()}"), _id(f"all:{min(total[i], 2000).bit_length()}")]
-        f.append(_id(f"links:{0 if not links[i] else 1 + (2 * links[i] > own[i])}"))
-        f.append(_id(f"below:{0 if not total_links[i] else 1 + (2 * total_links[i] > total[i])}"))
-        f.append(_id(f"stops:{min(stops[i], 3)}"))
-        f += [_id(f"name:{n}") for n in set(names[i])]
-        features.append(f)
-    return Page(parent, depth, features, out, tags)
+    return Page(*(np.array(x, np.int64) for x in (parent, depth, tags, landmark, own, links, stops)), names, out)
 
 
 class Forest(NamedTuple):
@@ -178,19 +243,45 @@ class Forest(NamedTuple):
     owner: np.ndarray  # node of each
 
 
+def _ids(prefix: str, values) -> np.ndarray:
+    return np.array([_feature(f"{prefix}:{v}") for v in values], np.int32)
+
+
+_TAG_IDS, _UP_IDS, _LAND_IDS = _ids("tag", TAGS), _ids("up", TAGS), _ids("in", LANDMARKS)
+_OWN_IDS, _ALL_IDS, _STOP_IDS, _LINK_IDS, _BELOW_IDS = _ids("own", range(8)), _ids("all", range(12)), _ids("stops", range(4)), _ids("links", range(3)), _ids("below", range(3))
+_TAG_LAND_IDS = np.array([[_feature(f"tag-in:{t}:{x}") for x in LANDMARKS] for t in TAGS], np.int32)
+
+
+def _bits(n: np.ndarray, most: int) -> np.ndarray:
+    """Bit length of min(n, most)."""
+    return np.frexp(np.minimum(n, most).astype(float))[1]
+
+
 def forest(pages: list[Page]) -> Forest:
     """All pages' trees in one set of arrays."""
-    base = np.cumsum([0, *(len(p.parent) for p in pages)])
-    parent = np.concatenate([np.array(p.parent) + np.where(np.array(p.parent) < 0, 0, b) for p, b in zip(pages, base[:-1], strict=True)])
-    depth = np.concatenate([np.array(p.depth) for p in pages])
+    sizes = np.array([len(p.parent) for p in pages])
+    base = np.cumsum(sizes) - sizes
+    parent = np.concatenate([p.parent + np.where(p.parent < 0, 0, b) for p, b in zip(pages, base, strict=True)])
+    depth, tag, landmark, own, links, stops = (np.concatenate([p[i] for p in pages]) for i in range(1, 7))
     order = np.argsort(depth, kind="stable")
     levels = np.split(order, np.searchsorted(depth[order], np.arange(1, int(depth.max()) + 1)))
-    sizes = [len(f) for p in pages for f in p.features]
-    return Forest(parent, levels, np.array([x for p in pages for f in p.features for x in f]), np.repeat(np.arange(len(parent)), sizes))
-
-
-def sum_product(f: Forest, weight: np.ndarray, couple: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(content) of each node, and the joint marginals of each node (not roots) with its parent: [node, parent's, own]."""
+    total, total_links = own.copy(), links.copy()
+    for nodes in reversed(levels[1:]):
+        np.add.at(total, parent[nodes], total[nodes])
+        np.add.at(total_links, parent[nodes], total_links[nodes])
+    n = len(parent)
+    share = lambda part, whole: np.where(part == 0, 0, 1 + (2 * part > whole))
+    dense = np.column_stack([
+        np.full(n, _feature("bias"), np.int32), _TAG_IDS[tag], _UP_IDS[np.where(parent < 0, 0, tag[parent])], _LAND_IDS[landmark], _TAG_LAND_IDS[tag, landmark], _OWN_IDS[_bits(own, 80)], _ALL_IDS[_bits(total, 2000)],
+        _LINK_IDS[share(links, own)], _BELOW_IDS[share(total_links, total)], _STOP_IDS[np.minimum(stops, 3)],
+    ])
+    owner = np.repeat(np.arange(n, dtype=np.int32), dense.shape[1])
+    named = np.array([(i + b, _id(f"name:{w}")) for p, b in zip(pages, base.tolist(), strict=True) for i, w in p.names], np.int32).reshape(-1, 2)
+    return Forest(parent, levels, np.concatenate([dense.ravel(), named[:, 1]]), np.concatenate([owner, named[:, 0]]))
+
+
+def sum_product(f: Forest, weight: np.ndarray, couple: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """P(content) of each node, and (if pairs) the joint marginals of each node (not roots) with its parent: [node, parent's, own]."""
     n = len(f.parent)
     own = np.zeros((n, 2))
     own[:, 1] = np.bincount(f.owner, weight[f.flat], n)
@@ -200,13 +291,14 @@ def sum_product(f: Forest, weight: np.ndarray, couple: np.ndarray) -> tuple[np.n
         message[nodes] = np.logaddexp(x[:, :, 0], x[:, :, 1])
         np.add.at(up, f.parent[nodes], message[nodes])
     full = up.copy()  # log beliefs with what comes from above
-    joint = np.zeros((n, 2, 2))
+    joint = np.zeros((n if pairs else 0, 2, 2))
     for nodes in f.levels[1:]:
         above = full[f.parent[nodes]] - message[nodes]
         j = above[:, :, None] + couple[None] + up[nodes][:, None, :]
         full[nodes] = np.logaddexp(j[:, 0], j[:, 1])
-        j = np.exp(j - j.max((1, 2), keepdims=True))
-        joint[nodes] = j / j.sum((1, 2), keepdims=True)
+        if pairs:
+            j = np.exp(j - j.max((1, 2), keepdims=True))
+            joint[nodes] = j / j.sum((1, 2), keepdims=True)
     return 1 / (1 + np.exp(np.clip(full[:, 0] - full[:, 1], -40, 40))), joint
 
 
@@ -231,19 +323,20 @@ def fit(pages: list[Page], labels: list[list[int]], steps: int = 300, rate: floa
 
 def silver_labels(page: Page) -> list[int] | None:
     """Labels of a page whose <article> or <main> marks the content; None for a page without one."""
-    marks = [i for i, t in enumerate(page.tags) if t == "article"] or [i for i, t in enumerate(page.tags) if t == "main"]
-    if not marks:
+    marks = np.flatnonzero(page.tag == _TAG["article"])
+    marks = marks if len(marks) else np.flatnonzero(page.tag == _TAG["main"])
+    if not len(marks):
         return None
-    y = [0] * len(page.tags)
-    for i in marks:
-        y[i] = 1
-        up = page.parent[i]
-        while up >= 0:
+    y = [0] * len(page.tag)
+    for up in marks.tolist():
+        while up >= 0 and not y[up]:
             y[up] = 1
-            up = page.parent[up]
-    inside, off = set(marks), {"nav", "aside", "footer", "form", "header"}
-    for i in range(len(y)):
-        if page.parent[i] in inside and page.tags[i] not in off:
+            up = int(page.parent[up])
+    inside = set(marks.tolist())
+    off = {_TAG[t] for t in ("nav", "aside", "footer", "form", "button")}
+    clutter = {i for i, w in page.names if w in CLUTTER}
+    for i, (up, tag) in enumerate(zip(page.parent.tolist(), page.tag.tolist(), strict=True)):
+        if up in inside and tag not in off and i not in clutter:
             inside.add(i)
             y[i] = 1
     return y
@@ -283,34 +376,43 @@ def generate_pages(n: int = GENERATED_PAGES, seed: int = 11) -> Iterator[tuple[s
         comments = "".join(f'<div class="{r.choice(("comment", "reply"))}"><p>{sentence(5, 40)}</p></div>' for _ in range(r.randint(1, 5)))
         return r.choice((f'<section class="comments"><h3>{sentence(1, 2)}</h3>{comments}</section>', f'<div id="comments">{comments}</div>', f'<section id="comments"><ul>{comments.replace("<div", "<li").replace("</div", "</li")}</ul></section>'))
 
+    made_up = lambda: "".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(r.randint(2, 4)))
     for i in range(n):
         kept: list[str] = []
 
         def keep(tag: str, words: str) -> str:
             kept.append(words)  # noqa: B023
-            return f"<{tag}>{words}</{tag}>"
+            return f"<{tag}>{words}</{tag.split()[0]}>"
 
-        body = [keep("h1", sentence(3, 12))]
         brief = r.random() < 0.3  # some articles are but a few words
+        para = r.choice(("p", "p", "p", "p", "div", f'div class="{made_up()}"'))
+        title = keep("h1", sentence(3, 12))
+        body = [f"<header>{title}</header>" if r.random() < 0.1 else title]
         for _ in range(r.randint(0, 2 if brief else 9)):
             pick = r.random()
-            if pick < 0.74:
-                body.append(keep("p", " ".join(sentence(1, 5 if brief else 24) for _ in range(r.randint(1, 2 if brief else 6)))))
-            elif pick < 0.82:
+            if pick < 0.66:
+                body.append(keep(para, " ".join(sentence(1, 5 if brief else 24) for _ in range(r.randint(1, 2 if brief else 6)))))
+            elif pick < 0.74:
                 body.append(keep("h2", sentence(2, 8)))
-            elif pick < 0.88:
+            elif pick < 0.80:
                 body.append("<ul>" + "".join(keep("li", sentence(2, 14)) for _ in range(r.randint(2, 5))) + "</ul>")
-            elif pick < 0.92:
+            elif pick < 0.83:  # a list of links that belongs to the text
+                items = [sentence(1, 6) for _ in range(r.randint(2, 4))]
+                kept.extend(items)
+                body.append("<ul>" + "".join(f'<li><a href="/{made_up()}">{x}</a></li>' for x in items) + "</ul>")
+            elif pick < 0.87:
                 body.append("<blockquote>" + keep("p", sentence(6, 30)) + "</blockquote>")
-            elif pick < 0.95:
+            elif pick < 0.90:
                 body.append("<table><tr>" + "".join(keep("td", sentence(1, 5)) for _ in range(3)) + "</tr></table>")
+            elif pick < 0.93:
+                body.append(r.choice(("<figure><img src='x'>{}</figure>", "<section>{}</section>", "<dl>{}</dl>")).format(keep(r.choice(("figcaption", "pre", "dd")), sentence(3, 12))))
             else:
                 body.append(clutter(r.choice(("ad", "share", "notice"))))
         if r.random() < 0.3:
             body.append(clutter("comments"))
         inner = "".join(body)
-        wrap = r.choice(("<article>{}</article>", "<article>{}</article>", "<main><article>{}</article></main>", "<main>{}</main>", '<div class="content">{}</div>', '<div id="main" class="post entry">{}</div>', '<div class="article-body">{}</div>', "<div>{}</div>"))
-        page = wrap.format(inner)
+        wrap = r.choice(("<article>{}</article>", "<article>{}</article>", "<main><article>{}</article></main>", "<main>{}</main>", '<div class="content">{}</div>', '<div id="main" class="post entry">{}</div>', '<div class="article-body">{}</div>', "<div>{}</div>", '<div class="@">{}</div>', '<div class="@"><div class="@">{}</div></div>'))
+        page = wrap.replace("@", made_up()).format(inner)
         head = [clutter(k) for k in ("notice", "header", "menu", "ad") if r.random() < 0.6]
         tail = [clutter(k) for k in ("comments", "side", "form", "share", "ad", "footer") if r.random() < 0.5]
         middle = f"<div class='wrap'>{page}{clutter('side')}</div>" if r.random() < 0.25 else page
@@ -319,7 +421,7 @@ def generate_pages(n: int = GENERATED_PAGES, seed: int = 11) -> Iterator[tuple[s
 
 def generated_labels(page: Page, kept: list[str]) -> list[int]:
     """A node is content when one of the kept blocks is its own or below it."""
-    y, left = [0] * len(page.parent), {}
+    y, left, parent = [0] * len(page.parent), {}, page.parent.tolist()
     for text in kept:
         key = " ".join(text.split())
         left[key] = left.get(key, 0) + 1
@@ -328,7 +430,7 @@ def generated_labels(page: Page, kept: list[str]) -> list[int]:
             left[text] -= 1
             while node >= 0 and not y[node]:
                 y[node] = 1
-                node = page.parent[node]
+                node = parent[node]
     return y
 
 
@@ -358,7 +460,7 @@ def train(pages: DataFrame, n: int = TRAIN_PAGES) -> Model:
 
 def extract_texts(sources: list[str], model: Model) -> list[str]:
     pages = [parse(s) for s in sources]
-    content, _ = sum_product(forest(pages), model.weight, model.couple) if pages else (np.zeros(0), None)
+    content, _ = sum_product(forest(pages), model.weight, model.couple, pairs=False) if pages else (np.zeros(0), None)
     out, base = [], 0
     for p in pages:
         out.append("\n".join(t for node, t in p.blocks if content[base + node] >= 0.5))
@@ -372,7 +474,7 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, "html"):
+            for part in blocks(batch, "html", BLOCK_BYTES):
                 texts = extract_texts([s or "" for s in part.column(2).to_pylist()], model)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
