@@ -352,6 +352,9 @@ def generate_pages(n: int = GENERATED_PAGES, seed: int = 11) -> Iterator[tuple[s
     def sentence(low: int, high: int) -> str:
         return " ".join("".join(r.choice("aeioulnrst") for _ in range(r.randint(2, 9))) for _ in range(r.randint(low, high))).capitalize() + r.choice((".", ".", ".", "?", ""))
 
+    def some(low: int, high: int) -> str:
+        return " ".join(sentence(low, high) for _ in range(r.choice((1, 1, 2, 3))))
+
     def clutter(kind: str) -> str:
         link = lambda: f'<a href="/{r.randint(1, 99)}">{sentence(1, 3).rstrip(".?")}</a>'
         if kind == "menu":
@@ -366,14 +369,14 @@ def generate_pages(n: int = GENERATED_PAGES, seed: int = 11) -> Iterator[tuple[s
             body = f"<h3>{sentence(1, 3)}</h3><ul>" + "".join(f"<li>{link()}</li>" for _ in range(r.randint(2, 6))) + f"</ul><p>{sentence(4, 14)}</p>"
             return r.choice((f"<aside>{body}</aside>", f'<div class="{r.choice(("sidebar", "widget", "related", "recent-posts"))}">{body}</div>'))
         if kind == "notice":
-            return f'<div class="{r.choice(("cookie", "cookie-notice", "notice", "banner", "alert", "popup", "newsletter"))}"><p>{sentence(6, 25)}</p></div>'
+            return f'<div class="{r.choice(("cookie", "cookie-notice", "notice", "banner", "alert", "popup", "newsletter"))}"><p>{some(4, 16)}</p></div>'
         if kind == "ad":
-            return r.choice((f'<div class="{r.choice(("ad", "ads", "advert", "ad-slot", "sponsored", "promo"))}">{sentence(3, 20)}</div>', f'<aside class="ad"><p>{sentence(4, 20)}</p></aside>'))
+            return r.choice((f'<div class="{r.choice(("ad", "ads", "advert", "ad-slot", "sponsored", "promo"))}">{some(2, 12)}</div>', f'<aside class="ad"><p>{some(3, 14)}</p></aside>'))
         if kind == "form":
             return f'<form action="/go"><p>{sentence(2, 8)}</p><label>{sentence(1, 3)}</label><input name="q"><button>{sentence(1, 1)}</button></form>'
         if kind == "share":
             return f'<div class="{r.choice(("share", "social", "tags", "meta byline"))}">{link()} {link()}</div>'
-        comments = "".join(f'<div class="{r.choice(("comment", "reply"))}"><p>{sentence(5, 40)}</p></div>' for _ in range(r.randint(1, 5)))
+        comments = "".join(f'<div class="{r.choice(("comment", "reply"))}"><p>{some(3, 25)}</p></div>' for _ in range(r.randint(1, 5)))
         return r.choice((f'<section class="comments"><h3>{sentence(1, 2)}</h3>{comments}</section>', f'<div id="comments">{comments}</div>', f'<section id="comments"><ul>{comments.replace("<div", "<li").replace("</div", "</li")}</ul></section>'))
 
     made_up = lambda: "".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(r.randint(2, 4)))
@@ -390,21 +393,21 @@ def generate_pages(n: int = GENERATED_PAGES, seed: int = 11) -> Iterator[tuple[s
         body = [f"<header>{title}</header>" if r.random() < 0.1 else title]
         for _ in range(r.randint(0, 2 if brief else 9)):
             pick = r.random()
-            if pick < 0.66:
+            if pick < 0.58:
                 body.append(keep(para, " ".join(sentence(1, 5 if brief else 24) for _ in range(r.randint(1, 2 if brief else 6)))))
-            elif pick < 0.74:
+            elif pick < 0.66:
                 body.append(keep("h2", sentence(2, 8)))
-            elif pick < 0.80:
+            elif pick < 0.72:
                 body.append("<ul>" + "".join(keep("li", sentence(2, 14)) for _ in range(r.randint(2, 5))) + "</ul>")
-            elif pick < 0.83:  # a list of links that belongs to the text
+            elif pick < 0.75:  # a list of links that belongs to the text
                 items = [sentence(1, 6) for _ in range(r.randint(2, 4))]
                 kept.extend(items)
                 body.append("<ul>" + "".join(f'<li><a href="/{made_up()}">{x}</a></li>' for x in items) + "</ul>")
-            elif pick < 0.87:
+            elif pick < 0.79:
                 body.append("<blockquote>" + keep("p", sentence(6, 30)) + "</blockquote>")
-            elif pick < 0.90:
+            elif pick < 0.82:
                 body.append("<table><tr>" + "".join(keep("td", sentence(1, 5)) for _ in range(3)) + "</tr></table>")
-            elif pick < 0.93:
+            elif pick < 0.85:
                 body.append(r.choice(("<figure><img src='x'>{}</figure>", "<section>{}</section>", "<dl>{}</dl>")).format(keep(r.choice(("figcaption", "pre", "dd")), sentence(3, 12))))
             else:
                 body.append(clutter(r.choice(("ad", "share", "notice"))))
