@@ -390,8 +390,24 @@ def test_feistel_is_a_permutation():
     assert token_shards.feistel(np.arange(1000), 1000, 1).tolist() != token_shards.feistel(np.arange(1000), 1000, 2).tolist()
 
 
+def brute_slots(spark, rows, n_seq, bucket_rows, key=token_shards.KEY):
+    """(slot, doc_id, text, seq) of every sequence, numbered by plain sorting; Spark's hash is taken as given."""
+    size = max(bucket_rows, int(len(rows) ** 0.5))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.xxhash64("text"))
+    hashed = [(r["doc_id"], r["text"], r["h"], r["name"]) for r in df.withColumn("name", F.xxhash64("doc_id", "h", F.lit(key))).collect()]
+    copies, buckets = Counter((i, h) for i, _, h, _ in hashed), len(rows) // size + 1
+
+    def place(i, h, name):
+        return name % buckets if copies[i, h] <= size else buckets + name % (1 << 37) * (1 << 25)
+
+    order = sorted(hashed, key=lambda r: (place(r[0], r[2], r[3]), r[0] is not None, r[0] or 0, r[2]))
+    flat = [(i, t, s) for i, t, _, _ in order for s in range(n_seq[t])]
+    slots = token_shards.feistel(np.arange(len(flat)), len(flat)).tolist()
+    return Counter((slot, *x) for slot, x in zip(slots, flat, strict=True))
+
+
 def test_token_records_round_trip(spark, tmp_path):
-    rows = [r for r in ODD if len(r[1] or "") < 1000] + [(i, prose(i, 50 + i * 7)) for i in range(40)]
+    rows = ODD + [(i, prose(i, 50 + i * 7)) for i in range(40)] + [(None, "one of many copies")] * 70 + [(50, "x" + " " * 3_000_000 + "y" + "\n" * 20_000), (51, "é" * 40_000)]
     docs = documents(spark, rows, extra=True)
     records = token_shards.sequences(docs, length=64, shard=16, bucket_rows=5)
     got = records.collect()
@@ -399,19 +415,46 @@ def test_token_records_round_trip(spark, tmp_path):
     own, parts = token_shards.encoder(token_shards.load_ranks()), defaultdict(list)
     for r in got:
         parts[r["doc_id"]].append((r["seq"], np.frombuffer(r["tokens"], "<u2")[: r["n_tokens"]].tolist()))
+    n_seq = {}
     for i, t in rows:
-        if i != 907:
-            ids = [x for _, p in sorted(parts[i]) for x in p]
-            assert ids[-1] == token_shards.END_OF_TEXT and own.decode(ids[:-1]) == (t or "")
-    assert len(parts[907]) == 2
+        ids = token_shards.encode(t or "", token_shards.load_ranks())
+        assert own.decode(ids) == (t or "")
+        n_seq[t] = len(ids) // 64 + 1
+        if i not in (907, None):
+            assert [x for _, p in sorted(parts[i]) for x in p] == [*ids, token_shards.END_OF_TEXT]
+    assert len(parts[907]) == 2 and len(parts[None]) == 71
+    text = {i: t for i, t in rows if i is not None}
+    decoded = lambda r: text[r["doc_id"]] if r["doc_id"] is not None else own.decode(np.frombuffer(r["tokens"], "<u2")[: r["n_tokens"] - 1].tolist())
+    assert Counter((r["slot"], r["doc_id"], decoded(r), r["seq"]) for r in got) == brute_slots(spark, rows, n_seq, 5)
     again = token_shards.sequences(docs.repartition(3), length=64, shard=16, bucket_rows=5).collect()
     assert {(r["slot"], bytes(r["tokens"])) for r in got} == {(r["slot"], bytes(r["tokens"])) for r in again}
-    manifest = token_shards.write_shards(records, str(tmp_path / "out")).collect()
-    assert sum(m["n_records"] for m in manifest) == len(got)
+    folder = str(tmp_path / "out")
+    manifest = token_shards.write_shards(docs, folder, length=64, shard=16, bucket_rows=5)
+    listed = manifest.collect()
+    assert sum(m["n_records"] for m in listed) == len(got) and all(hashlib.sha256(open(m["path"], "rb").read()).hexdigest() == m["sha256"] for m in listed)
     at = {r["slot"]: bytes(r["tokens"]) for r in got}
-    read = token_shards.read_records(str(tmp_path / "out"), 13, 9, length=64, shard=16)
+    read = token_shards.read_records(folder, 13, 9, length=64, shard=16)
     assert [x.tobytes() for x in read] == [at[s] for s in range(13, 22)]
-    assert token_shards.sequences(docs.limit(0)).count() == 0
+    assert Counter(map(str, token_shards.read_shards(spark.createDataFrame(listed), folder, length=64, shard=16).collect())) == Counter(map(str, got))
+    assert token_shards.sequences(docs.limit(0)).count() == 0 and token_shards.write_shards(docs.limit(0), folder + "-none").count() == 0
+
+
+def test_records_lie_in_ranges_of_shards(spark):
+    docs = documents(spark, [(i, prose(i, 80)) for i in range(60)])
+    rows = token_shards.sequences(docs, length=16, shard=8).withColumn("p", F.spark_partition_id()).collect()
+    held = defaultdict(list)
+    for r in rows:
+        held[r["p"]].append(r["slot"])
+    bounds = sorted((min(s), max(s)) for s in held.values())
+    assert len(held) > 1 and all(s == sorted(s) for s in held.values()) and all(a[1] < b[0] for a, b in zip(bounds, bounds[1:]))
+
+
+def test_runs_of_white_space_are_encoded_exactly():
+    ranks, r = token_shards.load_ranks(), random.Random(8)
+    own = token_shards.encoder(ranks)
+    for _ in range(300):
+        text = "".join(r.choice(["a", "b1", "!", "é", "'s", " ", "\n", "\t", "\u3000", "\x1c"]) * r.choice((1, 1, 2, 5, 9)) for _ in range(r.randint(1, 12)))
+        assert token_shards.encode(text, ranks, long_space=3) == own.encode_ordinary(text), repr(text)
 
 
 def test_toxicity_of_misspelled_stems_and_long_texts(spark):
