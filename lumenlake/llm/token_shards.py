@@ -30,6 +30,7 @@ import base64
 import hashlib
 import math
 import re
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -39,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.llm.bytetok import U64, mix64
-from lumenlake.llm.common import blocks, broadcast_if_small, materialize
+from lumenlake.llm.common import blocks, broadcast_if_small, materialize, scratch_dir
 
 #: The vocabulary's word pattern and its free id.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -202,8 +203,6 @@ def write_shards(docs: DataFrame, folder: str, shard: int = SHARD, length: int =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
         store, base = _store(folder)
         store.create_dir(base, recursive=True)
         state: dict[str, Any] = {}
@@ -273,6 +272,14 @@ def read_shards(manifest: DataFrame, folder: str, shard: int = SHARD, length: in
     return manifest.select("shard", "n_records").repartition("shard").mapInArrow(run, RECORD)
 
 
+def stored_sequences(docs: DataFrame, folder: str | None = None, shard: int = SHARD, length: int = LENGTH, **options) -> DataFrame:
+    """Write docs' shards to a folder (a new one below the shared scratch folder by default) and read their rows back."""
+    spark = docs.sparkSession
+    folder = folder or f"{scratch_dir(spark)}/lumenlake/token-shards-{uuid.uuid4().hex}"
+    manifest = materialize(write_shards(docs, folder, shard, length, **options), "token-manifest")
+    return read_shards(manifest, folder, shard, length)
+
+
 def read_records(folder: str, start: int, count: int, length: int = LENGTH, shard: int = SHARD) -> np.ndarray:
     """The ids of records start .. start + count - 1 of shards written by write_shards(): a resumable sequential read."""
     store, base = _store(folder)
