@@ -67,8 +67,8 @@ class Words(NamedTuple):
     count: np.ndarray  # words of each row
 
 
-def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = WORD) -> Words:
-    """Words of every row, in row order; rows never share a word."""
+def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = WORD, hashed: bool = True) -> Words:
+    """Words of every row, in row order; rows never share a word. Their hashes are left out unless hashed."""
     n, rows = len(data), len(offsets) - 1
     is_word = inside[data]
     first, last = is_word.copy(), is_word.copy()
@@ -80,7 +80,7 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = WORD) -> W
         first[head], last[tail] = is_word[head], is_word[tail]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     doc = np.searchsorted(offsets, start, "right") - 1
-    return Words(doc, start, end, hash_spans(data, start, end), np.bincount(doc, minlength=rows).astype(np.int64))
+    return Words(doc, start, end, hash_spans(data, start, end) if hashed else np.zeros(0, U64), np.bincount(doc, minlength=rows).astype(np.int64))
 
 
 def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
