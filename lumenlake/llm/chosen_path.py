@@ -8,13 +8,16 @@ share tokens keep sharing nodes and the critical branching keeps a pair of simil
 together with probability of at least about 1/(depth + 1) a run. Runs repeat until the expected
 recall of a pair at the threshold is reached.
 
-Leaves with company are the buckets. They are compared by brute force on byte sketches of the
-min-hashes and only yield tree edges of likely pairs. The components of those edges are then
-verified exactly: all pairs of a component are compared on their full shingle sets. Both brute
-force steps deal a group out in blocks of about BLOCK sets, one task for each pair of blocks, so a
-large group of near copies is spread over many tasks and nothing is capped or dropped; the price is
-that such a group's work grows with the square of its different texts, as its links do. Links, and
-the classes that linked texts form, come from the exact step only.
+Leaves with company are the buckets. A bucket of more than SPLIT rows is split further: its sets walk
+SPLIT_STEPS more steps in fresh sub-runs, as many as a recall of SPLIT_RECALL takes, and where that
+lessens the bucket's pairs its parts take its place; and so on until buckets are small or their sets
+too much alike to part. Buckets are compared by brute force on byte sketches of the min-hashes and
+only yield tree edges of likely pairs. The components of those edges are then verified exactly: all
+pairs of a component are compared on their full shingle sets. Both brute force steps deal a group out
+in blocks of about BLOCK sets, the pairs of blocks in turn over the tasks, so a large group of near
+copies is spread evenly and nothing is capped or dropped; the price is that such a group's work grows
+with the square of its different texts, as its links do. Links, and the classes that linked texts
+form, come from the exact step only.
 
 Defined cases: a text of fewer than five words, but not none, is one shingle of all its words; a
 null text or one without words is alone, unless another text is byte-identical to it and not
@@ -45,6 +48,8 @@ RECALL = 0.999
 #: Byte sketches must agree on this share to count as likely; about 5 standard deviations below the threshold.
 LIKELY = 0.6
 BLOCK = 512
+#: Rows of a bucket from which it is split further, steps of a split, its recall, and splits at most.
+SPLIT, SPLIT_STEPS, SPLIT_RECALL, MAX_SPLITS = 64 * BLOCK, 6, 0.9999, 8
 
 
 def runs_needed(similarity: float = SIMILARITY, depth: int = DEPTH, recall: float = RECALL) -> int:
@@ -83,8 +88,12 @@ def min_hashes(doc: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
 
 def paths(mins: np.ndarray, run: int, depth: int = DEPTH, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
     """(row, leaf) of the chosen paths of one run."""
+    return walk(mins, np.full(len(mins), int(mix64(np.array([run + 1], U64))[0]), U64), depth, similarity)
+
+
+def walk(mins: np.ndarray, node: np.ndarray, depth: int, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """(row, leaf) of the chosen paths that begin at each row's node."""
     row = np.arange(len(mins))
-    node = np.full(len(mins), int(mix64(np.array([run + 1], U64))[0]), U64)
     more = U64(int((1 / similarity - 1) * 2**32))
     with np.errstate(over="ignore"):
         for _ in range(depth):
@@ -181,18 +190,65 @@ def full_sets(members: DataFrame) -> DataFrame:
     return members.select("group", "key", "n", "copies", "text").mapInArrow(run, "group long, key long, n long, copies long, payload binary")
 
 
+def split_rows(rows: DataFrame, level: int) -> DataFrame:
+    """(parent, run, group, key): rows(group, key, sketch) a few steps further down, in fresh sub-runs."""
+    runs = runs_needed(depth=SPLIT_STEPS, recall=SPLIT_RECALL)
+    steps = SPLIT_STEPS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parent, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            sketch = np.frombuffer(utf8(batch.column(2))[0].tobytes(), np.uint8).reshape(-1, T)
+            for r in range(runs):
+                row, leaf = walk(sketch, mix64(parent.view(U64) ^ mix64(np.array([(level + 1) * 1000 + r], U64))), steps)
+                pair = np.unique(np.stack([row.astype(np.int64), leaf.view(np.int64)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(parent[pair[0]]), pa.array(np.full(pair.shape[1], r, np.int32)), pa.array(pair[1]), pa.array(key[pair[0]])], ["parent", "run", "group", "key"])
+
+    return rows.select("group", "key", "sketch").mapInArrow(run, "parent long, run int, group long, key long")
+
+
+def buckets(leaves: DataFrame, sketch: DataFrame, limit: int | None = None) -> DataFrame:
+    """(group, key, n): the leaves(group, key) with company, large ones split while that lessens their pairs; n is the group's size."""
+    limit = limit or SPLIT
+    done, now = None, leaves
+    for level in range(MAX_SPLITS + 1):
+        sizes = materialize(now.groupBy("group").agg(F.count("*").alias("n")).where("n > 1"), "join-sizes")
+        sized = now.join(sizes, "group").select("group", "key", "n")
+        large = sizes.where(F.col("n") > limit)
+        if level == MAX_SPLITS or not large.limit(1).count():
+            return sized if done is None else done.unionByName(sized)
+        rows = sized.where(F.col("n") > limit).join(sketch, "key")
+        parts = materialize(split_rows(rows, level), "join-split")
+        counts = parts.groupBy("parent", "run", "group").agg(F.count("*").cast("double").alias("c"))
+        after = counts.where("c > 1").groupBy("parent").agg(F.sum(F.col("c") * F.col("c")).alias("after"))
+        pays = large.join(after, F.col("parent") == F.col("group"), "left").where(F.coalesce("after", F.lit(0.0)) < 0.5 * F.col("n") * F.col("n"))
+        pays = broadcast_if_small(materialize(pays.select(F.col("group").alias("parent")), "join-pays"))
+        kept = materialize(sized.join(pays, sized["group"] == pays["parent"], "left_anti"), "join-kept")
+        done = kept if done is None else done.unionByName(kept)
+        now = parts.join(pays, "parent", "left_semi").select("group", "key")
+    raise AssertionError("unreachable")
+
+
 def in_blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """Deal rows(group, key, n, copies, payload) out to pairs of blocks of their group: g names the pair, left
-    and right say in which of its blocks a row is (both, when a block meets itself)."""
-    count = F.ceil(F.col("n") / block)
+    and right say in which of its blocks a row is (both, when a block meets itself). A group's pairs go to the tasks in turn."""
+    count = F.ceil(F.col("n") / block).cast("long")
+    low, high = F.least("_own", "_other"), F.greatest("_own", "_other")
+    turn = F.expr("_low * (2 * _count - _low - 1) div 2") + high
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        rows.withColumn("_own", F.pmod(F.xxhash64("key", "group"), count))
-        .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), count.cast("long") - 1)))
+        rows.withColumn("_count", count)
+        .withColumn("_own", F.pmod(F.xxhash64("key", "group"), F.col("_count")))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_count") - 1)))
+        .withColumn("_low", low)
         .select(
-            F.xxhash64("group", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("g"), "key", "copies", "payload",
+            F.pmod(F.xxhash64("group") % tasks + turn, F.lit(tasks)).cast("int").alias("task"), F.xxhash64("group", "_low", high).alias("g"), "key", "copies", "payload",
             (F.col("_own") <= F.col("_other")).alias("left"), (F.col("_own") >= F.col("_other")).alias("right"),
         )
-        .repartition("g")
+        .repartitionById(tasks, "task")
+        .drop("task")
         .sortWithinPartitions("g", "key")
     )
 
@@ -299,9 +355,8 @@ def keyed_join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     classes = materialize(named.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "join-classes")
     one = materialize(rows.where("key <> 0").select("key", "sketch", "leaves").dropDuplicates(["key"]), "join-sets")
     leaves = one.select("key", F.explode(F.array_distinct("leaves")).alias("group"))
-    company = leaves.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = leaves.join(company, "group").join(one.select("key", F.col("sketch").alias("payload")), "key").withColumn("copies", F.lit(1).cast("long"))
-    edges = likely_edges(in_blocks(buckets.select("group", "key", "n", "copies", "payload")))
+    together = buckets(leaves, one.select("key", "sketch")).join(one.select("key", F.col("sketch").alias("payload")), "key").withColumn("copies", F.lit(1).cast("long"))
+    edges = likely_edges(in_blocks(together.select("group", "key", "n", "copies", "payload")))
     groups = components(edges, "join-candidates")
     whole = groups.select(F.col("node").alias("key"), F.col("component").alias("group")).unionByName(groups.select(F.col("component").alias("key"), F.col("component").alias("group")).distinct())
     sizes = whole.groupBy("group").agg(F.count("*").alias("n"))

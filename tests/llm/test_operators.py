@@ -295,6 +295,31 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch):
     assert chosen_path.jaccard_join(docs.limit(0)).count() == 0
 
 
+def test_large_buckets_are_split(spark, monkeypatch):
+    """Texts that share a template (half of their shingles) meet in large buckets; some have near copies."""
+    template, rows = prose(77, 80), []
+    for i in range(160):
+        own = prose(5000 + i, 70).split()
+        rows.append((i, template + " " + " ".join(own)))
+        if i % 8 == 0:
+            own[i % 70] = "changed"
+            rows.append((1000 + i, template + " " + " ".join(own)))
+    docs = documents(spark, rows)
+    one = chosen_path.sketches(docs, chosen_path.runs_needed())
+    leaves = one.select("key", F.explode(F.array_distinct("leaves")).alias("group"))
+    pairs = lambda limit: chosen_path.buckets(leaves, one.select("key", "sketch"), limit).groupBy("group").agg(F.count("*").alias("c"), F.first("n").alias("n")).selectExpr("sum(c * c)", "max(c)", "min(c = n)").first()
+    whole, split = pairs(10**6), pairs(12)
+    assert whole[2] and split[2] and split[0] < 0.6 * whole[0] and split[1] < whole[1]
+    monkeypatch.setattr(chosen_path, "SPLIT", 12)
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in chosen_path.jaccard_join(docs).collect()) == brute_join(rows)
+
+
+def test_pairs_of_blocks_go_to_the_tasks_in_turn(spark):
+    rows = spark.range(2000).selectExpr("1L AS `group`", "id AS key", "2000L AS n", "1L AS copies", "CAST('x' AS BINARY) AS payload")
+    dealt = chosen_path.in_blocks(rows, 500).withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.countDistinct("g").alias("pairs")).collect()
+    assert sorted(r["pairs"] for r in dealt) == [2, 2, 3, 3]  # ten pairs of four blocks over four tasks
+
+
 def test_components(spark):
     r = random.Random(4)
     pairs = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)] + [(5, 5)]
