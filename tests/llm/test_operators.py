@@ -103,9 +103,48 @@ def test_decontaminate_equals_brute_force(spark):
 
 def test_proximity(spark):
     item = "one two three four five six seven eight nine ten"
-    docs = documents(spark, [(1, "so one two x three four five six y seven eight nine ten so"), (2, "ten nine eight seven six five four three two one"), (3, item), (4, item.replace("five", "z " * 40 + "five"))])
+    docs = documents(spark, [(1, "so one two x three four five six y seven eight nine ten so"), (2, "ten nine eight seven six five four three two one"), (3, item), (4, item.replace("five", "z " * 40 + "five")), (5, "one " + item), (6, "one two x x x x " + item)])
     got = {r["doc_id"] for r in decontaminate.proximity(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), slop=4).collect()}
-    assert got == {1, 3}
+    assert got == {1, 3, 5, 6}
+
+
+def test_proximity_equals_brute_force(spark):
+    r = random.Random(6)
+    word = lambda: r.choice("abcdefghijkl")
+    items = [(i, " ".join(word() for _ in range(r.choice((3, 4, 6))))) for i in range(12)]
+    rows = [(i, " ".join(word() for _ in range(r.randint(0, 60)))) for i in range(80)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = Counter()
+    for i, t in rows:
+        w, near = t.split(), set()
+        for n, x in items:
+            x = x.split()
+            for j in range(max(1, len(x) - 3)):
+                win = x[j : j + 4]
+                for s in range(len(w)):
+                    rest = iter(w[s : s + len(win) + 2])
+                    near |= {n} if all(any(a == b for b in rest) for a in win) else set()
+        want[i, len(near)] += 1
+    for parts in (10**6, 10):
+        assert Counter((r["doc_id"], r["n_near"]) for r in decontaminate.decontaminate(documents(spark, rows), bench, k=4, slop=2, part_words=parts).collect()) == want
+
+
+def test_one_index_serves_several_benchmarks(spark, tmp_path):
+    docs = documents(spark, [(i, prose(i, 40)) for i in range(12)])
+    decontaminate.build_index(docs.select(F.struct("doc_id").alias("row"), "text")).write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    for n in (3, 7):
+        bench = spark.createDataFrame([(1, prose(n, 40)[20:150])], "item_id long, text string")
+        assert [r["row"]["doc_id"] for r in decontaminate.search_benchmark(index, bench).where("length(hits) > 0").collect()] == [n]
+
+
+def test_a_long_item_is_cut_into_overlapping_parts(spark):
+    item = prose(31, 90)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = documents(spark, [(i, " ".join(item.split()[i : i + 10])) for i in range(80)])
+    out = decontaminate.decontaminate(docs, bench, part_words=25).collect()
+    assert all(r["n_hit"] == 10 and r["n_items"] == 1 for r in out)
+    assert all(sum(len(h) for _, h in part) <= 25 for part in decontaminate.benchmark_parts(bench, part_words=25))
 
 
 def test_url_parts_and_rules(spark):
