@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where it is unset (tests), a local one."""
+    """The shared folder named by spark.checkpoint.dir; where it is unset, a local one in local mode, else an error."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _local_scratch:
         _local_scratch.append(tempfile.mkdtemp(prefix="spark-"))
     return _local_scratch[0]
@@ -71,6 +74,14 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def bounded(rows: DataFrame, most: dict[int, int]) -> DataFrame:
+    """rows(y, h, ...) of training features: each h once a class, and at most most[y] rows of class y in the order of h, so
+    that an id with very many rows sends no more to the driver than any other sample."""
+    rows = materialize(rows.dropDuplicates(["y", "h"]), "training-rows")
+    parts = [rows.where(F.col("y") == y).orderBy("h").limit(n) for y, n in most.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def held_out(doc_id, modulus: int, remainder: int):
     """crc32 of the id as text, modulo: True for rows whose labels must not be learned. Null ids: False."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == remainder, F.lit(False))

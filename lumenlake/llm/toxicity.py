@@ -9,7 +9,8 @@ of the corpus need them. A stem's automaton is that of its prefix, and toxic wor
 terms of their own. Every hit gets a context: the words around it and the quotation marks that
 enclose it. A logistic model over exact, stem, misspelled and misspelled stem hits, quoted or not,
 the misspelled ones by number and by rate, gives the score; quoted hits start from a prior that
-weighs them less.
+weighs them less. A hit is quoted when the nearest marks around it, within the window, open before
+it and close after it.
 
 Defined cases: null and empty texts have no hits and get the score of a text without any; a null
 doc_id is never held out and never learned from; repeated rows are scored each; labels that are
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.llm.bytetok import mix64, shingles, utf8, words
-from lumenlake.llm.common import blocks, held_out, materialize
+from lumenlake.llm.common import blocks, bounded, held_out, materialize
 
 #: Labelled rows that training reads at most, in hash order.
 TRAIN_TOXIC, TRAIN_CLEAN = 3_000, 6_000
@@ -42,7 +43,7 @@ SPARSE_WORDS = 200
 CUT = 0.3
 HOLD_OUT = (4, 2)
 #: Marks that open or close a quotation, and words that report speech.
-QUOTES = '"“”„«»'
+QUOTES = "\"'“”„‚‘’«»"
 REPORTING = ("said", "says", "called", "wrote", "quote", "quoted", "term", "word", "dijo", "sagte", "schrieb", "dit", "disait")
 #: Numbers of hits by kind: exact, stem, misspelled, each unquoted and quoted; reported ones; misspelled stems, unquoted
 #: and quoted; then the rates of misspelled terms and of misspelled stems.
@@ -163,6 +164,25 @@ class Model(NamedTuple):
     bias: float
 
 
+def _nearest_mark(text: str, places: range, beyond: str) -> tuple[str, str] | None:
+    """The characters to the left and right of the first quotation mark at `places`; marks between letters are apostrophes.
+    beyond: what stands next to the text on the hit's side."""
+    for i in places:
+        if text[i] in QUOTES:
+            left, right = text[i - 1] if i else (" " if places.step < 0 else beyond), text[i + 1] if i + 1 < len(text) else (beyond if places.step < 0 else " ")
+            if not (left.isalnum() and right.isalnum()):
+                return left, right
+    return None
+
+
+def enclosed(before: str, after: str) -> bool:
+    """Whether a hit stands in quotation marks: the nearest mark before it opens (nothing but space or a bracket to its left,
+    text to its right) and the nearest one after it closes (text to its left, no letter to its right)."""
+    opening = _nearest_mark(before, range(len(before) - 1, -1, -1), "x")
+    closing = _nearest_mark(after, range(len(after)), "x")
+    return bool(opening and closing) and (opening[0].isspace() or opening[0] in "([{-–—:>") and not opening[1].isspace() and not closing[0].isspace() and not closing[1].isalnum()
+
+
 def hit_features(column: pa.Array, automaton: Automaton) -> np.ndarray:
     """Hits of each text by kind and context."""
     data, offsets = utf8(column)
@@ -187,7 +207,7 @@ def hit_features(column: pa.Array, automaton: Automaton) -> np.ndarray:
             before = raw[offsets[doc] : w.start[at]].decode("utf-8", "replace")
         if high == len(w.doc) - 1 or w.doc[high + 1] != doc:
             after = raw[w.end[at] : offsets[doc + 1]].decode("utf-8", "replace")
-        quoted = any(q in before for q in QUOTES) and any(q in after for q in QUOTES)
+        quoted = enclosed(before, after)
         out[doc, COLUMN[kind[at] - 1] + quoted] += 1
         out[doc, 6] += any(r in before.lower().split() for r in REPORTING)
     out[:, 9:] = out[:, RATED] * (SPARSE_WORDS / np.maximum(w.count, SPARSE_WORDS))[:, None]
@@ -312,9 +332,9 @@ def train(docs: DataFrame, labels: DataFrame, n_toxic: int = TRAIN_TOXIC, n_clea
         automaton = Automaton(lexicon)
         for batch in batches:
             for part in blocks(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(list(hit_features(part.column(0), automaton)), pa.list_(pa.float64()))], ["y", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(list(hit_features(part.column(0), automaton)), pa.list_(pa.float64())), part.column(2)], ["y", "x", "h"])
 
-    got = sample.mapInArrow(extract, "y int, x array<double>").toPandas()
+    got = bounded(sample.select("text", "y", F.xxhash64("text").alias("h")).mapInArrow(extract, "y int, x array<double>, h long"), {1: n_toxic, 0: n_clean}).toPandas()
     if got.empty or got["y"].nunique() < 2:
         return Model(lexicon, np.zeros(KINDS), float(np.log(0.05 / 0.95)))
     x, y = np.stack(got["x"].to_numpy()), got["y"].to_numpy()
