@@ -1,13 +1,16 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-Every document gets a hash-random key. Within its source the documents are range-sorted by that
-key: equal-width key ranges (buckets of about `bucket_rows` documents) are sorted on their own,
-and a prefix sum over the small table of bucket totals gives each bucket's offset, so a source
-that holds a third of all rows is spread over many tasks. The source is then cut at its exact
-budget: whole epochs first, then the documents below the cut, the last of them in part.
+Every document gets a key hashed from its id and text. Within its source the documents are
+range-sorted by that key: equal-width key ranges are sorted on their own, and a prefix sum over the
+table of bucket totals gives each bucket's offset, so a source that holds a third of all rows is
+spread over many tasks. A bucket holds about max(bucket_rows, sqrt(rows of the source)) documents,
+so neither it nor the table of totals grows beyond the square root of a source. The source is then
+cut at its exact budget: whole epochs first, then the documents below the cut, the last of them in
+part. Where one (id, text) is repeated more than a bucket's rows, its copies follow the bucket's other
+rows in chunks of their own: as they are equal, it does not matter which of them is taken.
 
 Defined cases: a null text has size 0; a null source is a source of its own and sorts last; ties
-of the key are broken by doc_id, then size; repeated rows are documents of their own; no
+of the key are broken by doc_id, then size (rows that tie then are equal); repeated rows are documents of their own; no
 documents give an empty result; extra columns are ignored (mix) or kept (mixed_documents).
 """
 
@@ -29,8 +32,8 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(NOT_SPACE)), F.lit(0)).cast("long")
 
 
-def mix_key(doc_id: Column, seed: str) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def mix_key(doc_id: Column, text: Column, seed: str) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -53,8 +56,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
         ranked.withColumn("_level", level)
         .withColumn("_target", F.least(F.col("_cap").cast("double"), F.col("_weight") * F.max("_level").over(everything)))
         .withColumn("_budget", F.least(F.round("_target").cast("long"), F.col("_cap")))
-        .withColumn("_buckets", F.ceil(F.col("_rows") / bucket_rows))
-        .select("_source", "_rank", "_source_size", "_target", "_budget", "_buckets")
+        .withColumn("_bucket_rows", F.greatest(F.lit(bucket_rows).cast("double"), F.floor(F.sqrt("_rows"))))
+        .withColumn("_buckets", F.ceil(F.col("_rows") / F.col("_bucket_rows")))
+        .select("_source", "_rank", "_source_size", "_target", "_budget", "_buckets", "_bucket_rows")
     )
 
 
@@ -68,19 +72,37 @@ def _taken(sized: DataFrame, narrow: DataFrame, seed: str, **options) -> DataFra
         named = targets.withColumnRenamed("_source", "_named")
         return df.join(named, df["_source"].eqNullSafe(named["_named"])).drop("_named").withColumn("_bucket", bucket)
 
+    ranged = dealt(narrow)
+    full = ranged.groupBy("_rank", "_bucket", "_bucket_rows").agg(F.count("*").alias("_n")).where(F.col("_n") > 4 * F.col("_bucket_rows")).select("_rank", "_bucket")
+    crowded = materialize(full, "mix-crowded")
+    copies = None
+    if crowded.limit(1).count():
+        of = ranged.join(broadcast_if_small(crowded), ["_rank", "_bucket"]).groupBy("_rank", "_bucket", "_bucket_rows", "_key").agg(F.count("*").alias("_n"))
+        copies = broadcast_if_small(materialize(of.where(F.col("_n") > F.col("_bucket_rows")).select("_rank", "_bucket", "_key", F.ceil(F.col("_n") / F.col("_bucket_rows")).alias("_chunks")), "mix-copies"))
+
+    def chunked(df: DataFrame) -> DataFrame:
+        """df with the chunk of a row that has very many copies; 0 for all others, which come first in their bucket."""
+        if copies is None:
+            return df.withColumn("_chunk", F.lit(0).cast("long"))
+        own = F.pmod(F.xxhash64("_key"), F.lit(1 << 40)) * (1 << 20) + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_chunks")) + 1
+        return df.join(copies, ["_rank", "_bucket", "_key"], "left").withColumn("_chunk", F.coalesce(F.when(F.col("_chunks").isNotNull(), own), F.lit(0)).cast("long")).drop("_chunks")
+
+    # which copy falls into which chunk must not change between the two uses below
+    narrow, sized = (ranged, dealt(sized)) if copies is None else (dealt(sized),) * 2
+    rows = chunked(sized) if copies is None else materialize(chunked(sized), "mix-chunked")
     starts = (
-        dealt(narrow)
-        .groupBy("_rank", "_bucket")
+        (chunked(narrow) if copies is None else rows)
+        .groupBy("_rank", "_bucket", "_chunk")
         .agg(F.sum("_size").alias("_sum"))
-        .withColumn("_offset", F.coalesce(F.sum("_sum").over(Window.partitionBy("_rank").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .select("_rank", "_bucket", "_offset")
+        .withColumn("_offset", F.coalesce(F.sum("_sum").over(Window.partitionBy("_rank").orderBy("_bucket", "_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .select("_rank", "_bucket", "_chunk", "_offset")
     )
-    order = Window.partitionBy("_rank", "_bucket").orderBy("_key", F.asc_nulls_first("doc_id"), "_size")
-    run = dealt(sized).withColumn("_before", F.coalesce(F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    order = Window.partitionBy("_rank", "_bucket", "_chunk").orderBy("_key", F.asc_nulls_first("doc_id"), "_size")
+    run = rows.withColumn("_before", F.coalesce(F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     epochs = F.when(F.col("_source_size") > 0, F.expr("_budget div _source_size")).otherwise(0)
     rest = F.col("_budget") - epochs * F.col("_source_size") - F.col("_offset") - F.col("_before")
     return (
-        run.join(starts, ["_rank", "_bucket"])
+        run.join(starts, ["_rank", "_bucket", "_chunk"])
         .withColumn("_part", F.greatest(F.lit(0), F.least(F.col("_size"), rest)))
         .withColumn("_epochs", epochs)
         .withColumn("_taken", F.col("_epochs") * F.col("_size") + F.col("_part"))
@@ -88,7 +110,7 @@ def _taken(sized: DataFrame, narrow: DataFrame, seed: str, **options) -> DataFra
 
 
 def _sized(docs: DataFrame, seed: str) -> DataFrame:
-    return docs.withColumns({"_source": F.col("source"), "_size": n_words(F.col("text")), "_key": mix_key(F.col("doc_id"), seed)})
+    return docs.withColumns({"_source": F.col("source"), "_size": n_words(F.col("text")), "_key": mix_key(F.col("doc_id"), F.col("text"), seed)})
 
 
 def mix(docs: DataFrame, seed: str = "mix-1", **options) -> DataFrame:
@@ -120,7 +142,7 @@ def mixed_documents(docs: DataFrame, seed: str = "mix-1", **options) -> DataFram
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-                  md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+                  md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS k FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rnk FROM d GROUP BY source),
 w AS (SELECT *, CAST((rnk - 1) % 3 + 1 AS DOUBLE) AS weight, source_size * 3 AS cap FROM s),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0.0)) AS lvl
