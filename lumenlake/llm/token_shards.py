@@ -78,10 +78,10 @@ def encoder(ranks: bytes, pattern: str = PATTERN):
     return _encoders[name]
 
 
-def encode(text: str, ranks: bytes, long_space: int = LONG_SPACE) -> list[int]:
-    """The text's ids. A long run of white space is one word of the pattern but for its last character, which goes with
+def encode(text: str, ranks: bytes, long_space: int = LONG_SPACE, own: Any = None) -> list[int]:
+    """The text's ids (own: the encoder of ranks, where it is at hand). A long run of white space is one word of the pattern but for its last character, which goes with
     the word that follows; the text is cut there and the run encoded as the one word that it is."""
-    own, out, at = encoder(ranks), [], 0
+    own, out, at = own or encoder(ranks), [], 0
     if len(text) >= long_space:
         for m in re.finditer(f"{_SPACE}{{{long_space},}}", text):
             stop = m.end() - (m.end() < len(text))
@@ -113,9 +113,10 @@ def tokenized(docs: DataFrame, ranks: bytes) -> DataFrame:
     16-bit little-endian numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(ranks)
         for batch in batches:
             for part in blocks(batch, "text"):
-                texts = [np.array([*encode(t or "", ranks), END_OF_TEXT], "<u2") for t in part.column(3).to_pylist()]
+                texts = [np.array([*encode(t or "", ranks, own=own), END_OF_TEXT], "<u2") for t in part.column(3).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([len(t) for t in texts], pa.int64()), pa.array([t.tobytes() for t in texts], pa.binary())], ["bucket", "doc_id", "h", "n_tokens", "ids"])
 
     return docs.select("bucket", "doc_id", "h", "text").mapInArrow(run, "bucket long, doc_id long, h long, n_tokens long, ids binary")
