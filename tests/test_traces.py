@@ -1,110 +1,169 @@
+"""Traces built at random against plain recursion, and a few shapes by hand."""
+
+import random
+from dataclasses import replace
 from datetime import timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from lumenlake.operators import search, traces
-from tests.data import H0, H1, H2, logs, spans
+from tests.data import H0, H2, logs, spans
 
 MS = 1_000_000
-T1, T2 = "a" * 32, "b" * 32
-ROOT = H0 + timedelta(minutes=59, seconds=59)
+ms = lambda n: timedelta(milliseconds=n)
+
+
+def made(seed: int = 5, n_traces: int = 25) -> list[dict]:
+    r, out = random.Random(seed), []
+    for t in range(n_traces):
+        begin = r.randint(0, 7_000_000)
+        for i in range(r.randint(1, 14)):
+            parent = None if i == 0 else r.choice([f"{t}-{r.randrange(i)}"] * 5 + [f"{t}-gone", None])
+            out.append({
+                "ts": H0 + ms(begin + r.randint(0, 900) * (i > 0)), "trace_id": f"{t:032x}", "span_id": f"{t}-{i}", "parent_span_id": parent, "service": r.choice(("mill", "forge", "kiln")), "name": r.choice(("grind", "melt", "bake")),
+                "kind": r.randint(0, 5), "status_code": r.choice((0, 0, 1, 2)), "duration_ns": r.randint(0, 400) * MS, "project": "p1" if t % 6 else "p9", "attributes": r.choice((None, '{"step":"3"}')),
+            })
+    r.shuffle(out)
+    return out
 
 
 @pytest.fixture(scope="module")
-def rows(spark):
-    return spans(spark, [
-        {"ts": ROOT, "environment": "prod", "trace_id": T1, "span_id": "root", "name": "GET /cart", "kind": 2, "status_code": 2, "duration_ns": 120 * MS, "attributes": '{"http.route":"/cart"}'},
-        {"ts": ROOT + timedelta(milliseconds=10), "environment": "prod", "trace_id": T1, "span_id": "client", "parent_span_id": "root", "name": "db.query", "kind": 3, "status_code": 1, "duration_ns": 80 * MS},
-        {"ts": H1 + timedelta(seconds=1), "service": "worker", "environment": "staging", "trace_id": T1, "span_id": "worker", "parent_span_id": "client", "name": "process", "kind": 5, "status_code": 2, "duration_ns": 40 * MS, "links": f'[{{"trace_id":"{T2}","span_id":"tick"}},{{"trace_id":"{T2}","span_id":"none"}}]'},
-        {"ts": H1 + timedelta(minutes=10), "service": "worker", "environment": "prod", "trace_id": T2, "span_id": "tick", "name": "tick", "kind": 1, "status_code": 0, "duration_ns": 5 * MS},
-        {"ts": H1 + timedelta(minutes=20), "project": "p2", "trace_id": T1, "span_id": "other", "name": "GET /cart", "kind": 2, "status_code": 0, "duration_ns": MS},
-    ])
+def given():
+    return made()
 
 
-BASE = search.Search("p1", H0, H2)
+@pytest.fixture(scope="module")
+def rows(spark, given):
+    return spans(spark, given)
 
 
-@pytest.mark.parametrize(("filters", "expected"), [
-    ({}, "tick worker client root"), ({"service": "api"}, "client root"), ({"status": "error"}, "worker root"), ({"status": "ok"}, "client"), ({"status": "unset"}, "tick"),
-    ({"min_duration_ns": 50 * MS}, "client root"), ({"root": True}, "tick root"), ({"trace_id": T1.upper()}, "worker client root"), ({"attrs": ("http.route:/cart",)}, "root"), ({"start": H1}, "tick worker"),
-])
-def test_spans_search(rows, filters, expected):
-    from dataclasses import replace
+def by_trace(given):
+    out = {}
+    for s in given:
+        out.setdefault((s["project"], s["trace_id"]), []).append(s)
+    return out
 
-    assert " ".join(r["span_id"] for r in search.spans_search(rows, replace(BASE, **filters)).collect()) == expected
 
+def plain_tree(own, hidden=()):
+    """(span, depth, orphan, has children) by recursion; without cycles."""
+    ids = {s["span_id"] for s in own}
+    below = lambda p: sorted((s for s in own if s["parent_span_id"] == p), key=lambda s: (s["ts"], s["span_id"]))
 
-def test_trace_get_and_summary(spark, rows):
-    got = traces.trace_get(rows, "p1", T1.upper(), H0, H2).collect()
-    assert [r["span_id"] for r in got] == ["root", "client", "worker"]
-    with pytest.raises(ValueError):
-        traces.trace_get(rows, "p1", "xyz", H0, H2)
-    one = traces.trace_summary(rows).where(f"project = 'p1' AND trace_id = '{T1}'").first()
-    assert (one["start_ts"], one["end_ts"], one["services"], one["spans"]) == (ROOT, H1 + timedelta(seconds=1, milliseconds=40), ["api", "worker"], 3)
-    assert one["duration_ns"] == 2_040 * MS
-    four = spans(spark, [{"ts": H0 + timedelta(seconds=i), "trace_id": T1, "span_id": str(i), "service": f"svc-{3 - i}", "duration_ns": MS} for i in range(4)])
-    cut = traces.trace_summary(four, cap=3).first()
-    assert cut["end_ts"] == H0 + timedelta(seconds=2, milliseconds=1) and cut["services"] == ["svc-1", "svc-2", "svc-3"]
+    def visit(s, depth, lost):
+        children = below(s["span_id"])
+        yield s["span_id"], depth, lost, bool(children)
+        if s["span_id"] not in hidden:
+            for c in children:
+                yield from visit(c, depth + 1, False)
 
+    for s in sorted(own, key=lambda s: (s["ts"], s["span_id"])):
+        if s["parent_span_id"] is None or s["parent_span_id"] not in ids:
+            yield from visit(s, 0, s["parent_span_id"] is not None)
 
-def tree(spark, given, collapsed=None):
-    rows = spans(spark, [{"ts": H0 + timedelta(milliseconds=s), "trace_id": T1, "span_id": i, "parent_span_id": p, "duration_ns": d * MS} for i, p, s, d in given])
-    bars = {r["span_id"]: (r["offset_pct"], r["width_pct"]) for r in traces.waterfall_bars(rows).collect()}
-    out = traces.trace_tree(rows, collapsed=collapsed).orderBy("position").collect()
-    return [(r["span_id"], r["depth"], r["is_orphan"], r["has_children"]) for r in out], bars
-
-
-def test_trees_and_waterfalls(spark):
-    got, bars = tree(spark, [("worker", "client", 60, 100), ("root", None, 0, 200), ("client", "root", 20, 150)])
-    assert got == [("root", 0, False, True), ("client", 1, False, True), ("worker", 2, False, False)]
-    assert bars == {"root": (0, 100), "client": (10, 75), "worker": (30, 50)}
-    assert tree(spark, [("root", None, 0, 100), ("lost", "gone", 50, 10)])[0] == [("root", 0, False, False), ("lost", 0, True, False)]
-    assert [r[0] for r in tree(spark, [("root", None, 0, 9), ("b", "root", 10, 5), ("a", "root", 10, 5), ("c", "root", 5, 5)])[0]] == ["root", "c", "a", "b"]
-    cycles = tree(spark, [("self", "self", 0, 1), ("x", "y", 1, 1), ("y", "x", 2, 1)])[0]
-    assert sorted(r[0] for r in cycles) == ["self", "x", "y"] and all(r[1] >= 0 for r in cycles)
-    assert tree(spark, [("root", None, 0, 0)])[1] == {"root": (0, 0.5)}
-    offset, width = tree(spark, [("root", None, 0, 100), ("end", "root", 100, 0)])[1]["end"]
-    assert width == 0.5 and offset + width <= 100
-    forest = [("root", None, 0, 9), ("a", "root", 1, 5), ("a1", "a", 2, 1), ("a2", "a1", 3, 1), ("b", "root", 4, 1), ("lost", "gone", 5, 1)]
-    assert [r[0] for r in tree(spark, forest, ["a"])[0]] == ["root", "a", "b", "lost"]
-    assert [r[0] for r in tree(spark, forest, ["root"])[0]] == ["root", "lost"]
-
-
-def test_many_traces_in_small_batches(spark):
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+
+BASE = search.Search("p1", H0, H2)
+
+
+@pytest.mark.parametrize(("filters", "keep"), [
+    ({}, lambda s: True), ({"service": "kiln"}, lambda s: s["service"] == "kiln"), *[({"status": name}, lambda s, c=c: s["status_code"] == c) for c, name in enumerate(("unset", "OK", "error"))],
+    ({"min_duration_ns": 250 * MS}, lambda s: s["duration_ns"] >= 250 * MS), ({"root": True}, lambda s: s["parent_span_id"] is None), ({"name": "melt"}, lambda s: s["name"] == "melt"),
+    ({"trace_id": f"{11:032X}"}, lambda s: s["trace_id"] == f"{11:032x}"), ({"attrs": ("step:3",)}, lambda s: s["attributes"] is not None), ({"start": H0 + ms(3_000_000)}, lambda s: s["ts"] >= H0 + ms(3_000_000)),
+])
+def test_spans_search_equals_plain_filters(given, rows, filters, keep):
+    want = [(s["ts"], n, s["span_id"]) for n, s in enumerate(given) if s["project"] == "p1" and keep(s)]
+    got = [r["span_id"] for r in search.spans_search(rows, replace(BASE, **(filters | {"limit": 1000}))).collect()]
+    assert got == [i for *_, i in sorted(want, reverse=True)] and got
+
+
+def test_lookup_and_summary_equal_plain_ones(given, rows):
+    summary = {(r["project"], r["trace_id"]): r for r in traces.trace_summary(rows).collect()}
+    groups = by_trace(given)
+    assert summary.keys() == groups.keys()
+    for key, own in groups.items():
+        start, end = min(s["ts"] for s in own), max(s["ts"] + ms(s["duration_ns"] // MS) for s in own)
+        r = summary[key]
+        assert (r["start_ts"], r["end_ts"], r["spans"], r["services"], r["duration_ns"]) == (start, end, len(own), sorted({s["service"] for s in own}), int((end - start) / ms(1)) * MS)
+    own = groups["p1", f"{7:032x}"]
+    got = [r["ts"] for r in traces.trace_get(rows, "p1", f"{7:032X}", H0, H2 + timedelta(hours=1)).collect()]
+    assert got == sorted(s["ts"] for s in own)
+    assert traces.trace_get(rows, "p1", own[0]["trace_id"], H0, H2 + timedelta(hours=1), cap=1).count() == min(2, len(own))
+    for bad in ("", "7", "g" * 32, "0" * 33):
+        with pytest.raises(ValueError):
+            traces.trace_get(rows, "p1", bad, H0, H2)
+    for key, n in {k: len(v) for k, v in groups.items()}.items():
+        cut = traces.trace_summary(rows.where((F.col("project") == key[0]) & (F.col("trace_id") == key[1])), cap=3).first()
+        assert cut["spans"] == min(n, 3)
+        break
+
+
+@pytest.mark.parametrize("batch", ["3", "10000"])
+def test_trees_equal_plain_recursion(spark, given, rows, batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
-        rows = spans(spark, [{"ts": H0 + timedelta(milliseconds=i), "trace_id": f"{t:032d}", "span_id": str(i), "parent_span_id": str(i - 1) if i else None} for t in range(30) for i in range(t % 12 + 1)])
-        got = traces.trace_tree(rows).collect()
-        assert len(got) == rows.count() and all(r["depth"] == r["position"] == int(r["span_id"]) for r in got)
+        for hidden in ((), tuple(f"{t}-0" for t in range(0, 25, 2)) + ("3-1", "9-2")):
+            got = {}
+            for r in traces.trace_tree(rows, collapsed=list(hidden)).orderBy("position").collect():
+                got.setdefault((r["project"], r["trace_id"]), []).append((r["span_id"], r["depth"], r["is_orphan"], r["has_children"]))
+            assert got == {k: list(plain_tree(own, hidden)) for k, own in by_trace(given).items()}
         assert traces.trace_tree(rows.limit(0)).count() == 0
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_errors_links_and_logs(spark, rows):
-    first = {(r["project"], r["trace_id"]): r["span_id"] for r in traces.first_error_span(rows, traces.trace_tree(rows)).collect()}
-    assert first == {("p1", T1): "root"}
-    links = {r["to_span_id"]: (r["to_service"], r["to_name"]) for r in traces.span_links(rows).collect()}
-    assert links == {"tick": ("worker", "tick"), "none": (None, None)}
-    end = H1 + timedelta(seconds=1, milliseconds=40)
-    lines = logs(spark, [{"ts": t, "trace_id": T1, "body": b} for t, b in ((ROOT - timedelta(microseconds=1), "before"), (ROOT, "start"), (end + timedelta(milliseconds=999), "slack"), (end + timedelta(seconds=1), "after"))])
-    assert {r["body"] for r in traces.trace_logs(lines, rows).collect()} == {"start", "slack"}
+def test_bars_lie_within_their_trace(given, rows):
+    bars = {r["span_id"]: (r["offset_pct"], r["width_pct"]) for r in traces.waterfall_bars(rows).collect()}
+    for own in by_trace(given).values():
+        start = min(s["ts"] for s in own)
+        total = max(s["ts"] + ms(s["duration_ns"] // MS) for s in own) - start
+        for s in own:
+            offset, width = bars[s["span_id"]]
+            if not total:
+                assert (offset, width) == (0, traces.MIN_WIDTH)
+                continue
+            share = ms(s["duration_ns"] // MS) / total * 100
+            assert width == pytest.approx(min(max(share, traces.MIN_WIDTH), 100)) and offset == pytest.approx(min((s["ts"] - start) / total * 100, 100 - width))
+
+
+def test_cycles_and_repeated_spans(spark):
+    of = lambda *given: spans(spark, [{"ts": H0 + ms(i), "trace_id": "c" * 32, "span_id": s, "parent_span_id": p} for i, (s, p) in enumerate(given)])
+    ring = traces.trace_tree(of(("k", "m"), ("l", "k"), ("m", "l"), ("own", "own"))).collect()
+    assert sorted(r["span_id"] for r in ring) == ["k", "l", "m", "own"] and min(r["depth"] for r in ring) == 0
+    twice = traces.trace_tree(of(("k", None), ("l", "k"), ("l", "k"))).collect()
+    assert sorted((r["span_id"], r["depth"]) for r in twice) == [("k", 0), ("l", 1)]
+
+
+def test_first_errors_equal_plain_ones(given, rows):
+    got = {(r["project"], r["trace_id"]): r["span_id"] for r in traces.first_error_span(rows, traces.trace_tree(rows)).collect()}
+    code = {s["span_id"]: s["status_code"] for s in given}
+    want = {k: next((i for i, *_ in plain_tree(own) if code[i] == 2), None) for k, own in by_trace(given).items()}
+    assert got == {k: v for k, v in want.items() if v}
+
+
+def test_links_find_spans_within_a_day(spark):
+    day = timedelta(days=1)
+    rows = spans(spark, [
+        {"ts": H0, "trace_id": "d" * 32, "span_id": "from", "links": '[{"trace_id":"%s","span_id":"near"},{"trace_id":"%s","span_id":"far"}]' % ("e" * 32, "e" * 32)},
+        {"ts": H0 + day, "trace_id": "e" * 32, "span_id": "near", "service": "forge", "name": "melt"}, {"ts": H0 + day + ms(1), "trace_id": "e" * 32, "span_id": "far", "service": "forge", "name": "melt"},
+    ])
+    assert {r["to_span_id"]: (r["from_span_id"], r["to_service"], r["to_name"]) for r in traces.span_links(rows).collect()} == {"near": ("from", "forge", "melt"), "far": ("from", None, None)}
+
+
+def test_logs_of_a_trace_reach_a_second_past_its_end(spark, given, rows):
+    own = by_trace(given)["p1", f"{8:032x}"]
+    start, end = min(s["ts"] for s in own), max(s["ts"] + ms(s["duration_ns"] // MS) for s in own)
+    at = {"too early": start - ms(1), "first": start, "last": end + ms(999), "too late": end + ms(1000)}
+    lines = logs(spark, [{"ts": t, "trace_id": own[0]["trace_id"], "body": b} for b, t in at.items()] + [{"ts": start, "trace_id": "f" * 32, "body": "of no trace"}])
+    assert sorted(r["body"] for r in traces.trace_logs(lines, rows).collect()) == ["first", "last"]
 
 
 def test_a_long_trace_is_whole(spark):
-    n = traces.MAX_SPANS + 300
-    rows = spans(spark, [
-        {"ts": H0 + timedelta(milliseconds=i), "trace_id": T1, "span_id": f"{i:05d}", "parent_span_id": f"{i // 2:05d}" if i else None, "service": "late" if i == n - 1 else "api", "status_code": 2 if i == n - 2 else 1, "duration_ns": MS}
-        for i in range(n)
-    ] + [{"ts": H0, "trace_id": T2, "span_id": "other", "duration_ns": MS}])
-    one = traces.trace_summary(rows).where(f"trace_id = '{T1}'").first()
-    assert (one["spans"], one["services"], one["duration_ns"]) == (n, ["api", "late"], n * MS)
-    got = traces.trace_tree(rows).where(f"trace_id = '{T1}'").orderBy("position").collect()
-    want = traces.depth_first([f"{i:05d}" for i in range(n)], [f"{i // 2:05d}" if i else None for i in range(n)])
-    assert [(r["span_id"], r["depth"], r["is_orphan"], r["has_children"]) for r in got] == want and len(want) == n
-    assert traces.trace_tree(rows, collapsed=["00000"]).count() == 2
-    assert [r["span_id"] for r in traces.first_error_span(rows, traces.trace_tree(rows)).collect()] == [f"{n - 2:05d}"]
-    bars = {r["span_id"]: r["offset_pct"] for r in traces.waterfall_bars(rows).where(f"trace_id = '{T1}'").collect()}
-    assert bars["02650"] == pytest.approx(50) and len(bars) == n
-    lines = logs(spark, [{"ts": H0 + timedelta(milliseconds=n + 998), "trace_id": T1, "body": "late"}])
-    assert traces.trace_logs(lines, rows).count() == 1
+    n = traces.MAX_SPANS + 400
+    own = [{"ts": H0 + ms(3 * i), "trace_id": "a" * 32, "span_id": f"{i:06d}", "parent_span_id": f"{i // 3:06d}" if i else None, "service": "kiln" if i == n - 1 else "mill", "status_code": 2 if i == n - 2 else 0, "duration_ns": MS, "project": "p1"} for i in range(n)]
+    rows = spans(spark, own)
+    one = traces.trace_summary(rows).first()
+    assert (one["spans"], one["services"], one["duration_ns"]) == (n, ["kiln", "mill"], (3 * n - 2) * MS)
+    got = [(r["span_id"], r["depth"], r["is_orphan"], r["has_children"]) for r in traces.trace_tree(rows).orderBy("position").collect()]
+    assert got == traces.depth_first([s["span_id"] for s in own], [s["parent_span_id"] for s in own]) and len(got) == n
+    assert [r["span_id"] for r in traces.first_error_span(rows, traces.trace_tree(rows)).collect()] == [f"{n - 2:06d}"]
+    assert traces.trace_tree(rows, collapsed=["000000"]).count() == 1 and traces.waterfall_bars(rows).count() == n
