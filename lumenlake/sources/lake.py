@@ -38,6 +38,12 @@ def scan_signal(spark: SparkSession, root: str, signal: str, start: datetime, en
     return rows.where(hours).where(tel.in_range(F.col("ts"), start, end)).drop("date", "hour")
 
 
+def hours_from(rows: DataFrame, start: datetime) -> DataFrame:
+    """Rows of the hour of start and all later ones: a filter on the partition columns alone."""
+    first = datetime(1970, 1, 1) + timedelta(microseconds=tel.micros(start))
+    return rows.where((F.col("date") > F.lit(first.date())) | ((F.col("date") == F.lit(first.date())) & (F.col("hour") >= first.hour)))
+
+
 def scan_mixed_schema(spark: SparkSession, *paths: str) -> DataFrame:
     """Old and new files together, by column name; columns that a file lacks are null."""
     return spark.read.option("mergeSchema", "true").parquet(*paths)
@@ -49,14 +55,15 @@ def with_hour(df: DataFrame) -> DataFrame:
     return df.withColumns({"date": F.date_add(F.lit("1970-01-01").cast("date"), F.floor(us / 86_400_000_000).cast("int")), "hour": F.floor(F.pmod(us, F.lit(86_400_000_000)) / 3_600_000_000).cast("int")})
 
 
-def write_hours(df: DataFrame, root: str, signal: str, files_per_hour: int = 1) -> None:
-    """Append rows to their hours, sorted by ts; late rows become further files of their hour.
+def by_hour(rows: DataFrame) -> DataFrame:
+    """rows(date, hour, ts, ...) dealt out by hour and sorted by ts. Adaptive execution splits an hour that is larger than
+    its advisory partition size over several tasks (and so files), and puts small hours together."""
+    return rows.hint("rebalance", F.col("date"), F.col("hour")).sortWithinPartitions("date", "hour", "ts")
 
-    files_per_hour spreads a heavy hour over several tasks and files.
-    """
-    rows = with_hour(df)
-    keys = ["date", "hour"] if files_per_hour == 1 else ["date", "hour", F.pmod(F.xxhash64(*df.columns[:4]), F.lit(files_per_hour))]
-    rows.repartition(*keys).sortWithinPartitions("date", "hour", "ts").write.partitionBy("date", "hour").option("compression", "zstd").mode("append").parquet(_path(root, signal))
+
+def write_hours(df: DataFrame, root: str, signal: str) -> None:
+    """Append rows to their hours, sorted by ts; late rows become further files of their hour."""
+    by_hour(with_hour(df)).write.partitionBy("date", "hour").option("compression", "zstd").mode("append").parquet(_path(root, signal))
 
 
 def closed_hours(df: DataFrame, now: datetime) -> DataFrame:

@@ -112,7 +112,7 @@ class Ingest:
             rows = otlp.accepted(flat)
             before = self.stored(spark)
             if self.signal in KEYS:
-                old = None if before is None else recent(before, began).where((F.col("date") >= F.lit((began - timedelta(hours=2)).date())) & (F.col("batch") != batch_id))
+                old = None if before is None else lake.hours_from(recent(before, began), began - timedelta(hours=1)).where(F.col("batch") != batch_id)
                 rows = (dedup_spans if self.signal == "spans" else dedup_points)(rows, old)
             if self.stats.last_stamp_us == 0 and before is not None:
                 self.stats.last_stamp_us = int(before.where(F.col("batch") != batch_id).agg(F.unix_micros(F.max("ingest_ts"))).first()[0] or 0)
@@ -120,7 +120,7 @@ class Ingest:
             written = Observation(f"written-{uuid.uuid4().hex}")
             out = lake.with_hour(rows.select(*SIGNALS[self.signal].names)).withColumn("batch", F.lit(batch_id)).observe(written, F.count(F.lit(1)).alias("rows"))
             (
-                out.repartition("date", "hour").sortWithinPartitions("date", "hour", "ts").write.partitionBy("date", "hour", "batch")
+                lake.by_hour(out).write.partitionBy("date", "hour", "batch")
                 .option("compression", "zstd").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{self.root}/{self.signal}")
             )
             s, got, put = self.stats, seen.get, written.get
