@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenlake.functions import telemetry as tel
+from lumenlake.schema import ATTRIBUTES
 
 # Defaults, keys and reject reasons.
 UNKNOWN_SERVICE, DEFAULT_ENVIRONMENT = "unknown_service", "default"
@@ -61,16 +62,14 @@ def _number(x: float) -> object:
     return ("+Inf" if x > 0 else "-Inf") if math.isinf(x) else x
 
 
-@F.pandas_udf(T.StringType())
-def _nested_json(text: pd.Series, is_list: pd.Series) -> pd.Series:
-    """JSON text of nested array or key-value list contents, keys sorted (only rows that hold one reach this)."""
+def _json(text: str, kind: str) -> str:
+    return json.dumps(_plain({kind: json.loads(text)}), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
 
-    def one(t: str, as_list: bool) -> str | None:
-        if t is None:
-            return None
-        return json.dumps(_plain({"arrayValue" if as_list else "kvlistValue": json.loads(t)}), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
 
-    return pd.Series([one(t, b) for t, b in zip(text, is_list, strict=True)])
+@F.pandas_udf(T.StringType())
+def _nested_json(text: pd.Series, is_list: pd.Series) -> pd.Series:
+    """JSON text of nested array or key-value list contents, keys sorted; null for rows without any."""
+    return pd.Series([None if t is None else _json(t, "arrayValue" if b else "kvlistValue") for t, b in zip(text, is_list, strict=True)])
 
 
 def _quoted(text: Column) -> Column:
@@ -111,26 +110,44 @@ def attrs_to_json(attributes: Column) -> Column:
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _encode_nested(arrays: pd.Series, lists: pd.Series) -> pd.Series:
-    """For each attribute: the JSON text of its nested value, or null."""
-
-    def one(a: str | None, k: str | None) -> str | None:
-        if k is not None:
-            return json.dumps(_plain({"kvlistValue": json.loads(k)}), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
-        if a is not None:
-            return json.dumps(_plain({"arrayValue": json.loads(a)}), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
-        return None
+def _encode_nested(values: pd.Series) -> pd.Series:
+    """The JSON text of nested values that come as JSON text after 'a' (array) or 'k' (key-value list); null for rows without any."""
+    one = lambda v: None if v is None else _json(v[1:], "arrayValue" if v[0] == "a" else "kvlistValue")
+    return pd.Series([None if row is None else [one(v) for v in row] for row in values])
+
+
+def _tagged(value: Column) -> Column:
+    """A nested value's text after 'k' or 'a'; null for a plain value."""
+    return F.coalesce(F.concat(F.lit("k"), value["kvlistValue"]), F.concat(F.lit("a"), value["arrayValue"]))
 
-    return pd.Series([None if a is None else [one(x, y) for x, y in zip(a, k, strict=True)] for a, k in zip(arrays, lists, strict=True)])
+
+def _is_nested(x: Column) -> Column:
+    return x["value"]["kvlistValue"].isNotNull() | x["value"]["arrayValue"].isNotNull()
+
+
+def _with_json(attributes: Column, text: Column, first: Column) -> Column:
+    """The attributes with text[first], text[first + 1], ... in the place of their nested values."""
+    put = lambda x, i: F.struct(x["key"].alias("key"), x["value"].withField("kvlistValue", F.get(text, (first + i).cast("int"))).withField("arrayValue", F.lit(None).cast("string")).alias("value"))
+    return F.transform(attributes, put)
 
 
 def flatten_nested(df: DataFrame, column: str) -> DataFrame:
-    """Replace the nested values of an attribute column by their JSON text. The Python step sees those columns only."""
+    """Replace the nested values of an attribute column by their JSON text. The Python step gets a null for each row that
+    holds none, which is the rule; such rows keep their attributes as they are."""
     a = F.col(column)
-    encoded = _encode_nested(F.transform(a, lambda x: x["value"]["arrayValue"]), F.transform(a, lambda x: x["value"]["kvlistValue"]))
-    rows = df.withColumn("_enc", encoded)
-    put = F.transform(a, lambda x, i: F.struct(x["key"].alias("key"), x["value"].withField("kvlistValue", F.get(F.col("_enc"), i)).withField("arrayValue", F.lit(None).cast("string")).alias("value")))
-    return rows.withColumn(column, F.when(a.isNotNull(), put)).drop("_enc")
+    rows = df.withColumn("_enc", _encode_nested(F.when(F.exists(a, _is_nested), F.transform(a, lambda x: _tagged(x["value"])))))
+    return rows.withColumn(column, F.when(F.col("_enc").isNull(), a).otherwise(_with_json(a, F.col("_enc"), F.lit(0)))).drop("_enc")
+
+
+def flatten_nested_in(df: DataFrame, column: str) -> DataFrame:
+    """The same for a column of records (span events, links) that have attributes of their own."""
+    items = F.col(column)
+    own = lambda e: F.coalesce(e["attributes"], F.array().cast(ATTRIBUTES.simpleString()))
+    flat = F.flatten(F.transform(items, lambda e: F.transform(own(e), lambda x: _tagged(x["value"]))))
+    rows = df.withColumn("_enc", _encode_nested(F.when(F.exists(items, lambda e: F.exists(own(e), _is_nested)), flat)))
+    before = lambda i: F.aggregate(F.slice(items, 1, i), F.lit(0), lambda n, e: n + F.size(own(e)))
+    put = F.transform(items, lambda e, i: e.withField("attributes", F.when(e["attributes"].isNotNull(), _with_json(e["attributes"], F.col("_enc"), before(i)))))
+    return rows.withColumn(column, F.when(F.col("_enc").isNull(), items).otherwise(put)).drop("_enc")
 
 
 def _empty_null(c: Column) -> Column:
@@ -211,9 +228,9 @@ def span_links_json(links: Column) -> Column:
 
 
 def flatten_spans(exports: DataFrame, nested: bool = True) -> DataFrame:
-    """One row per span; the first reason that applies rejects it. Nested values inside events and links are not encoded."""
-    rows = _records(exports, "resourceSpans", "scopeSpans", "spans", nested).withColumn("a", F.col("x.attributes"))
-    rows = flatten_nested(rows, "a") if nested else rows
+    """One row per span; the first reason that applies rejects it."""
+    rows = _records(exports, "resourceSpans", "scopeSpans", "spans", nested).withColumns({"a": F.col("x.attributes"), "ev": F.col("x.events"), "li": F.col("x.links")})
+    rows = flatten_nested_in(flatten_nested_in(flatten_nested(rows, "a"), "ev"), "li") if nested else rows
     start, end = F.coalesce(F.col("x.startTimeUnixNano"), F.lit(0)), F.coalesce(F.col("x.endTimeUnixNano"), F.lit(0))
     trace, span = F.coalesce(F.lower("x.traceId"), F.lit("")), F.coalesce(F.lower("x.spanId"), F.lit(""))
     until = F.when(end > 0, end).otherwise(start)
@@ -228,7 +245,7 @@ def flatten_spans(exports: DataFrame, nested: bool = True) -> DataFrame:
         trace.alias("trace_id"), span.alias("span_id"), _empty_null(F.lower("x.parentSpanId")).alias("parent_span_id"), F.coalesce("x.name", F.lit("")).alias("name"),
         F.coalesce("x.kind", F.lit(0)).cast("short").alias("kind"), F.coalesce("x.status.code", F.lit(0)).cast("short").alias("status_code"), _empty_null(F.col("x.status.message")).alias("status_message"),
         F.greatest(until - start, F.lit(0)).cast("long").alias("duration_ns"), _empty_null(F.col("scope.name")).alias("scope"), attrs_to_json(F.col("r")).alias("resource"),
-        attrs_to_json(F.col("a")).alias("attributes"), span_events_json(F.col("x.events")).alias("events"), span_links_json(F.col("x.links")).alias("links"),
+        attrs_to_json(F.col("a")).alias("attributes"), span_events_json(F.col("ev")).alias("events"), span_links_json(F.col("li")).alias("links"),
         r["unknown_service"].alias("unknown_service"), reject.alias("reject_reason"),
     )
 
