@@ -108,11 +108,42 @@ def merged_bounds(deltas: DataFrame) -> DataFrame:
     return chosen.join(other, "grp", "left").select("grp", "bounds", F.coalesce("_n", F.lit(0)).cast("long").alias("incompatible_series"))
 
 
+def _added(lists: Column) -> Column:
+    """The element-wise sum of a list of equally long arrays."""
+    return F.aggregate(F.slice(lists, 2, F.size(lists)), F.get(lists, 0), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+
+
+def merged_buckets(deltas: DataFrame) -> DataFrame:
+    """(grp, step_ts, bounds, counts, incompatible_series): bucket_sums() under the bounds that merged_bounds() chooses, in one pass.
+
+    Points are added up per series and step where the deltas left them (by series), and one row per
+    series names all bounds that it was seen under. Both kinds of rows are summed together: per group,
+    bounds, step and bucket, and per group and list of bounds (the number of series). What is left is few
+    rows a group; windows over them choose the bounds and count the series that were seen under others.
+    """
+    rows = deltas.where(F.col("db").isNotNull()).select("series_hash", "grp", "step_ts", F.col("bucket_bounds").alias("bounds"), "db")
+    own = rows.groupBy("series_hash", "grp", "bounds", "step_ts").agg(_added(F.collect_list("db")).alias("c"))
+    series = own.groupBy("series_hash", "grp").agg(F.array_sort(F.collect_set("bounds")).alias("seen"), F.collect_list(F.struct("bounds", "step_ts", "c")).alias("steps"))
+    void = F.lit(None)
+    cell = lambda bounds, step, seen, pos, n, k: F.struct(bounds.alias("bounds"), step.cast("timestamp").alias("step_ts"), seen.cast("array<array<double>>").alias("seen"), pos.cast("int").alias("pos"), n.cast("long").alias("n"), k.cast("long").alias("k"))
+    counts = F.flatten(F.transform("steps", lambda x: F.transform(x["c"], lambda n, i: cell(x["bounds"], x["step_ts"], void, i, n, F.lit(0)))))
+    leads = F.transform("seen", lambda b: cell(b, void, F.col("seen"), F.lit(-1), F.lit(0), F.lit(1)))
+    cells = series.select("grp", F.explode(F.concat(counts, leads)).alias("x")).select("grp", "x.*")
+    sums = cells.groupBy("grp", "bounds", "step_ts", "seen", "pos").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    under, group = Window.partitionBy("grp", "bounds"), Window.partitionBy("grp")
+    ranked = sums.withColumns({"_series": F.sum("k").over(under), "_total": F.sum("n").over(under)})
+    ranked = ranked.withColumn("_best", F.first("bounds").over(group.orderBy(F.desc("_series"), F.desc("_total"), "bounds")))
+    # a series is counted at the first of its bounds
+    lost = F.when((F.col("pos") < 0) & (F.col("bounds") == F.get("seen", 0)) & ((F.size("seen") > 1) | (F.col("bounds") != F.col("_best"))), F.col("k"))
+    ranked = ranked.withColumn("incompatible_series", F.coalesce(F.sum(lost).over(group), F.lit(0)))
+    chosen = ranked.where((F.col("pos") >= 0) & (F.col("bounds") == F.col("_best")))
+    listed = chosen.groupBy("grp", "bounds", "incompatible_series", "step_ts").agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("_l"))
+    return listed.select("grp", "step_ts", "bounds", F.transform("_l", lambda x: x["n"]).alias("counts"), "incompatible_series")
+
+
 def histogram_quantiles(deltas: DataFrame, q: float) -> DataFrame:
     """(grp, step_ts, value, incompatible_series): quantiles of each group's merged buckets."""
-    merged = merged_bounds(deltas)
-    joined = bucket_sums(deltas).join(merged, ["grp", "bounds"])
-    return joined.select("grp", "step_ts", tel.histogram_quantile(F.col("counts"), F.col("bounds"), q).alias("value"), "incompatible_series")
+    return merged_buckets(deltas).select("grp", "step_ts", tel.histogram_quantile(F.col("counts"), F.col("bounds"), q).alias("value"), "incompatible_series")
 
 
 def seed_groups(points: DataFrame) -> DataFrame:
