@@ -87,7 +87,7 @@ _logs_query("p_body", "contains(lower(body), 'click by user 1')", body="Click BY
 _logs_query("p_trace_id", "trace_id = md5('t400')", trace_id="81365B1EC3255324DEB3D4AA9942E9D0", limit=50)
 _logs_query("p_attr", "json_extract_string(attributes, '$.k') = '7'", attrs=("k:7",), limit=1000)
 _logs_query("topk_page", "true", limit=25)
-_logs_query("error_logs_page", "service = 'svc-3' AND severity_number >= 17 AND json_extract_string(attributes, '$.k') = '3'", service="svc-3", level="error", attrs=("k:3",))
+_logs_query("error_logs_page", "service = 'svc-3' AND severity_number >= 17 AND json_extract_string(attributes, '$.k') = '77'", service="svc-3", level="error", attrs=("k:77",))
 _spans_query("spans_search", "status_code = 2 AND service = 'svc-1'", status="error", service="svc-1")
 _spans_query("p_status", "status_code = 1", status="ok", limit=1000)
 _spans_query("p_min_duration", "duration_ns >= 100000000", min_duration_ns=100_000_000, limit=1000)
@@ -126,11 +126,15 @@ def _services(spark, sf):
     return search.services(ad.logs(spark, sf), ad.spans(spark, sf), ad.all_points(spark, sf), "p1", A, B)
 
 
-@query("code_names", f"""WITH {ad.SPANS_SQL} SELECT CASE kind WHEN 1 THEN 'internal' WHEN 2 THEN 'server' WHEN 3 THEN 'client' WHEN 4 THEN 'producer' WHEN 5 THEN 'consumer' ELSE 'unspecified' END AS kind_name,
-CASE status_code WHEN 1 THEN 'ok' WHEN 2 THEN 'error' ELSE 'unset' END AS status_name, CASE status_code * 12 WHEN 12 THEN 'info' WHEN 24 THEN 'fatal' ELSE 'unset' END AS severity, count(*) AS n FROM spans GROUP BY 1, 2, 3""")
+@query("code_names", f"""WITH {ad.SPANS_SQL}, l AS (SELECT CASE event_type WHEN 'error' THEN 17 WHEN 'purchase' THEN 13 WHEN 'signup' THEN 9 WHEN 'click' THEN 5 WHEN 'view' THEN 1 ELSE 0 END AS severity_number FROM e)
+SELECT CASE kind WHEN 1 THEN 'internal' WHEN 2 THEN 'server' WHEN 3 THEN 'client' WHEN 4 THEN 'producer' WHEN 5 THEN 'consumer' ELSE 'unspecified' END AS kind_name,
+CASE status_code WHEN 1 THEN 'ok' WHEN 2 THEN 'error' ELSE 'unset' END AS status_name, NULL AS severity, count(*) AS n FROM spans GROUP BY 1, 2
+UNION ALL SELECT NULL, NULL, CASE WHEN severity_number BETWEEN 1 AND 4 THEN 'trace' WHEN severity_number BETWEEN 5 AND 8 THEN 'debug' WHEN severity_number BETWEEN 9 AND 12 THEN 'info' WHEN severity_number BETWEEN 13 AND 16 THEN 'warn' WHEN severity_number BETWEEN 17 AND 20 THEN 'error'
+WHEN severity_number BETWEEN 21 AND 24 THEN 'fatal' ELSE 'unset' END, count(*) FROM l GROUP BY 3""")
 def _code_names(spark, sf):
-    named = search.named_codes(ad.spans(spark, sf)).withColumn("severity", tel.severity_name(F.col("status_code") * 12))
-    return named.groupBy("kind_name", "status_name", "severity").agg(F.count("*").alias("n"))
+    codes = search.named_codes(ad.spans(spark, sf)).groupBy("kind_name", "status_name").agg(F.count("*").alias("n"))
+    levels = ad.logs(spark, sf).groupBy(tel.severity_name(F.col("severity_number")).alias("severity")).agg(F.count("*").alias("n"))
+    return codes.unionByName(levels, allowMissingColumns=True)
 
 
 @query("count_by_severity", f"WITH {ad.LOGS_SQL} SELECT service, severity_number, count(*) AS n FROM logs WHERE {P1} GROUP BY 1, 2")
@@ -298,8 +302,12 @@ q AS (SELECT grp, step_ts, CASE WHEN c0 > 0 AND c0 >= {q} * n THEN low * {q} * n
 query("histogram_quantile", f"WITH {_quantile_sql(0.5, 86400)} SELECT grp, step_ts, round(value, 6) AS value, bad AS incompatible_series FROM q JOIN i USING (grp)")(lambda spark, sf: metrics.histogram_quantiles(_hist(spark, sf), 0.5))
 
 
-@query("metric_catalog", f"""WITH {ad.GAUGE_SQL}, s AS (SELECT array_to_string(list_sort(list(DISTINCT service)), ',') AS services, count(DISTINCT series) AS series, count(*) AS points, max(ts) AS last_ts FROM points WHERE {P1})
-SELECT * FROM (VALUES ('event.size', 3, false, '1'), ('event.value', 1, false, '1'), ('events.total', 2, true, '1')) m(name, type, monotonic, unit), s""")
+_ALL_POINTS = f"""{ad.GAUGE_SQL}, every AS (SELECT 'event.value' AS name, 1 AS type, false AS monotonic, '1' AS unit, service, series, ts, project FROM points
+  UNION ALL SELECT 'events.total', 2, true, '1', service, series, ts, project FROM points UNION ALL SELECT 'event.size', 3, false, '1', service, series, ts, project FROM points)"""
+
+
+@query("metric_catalog", f"""WITH {_ALL_POINTS} SELECT name, type, monotonic, unit, array_to_string(list_sort(list(DISTINCT service)), ',') AS services, count(DISTINCT series) AS series, count(*) AS points, max(ts) AS last_ts
+FROM every WHERE {P1} AND contains(lower(name), 'event') GROUP BY 1, 2, 3, 4 ORDER BY 1, 2, 3, 4 LIMIT 1001""")
 def _metric_catalog(spark, sf):
     return catalog.metric_catalog(ad.all_points(spark, sf), "p1", A, B, "EVENT")
 
@@ -309,7 +317,7 @@ def _metric_attributes(spark, sf):
     return catalog.metric_attributes(ad.all_points(spark, sf), "p1", "event.value", A, B)
 
 
-@query("metric_kind", "SELECT * FROM (VALUES (1, false, '1'), (2, true, '1'), (3, false, '1')) m(type, monotonic, unit) WHERE (SELECT count(*) FROM events) > 0")
+@query("metric_kind", f"WITH {_ALL_POINTS} SELECT DISTINCT type, monotonic, unit FROM every")
 def _metric_kind(spark, sf):
     return catalog.metric_kinds(ad.all_points(spark, sf))
 
@@ -390,7 +398,11 @@ query("reduce_sum", f"{_ENV} SELECT panel_id, round(sum(value), 6) AS value FROM
 
 
 def _scratch(spark: SparkSession) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/lumenlake-core/{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir, which all executors share; a local one in local mode where that is unset."""
+    shared, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not shared and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='spark-')}/lumenlake-core/{uuid.uuid4().hex}"
 
 
 def _lake(spark: SparkSession, sf_dir: str) -> str:

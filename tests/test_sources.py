@@ -197,3 +197,45 @@ def test_follow_shows_late_rows(spark, tmp_path):
     assert step() == ["a"]
     lake.write_hours(logs(spark, [{"ts": H0, "body": "late", "severity_number": 9}]), root, "logs")
     assert step() == ["a", "late"]
+
+
+def test_a_large_hour_is_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(60_000).selectExpr("timestamp_micros(1790812800000000 + id * 50000) AS ts", "timestamp_micros(id) AS ingest_ts", "'p1' AS project", "md5(string(id)) AS body")  # 50 minutes
+    for key, value in (("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k"), ("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1k")):
+        spark.conf.set(key, value)
+    try:
+        lake.write_hours(rows.repartition(6), str(tmp_path / "split"), "logs")
+    finally:
+        for key in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize"):
+            spark.conf.unset(key)
+    lake.write_hours(rows.repartition(6), str(tmp_path / "whole"), "logs")
+    for name, few in (("split", False), ("whole", True)):
+        back = spark.read.parquet(str(tmp_path / name / "logs"))
+        assert back.count() == 60_000 and back.select("hour").distinct().count() == 1
+        assert (len(back.inputFiles()) == 1) == few
+
+
+def test_nested_values_in_attributes_events_and_links(spark):
+    from lumenlake import schema
+
+    value = lambda **v: tuple(v.get(f.name) for f in schema.VALUE)
+    deep = '{"values":[{"stringValue":"x"},{"arrayValue":{"values":[{"intValue":"7"},{"boolValue":true}]}},{"kvlistValue":{"values":[{"key":"z","value":{"doubleValue":0.5}},{"key":"a","value":{}}]}}]}'
+    plain, nested, pairs = ("p", value(stringValue="v")), ("n", value(arrayValue=deep)), ("k", value(kvlistValue='{"values":[{"key":"b","value":{"intValue":"1"}}]}'))
+    want = '["x",[7,true],{"a":null,"z":0.5}]'
+
+    def span(i, attributes, events, links):
+        own = {"traceId": "a" * 32, "spanId": f"{i:016d}", "name": "s", "startTimeUnixNano": Decimal(10**18), "attributes": attributes, "events": events, "links": links}
+        return tuple(own.get(f.name) for f in schema.SPAN)
+
+    given = [
+        span(1, [plain, nested], [(Decimal(10**18), "e0", [plain]), (Decimal(10**18), "e1", [nested, plain, pairs]), (Decimal(10**18), "e2", None)], [("b" * 32, "c" * 16, [pairs])]),
+        span(2, [plain], [(Decimal(10**18), "only", [plain])], None), span(3, None, None, None), span(4, None, None, [("b" * 32, "c" * 16, None), ("b" * 32, "d" * 16, [nested])]),
+    ]
+    exports = spark.createDataFrame([(1, "p1", [((None,), [((None, None, None), given)])])], schema.EXPORTS["spans"])
+    got = {int(r["span_id"]): r for r in otlp.flatten_spans(exports).collect()}
+    time = '"ts":"2001-09-09T01:46:40Z"'
+    assert got[1]["attributes"] == f'{{"n":{want},"p":"v"}}'
+    assert got[1]["events"] == f'[{{{time},"name":"e0","attributes":{{"p":"v"}}}},{{{time},"name":"e1","attributes":{{"k":{{"b":1}},"n":{want},"p":"v"}}}},{{{time},"name":"e2"}}]'
+    assert got[1]["links"] == f'[{{"trace_id":"{"b" * 32}","span_id":"{"c" * 16}","attributes":{{"k":{{"b":1}}}}}}]'
+    assert got[2]["events"] == f'[{{{time},"name":"only","attributes":{{"p":"v"}}}}]' and got[2]["links"] is None and got[3]["attributes"] is None
+    assert got[4]["links"] == f'[{{"trace_id":"{"b" * 32}","span_id":"{"c" * 16}"}},{{"trace_id":"{"b" * 32}","span_id":"{"d" * 16}","attributes":{{"n":{want}}}}}]'
