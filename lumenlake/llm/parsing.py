@@ -11,7 +11,8 @@ Jaccard similarity of the two name sets.
 
 Neighbours: documents are sorted by (doc_id, hash of text) in ranges of the id; the first row of
 each range travels to the range before as well (one row per range), so the next document is always
-at hand and texts are shuffled once.
+at hand and texts are shuffled once. An id, or none, that holds many rows is cut further by the hash
+of its texts.
 
 Defined cases: null counts as empty; an empty text has an empty fingerprint, which is like another
 empty one (1.0) and unlike all others (0.0); a null doc_id sorts first; repeated ids are ordered by
@@ -22,6 +23,8 @@ an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +43,8 @@ SKETCH = 64
 ROUNDS = 2
 MAX_RANGES = 20_000
 RANGE_BYTES = 4_000_000
+#: Below all ids, and still above twice itself, where rows without an id stand.
+NO_ID = -1e299
 _BIT = np.array([0, 1, 28, 2, 29, 14, 24, 3, 30, 22, 20, 15, 25, 17, 4, 8, 31, 27, 13, 23, 21, 19, 16, 7, 26, 12, 18, 6, 11, 5, 10, 9], np.uint8)  # fixed values: De Bruijn positions
 
 
@@ -126,31 +131,48 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((np.isin(union, a) & np.isin(union, b)).mean())
 
 
-def _range_starts(docs: DataFrame, range_bytes: int) -> list[float]:
-    """Ids at which a new range begins, about range_bytes of text apart: quantiles of the id."""
-    total, rows = docs.agg(F.sum(F.octet_length("text")), F.count("doc_id")).first()
+def _ranges(docs: DataFrame, range_bytes: int) -> list[tuple[float, int]]:
+    """(first id, parts) of ranges of about range_bytes of text, by quantiles of the id. An id that holds several quantiles
+    is a range alone, cut into as many parts; so are the rows without an id."""
+    total, rows, named = docs.agg(F.sum(F.octet_length("text")), F.count("*"), F.count("doc_id")).first()
     n = min(int((total or 0) // range_bytes) + 1, MAX_RANGES)
-    if n == 1 or not rows:
+    if n == 1:
         return []
-    cuts = docs.where("doc_id IS NOT NULL").stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)
-    return sorted({float(int(c)) for c in cuts})
+    bare = math.ceil(n * (rows - named) / rows)
+    m = max(n - bare, 1)
+    cuts = docs.where("doc_id IS NOT NULL").stat.approxQuantile("doc_id", [i / m for i in range(1, m)], 0.2 / m) if named else []
+    parts = {-float("inf"): max(bare, 1), NO_ID: 1}
+    for cut, times in Counter(float(int(c)) for c in cuts).items():
+        alone = times > 1 and abs(cut) < 2**52
+        parts[cut] = times if alone else parts.get(cut, 1)
+        if alone:
+            parts.setdefault(cut + 1, 1)
+    return sorted(parts.items())
 
 
 def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """docs(doc_id, text) in ranges: (part, doc_id, text, extra), sorted, each range followed by an extra copy of the
     next range's first row (the first range's, after the last)."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    starts = _range_starts(docs, range_bytes)
-    ranged = docs.withColumn("part", F.lit(0))
-    if starts:  # a binary search per row; a null id falls into the first range
-        split = Bucketizer(splits=[-float("inf"), *map(float, starts), float("inf")], inputCol="_id", outputCol="_part")
-        ranged = split.transform(docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("double"), F.lit(-1e300)))).withColumn("part", F.col("_part").cast("int")).drop("_id", "_part")
+    ranges = _ranges(docs, range_bytes)
+    ranged = docs.withColumn("part", F.lit(0).cast("long"))
+    if ranges:  # a binary search per row; rows without an id are the first range
+        split = Bucketizer(splits=[*(start for start, _ in ranges), float("inf")], inputCol="_id", outputCol="_range")
+        ranged = split.transform(docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("double"), F.lit(2 * NO_ID)))).withColumn("part", F.col("_range").cast("long") * 2**32)
+        hot = [(i * 2**32, parts) for i, (_, parts) in enumerate(ranges) if parts > 1]
+        if hot:  # one row per hot id, fewer than ranges
+            hot = spark.createDataFrame(hot, "part long, _parts int")
+            share = F.xxhash64("text") / F.lit(2.0**64) + 0.5  # 0 to 1, in the order of the hash
+            own = F.least(F.floor(share * F.col("_parts")), F.col("_parts") - 1)
+            ranged = ranged.join(F.broadcast(hot), "part", "left").withColumn("part", F.col("part") + F.coalesce(own, F.lit(0)))
+        ranged = ranged.select("doc_id", "text", "part")
     order = F.struct("doc_id", F.xxhash64("text").alias("h"))
     first = {r["part"]: (r["o"]["doc_id"], r["o"]["h"]) for r in ranged.groupBy("part").agg(F.min(order).alias("o")).collect()}  # one row per range
     if not first:
         return ranged.withColumn("extra", F.lit(0)).limit(0)
     present = sorted(first)
-    heads = docs.sparkSession.createDataFrame([(p, first[p][0], first[p][1], present[i - 1]) for i, p in enumerate(present)], "hp int, hid long, hh long, before int")
+    heads = spark.createDataFrame([(p, first[p][0], first[p][1], present[i - 1]) for i, p in enumerate(present)], "hp long, hid long, hh long, before long")
     ranged = ranged.join(F.broadcast(heads), (F.col("part") == F.col("hp")) & F.col("doc_id").eqNullSafe(F.col("hid")) & (F.xxhash64("text") == F.col("hh")), "left")
     copies = F.when(F.col("hp").isNull(), F.array(F.struct(F.col("part"), F.lit(0).alias("extra")))).otherwise(
         F.array(F.struct(F.col("part"), F.lit(0).alias("extra")), F.struct(F.col("before").alias("part"), F.lit(1).alias("extra")))

@@ -1,5 +1,6 @@
 """Plain versions of vectorised steps, and groups that hold most of the rows."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -82,6 +83,19 @@ def test_near_edited_and_near_next_come_from_the_fingerprints(spark):
         assert got[i]["near_edited"] == pytest.approx(parsing.likeness(sketch[0], sketch[1])) and got[i]["near_next"] == pytest.approx(parsing.likeness(sketch[0], sketch[2]))
 
 
+def test_ids_that_hold_many_rows_are_cut_into_parts_in_order(spark):
+    hot = [(None, prose(i, 60)) for i in range(40)] + [(7, prose(100 + i, 60)) for i in range(40)] + [(7, prose(100, 60))] * 3 + [(2**53 + i, prose(200 + i, 60)) for i in range(10)]
+    docs = documents(spark, hot + [(i, prose(300 + i, 60)) for i in range(20) if i != 7])
+    dealt = parsing.with_next(docs, range_bytes=2_000)
+    sizes = {r["part"]: r["count"] for r in dealt.where("extra = 0").groupBy("part").count().collect()}
+    assert sum(sizes.values()) == docs.count() and max(sizes.values()) < 20
+    rows = [tuple(r) for r in docs.orderBy(F.asc_nulls_first("doc_id"), F.xxhash64("text")).select("doc_id", "text").collect()]
+    assert [tuple(r) for r in dealt.where("extra = 0").orderBy("part", F.asc_nulls_first("doc_id"), F.xxhash64("text")).select("doc_id", "text").collect()] == rows
+    got = Counter((r["doc_id"], r["edited_sha256"]) for r in parsing.fingerprint_documents(docs, range_bytes=2_000).collect())
+    want = Counter((i, hashlib.sha256((t[: len(t) - len(t) // 2] + rows[(n + 1) % len(rows)][1][: len(t) // 2]).encode()).hexdigest()) for n, (i, t) in enumerate(rows))
+    assert got == want
+
+
 def test_quality_features_equal_plain_counts_and_do_not_depend_on_the_batch():
     texts = [t for _, t in ODD if len(t or "") < 1000] + [prose(1, 50), junk(2, 40), "UPPER lower 123 !!! a,b.c\nnew line\nnew line"]
     x = quality.features(pa.array(texts, pa.string()))
