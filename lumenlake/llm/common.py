@@ -17,11 +17,22 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 #: Bytes of text that one numpy pass works on inside a task.
 BLOCK_BYTES = 1_000_000
+#: Bytes of rows that go to a Python worker at once, where the session sets no number of its own.
+ARROW_BYTES = 4_000_000
 _local_scratch: list[str] = []
 _scopes: list[list[str]] = []
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends rows to Python workers a few megabytes at a time: the JVM and the worker each hold such
+    a batch outside the heap, for every task that runs. A session that sets the size itself keeps its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, ARROW_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
