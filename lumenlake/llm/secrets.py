@@ -262,7 +262,7 @@ def generated_piece(r: random.Random) -> tuple[str, int, int]:
         elif kind == 3:
             secret = ".".join(chars(alnum + "-_" + string.digits, low, low + 20) for low in (16, 24, 20))
         elif kind == 4:
-            secret = chars(upper + string.digits, 16, 32)
+            secret = chars(upper + r.choice((string.digits, "234567", "7")), 16, 32)  # base 36, base 32, hardly a digit
         elif kind == 5:
             secret = f"{r.choice(('postgres', 'mysql', 'amqp', 'redis', 'mongodb', 'ftp', word(3, 6)))}://{word()}:{chars(alnum, 8, 16)}@{word()}.{word(2, 5)}{r.choice(('', ':5432', '/' + word()))}"
         elif kind == 6:
