@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenlake.llm import chosen_path, decontaminate, html_text, mixing, parsing, quality, secrets, token_shards, toxicity, url_reputation
+from lumenlake.llm import bpe, chosen_path, decontaminate, html_text, mixing, parsing, quality, secrets, token_shards, toxicity, url_reputation
 from lumenlake.llm.common import table
 
 
@@ -50,6 +51,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_shards": op2_token_shards,
@@ -61,5 +66,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_secrets": op9_secrets,
     "op10_mix_sources": op10_mix_sources,
+    "op13_bpe": op13_bpe,
 }
 ORACLES: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE, "op4_url_reputation": url_reputation.ORACLE, "op10_mix_sources": mixing.ORACLE}
