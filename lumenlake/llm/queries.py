@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenlake.llm import bpe, chosen_path, decontaminate, html_text, mixing, parsing, quality, secrets, token_shards, toxicity, url_reputation
+from lumenlake.llm import bpe, chosen_path, decontaminate, hard_negatives, html_text, mixing, parsing, prefix_trie, quality, secrets, token_shards, toxicity, url_reputation
 from lumenlake.llm.common import table
 
 
@@ -51,6 +51,14 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -66,6 +74,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_secrets": op9_secrets,
     "op10_mix_sources": op10_mix_sources,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_bpe": op13_bpe,
 }
-ORACLES: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE, "op4_url_reputation": url_reputation.ORACLE, "op10_mix_sources": mixing.ORACLE}
+ORACLES: dict[str, str] = {
+    "op3_decontaminate": decontaminate.ORACLE,
+    "op4_url_reputation": url_reputation.ORACLE,
+    "op10_mix_sources": mixing.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
+}
