@@ -180,7 +180,7 @@ def search_page(page: dict, block: dict, rows: list[int], same: bool, k: int, ex
             live = [w for w in range(len(low)) if possible(low[w], high[w], least[n, i], -top, kth[w], kth_id[w], page["min_id"][i])]
             if not live:
                 continue
-            at = slice(i * LEAF, (i + 1) * LEAF)
+            at = slice(i * page["leaf"], (i + 1) * page["leaf"])
             score = scores_of(x[at], a, exact)
             mine = (labels[at] == label) == same
             if same:
@@ -218,7 +218,7 @@ def matrix(column: pa.Array, dims: int) -> np.ndarray:
     return out
 
 
-def pages_of(tiled: DataFrame, dims: int, kind: str) -> DataFrame:
+def pages_of(tiled: DataFrame, dims: int, kind: str, page: int, leaf: int) -> DataFrame:
     """tiled(tile, part, vec_id, label, v) packed into pages: page, box_group, box (for the routing) and payload (its tree and rows)."""
 
     def pack(group: pa.Table) -> pa.Table:
@@ -227,12 +227,12 @@ def pages_of(tiled: DataFrame, dims: int, kind: str) -> DataFrame:
         ids, labels = group.column("vec_id").to_numpy(), group.column("label").to_numpy()
         once = np.unique(np.column_stack([ids, labels, x.astype(np.float64).view(np.int64)]), axis=0, return_index=True)[1]
         x, ids, labels = x[once], ids[once], labels[once]
-        order = np.concatenate([own[str_order(x[own].astype(np.float64), LEAF)] for own in (np.flatnonzero(labels == y) for y in np.unique(labels))])
+        order = np.concatenate([own[str_order(x[own].astype(np.float64), leaf)] for own in (np.flatnonzero(labels == y) for y in np.unique(labels))])
         pages, boxes, trees = [], [], []
-        for n, at in enumerate(range(0, len(order), PAGE)):
-            own = order[at : at + PAGE]
-            starts = np.arange(0, len(own), LEAF)
-            tree = {"x": x[own], "ids": ids[own], "labels": labels[own], "lo": np.minimum.reduceat(x[own], starts), "hi": np.maximum.reduceat(x[own], starts)}
+        for n, at in enumerate(range(0, len(order), page)):
+            own = order[at : at + page]
+            starts = np.arange(0, len(own), leaf)
+            tree = {"leaf": leaf, "x": x[own], "ids": ids[own], "labels": labels[own], "lo": np.minimum.reduceat(x[own], starts), "hi": np.maximum.reduceat(x[own], starts)}
             tree |= {"min_id": np.minimum.reduceat(ids[own], starts), "first_label": labels[own][starts], "last_label": labels[own][np.append(starts[1:], len(own)) - 1]}
             pages.append((tile << 40) + (part << 12) + n)
             boxes.append(pickle.dumps((tree["lo"].min(0), tree["hi"].max(0), ids[own].min(), labels[own].min(), labels[own].max())))
@@ -255,14 +255,14 @@ def grouped_boxes(pages: DataFrame) -> DataFrame:
     return pages.groupBy("box_group").applyInArrow(join_boxes, "box_group long, boxes binary")
 
 
-def anchor_blocks(tiled: DataFrame, dims: int, kind: str, anchor_every: int) -> DataFrame:
+def anchor_blocks(tiled: DataFrame, dims: int, kind: str, anchor_every: int, size: int) -> DataFrame:
     """Blocks of anchors with one open window each: block, payload."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, own = 0, TaskContext.get().partitionId() << 33
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
                 x = np.frombuffer(b"".join(part.column(2).to_pylist()), kind).reshape(-1, dims).astype(np.float64)
                 block = {"x": x, "ids": part.column(0).to_numpy(), "labels": part.column(1).to_numpy()} | open_windows(len(x))
                 yield pa.RecordBatch.from_arrays([pa.array([own + count], pa.int64()), pa.array([pickle.dumps(block)], pa.binary())], ["block", "payload"])
@@ -321,7 +321,7 @@ def search(pairs: DataFrame, blocks: DataFrame, pages: DataFrame, same: bool, k:
                     [pa.array([no] * sum(n), pa.int64()), *(pa.array(np.repeat(np.array([f[i] for f in found], np.int32), n)) for i in (0, 1)), *map(pa.array, whole)], ["block", "row", "window", "score", "id"]
                 )
 
-    read = pairs.groupBy("block", "page").agg(F.collect_list("row").alias("rows"))  # at most BLOCK rows
+    read = pairs.groupBy("block", "page").agg(F.collect_list("row").alias("rows"))  # at most the rows of a block
     trees = pages.select("page", F.col("payload").alias("tree"))
     return read.join(blocks, "block").join(trees, "page").select("block", "rows", "payload", "tree").mapInArrow(run, "block long, row int, window int, score long, id long")
 
@@ -372,7 +372,7 @@ def two_rounds(blocks: DataFrame, boxes: DataFrame, n_groups: int, pages: DataFr
     return materialize(first_k(found.drop("rank").unionByName(more), k), "negatives-found")
 
 
-def mine(embeddings: DataFrame, k_positives: int = 5, k_negatives: int = 5, low: int = 80, high: int = 100, anchor_every: int = 100, tile_rows: int = TILE_ROWS) -> DataFrame:
+def mine(embeddings: DataFrame, k_positives: int = 5, k_negatives: int = 5, low: int = 80, high: int = 100, anchor_every: int = 100, tile_rows: int = TILE_ROWS, page: int = PAGE, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score of every anchor (ids divisible by anchor_every)."""
     spark: SparkSession = embeddings.sparkSession
     small_batches(spark)
@@ -396,11 +396,11 @@ def mine(embeddings: DataFrame, k_positives: int = 5, k_negatives: int = 5, low:
     tiled = materialize(rows.mapInArrow(assign, "tile long, vec_id long, label long, v binary"), "negatives-tiled")
     parts = {r.tile: -(-r.n // tile_rows) for r in tiled.groupBy("tile").agg(F.count("*").alias("n")).collect()}  # at most MAX_TILES
     parts_of = F.try_element_at(F.create_map(*(F.lit(v).cast("long") for p in parts.items() for v in p)), "tile")
-    pages = materialize(pages_of(tiled.withColumn("part", F.pmod(F.xxhash64("vec_id", "label", "v"), parts_of)), dims, kind), "negatives-pages")
+    pages = materialize(pages_of(tiled.withColumn("part", F.pmod(F.xxhash64("vec_id", "label", "v"), parts_of)), dims, kind, page, leaf), "negatives-pages")
     # one row a group of up to 2,048 pages
     numbered = grouped_boxes(pages).withColumn("no", (F.row_number().over(Window.orderBy("box_group")) - 1).cast("int")).select(F.col("no").alias("box_group"), "boxes")
     boxes = materialize(numbered, "negatives-boxes")
-    blocks = materialize(anchor_blocks(tiled, dims, kind, anchor_every), "negatives-anchors")
+    blocks = materialize(anchor_blocks(tiled, dims, kind, anchor_every, block), "negatives-anchors")
     n_groups = boxes.count()
 
     positives = two_rounds(blocks, boxes, n_groups, pages, True, k_positives, exact)

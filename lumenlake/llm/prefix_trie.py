@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 from itertools import pairwise
 
 import numpy as np
@@ -225,8 +226,8 @@ def prefix(turns: int | Column) -> Column:
     return F.substring("names", F.lit(1), F.lit(NAME) * turns)
 
 
-def joined_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (digest, conv_id) sorted by both to blocks: digest, first, n, ids (comma-joined)."""
+def joined_ids(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (digest, conv_id) sorted by both to blocks of about `most` bytes: digest, first, n, ids (comma-joined)."""
     digest, first, ids, size = None, 0, [], 0
 
     def block() -> pa.RecordBatch:
@@ -235,7 +236,7 @@ def joined_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = []
     for batch in batches:
         for d, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if ids and (d != digest or size > ENDS_BYTES):
+            if ids and (d != digest or size > most):
                 out.append(block())
                 ids, size = [], 0
             if not ids:
@@ -276,11 +277,11 @@ def _ends(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["digest", "members", "least", "ends"])
 
 
-def sequences(convs: DataFrame) -> DataFrame:
+def sequences(convs: DataFrame, ends_bytes: int) -> DataFrame:
     """names, sizes, n_turns, members, least and ends of each distinct rebuilt conversation."""
     named = convs.withColumn("digest", F.unhex(F.sha2("names", 256)))
     ranged = named.select("digest", "conv_id").repartitionByRange("digest", "conv_id").sortWithinPartitions("digest", "conv_id")
-    blocks = ranged.mapInArrow(joined_ids, "digest binary, first long, n long, ids string")
+    blocks = ranged.mapInArrow(partial(joined_ids, most=ends_bytes), "digest binary, first long, n long, ids string")
     ends = blocks.repartition("digest").sortWithinPartitions("digest", "first").mapInArrow(hashed_ids, "digest binary, members long, least long, ends string")
     distinct = named.groupBy("digest").agg(F.first("names").alias("names"), F.first("sizes").alias("sizes"))
     return distinct.join(ends, "digest").select("names", "sizes", (F.length("names") / NAME).cast("int").alias("n_turns"), "members", "least", "ends")
@@ -369,11 +370,11 @@ def upper_nodes(roots: DataFrame, ended: DataFrame) -> DataFrame:
     )
 
 
-def trie(conversations: DataFrame, shard_turns: int = SHARD_TURNS) -> DataFrame:
+def trie(conversations: DataFrame, shard_turns: int = SHARD_TURNS, ends_bytes: int = ENDS_BYTES) -> DataFrame:
     """One row a node: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
     small_batches(conversations.sparkSession)
     convs = materialize(rebuilt(conversations), "trie-conversations")
-    seqs = sharded(materialize(sequences(convs), "trie-sequences"), shard_turns)
+    seqs = sharded(materialize(sequences(convs, ends_bytes), "trie-sequences"), shard_turns)
     nodes = materialize(shard_nodes(seqs, shard_turns), "trie-nodes")
     roots, ended = nodes.where(F.col("names").isNotNull()), seqs.where(F.col("n_turns") < F.col("cut"))
     upper = materialize(upper_nodes(roots, ended), "trie-merged")
