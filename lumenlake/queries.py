@@ -17,7 +17,7 @@ from lumenlake.operators import catalog, metrics, search, traces
 from lumenlake.plans import panels
 from lumenlake.plans.metric_query import MetricQuery, metric_query
 from lumenlake.sources import adapters as ad
-from lumenlake.sources import lake, otlp
+from lumenlake.sources import lake, manifest, otlp
 from lumenlake.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -406,13 +406,15 @@ def _scratch(spark: SparkSession) -> str:
 
 
 def _lake(spark: SparkSession, sf_dir: str) -> str:
-    """The logs of events in a lake, written in two parts (the second is late rows); once per session and table."""
+    """The logs of events in a lake, written in two parts (the second is late rows, and it comes twice, the first time with
+    other rows); once per session and table."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _lakes:
         root, logs = _scratch(spark), ad.logs(spark, sf_dir)
         late = F.unix_micros("ingest_ts") % 10 == 9
         lake.write_hours(logs.where(~late), root, "logs")
-        lake.write_hours(logs.where(late), root, "logs")
+        for rows in (logs.where(~late), logs.where(late)):
+            lake.write_hours(rows, root, "logs", writer="late")
         _lakes[key] = root
     return _lakes[key]
 
@@ -433,8 +435,34 @@ def _report(spark, sf):
 query("scan_signal", f"WITH {ad.LOGS_SQL} SELECT {_LOG} FROM logs WHERE ts >= TIMESTAMP '2024-01-05 07:30:00' AND ts < TIMESTAMP '2024-01-12 16:00:00'")(
     lambda spark, sf: lake.scan_signal(spark, _lake(spark, sf), "logs", datetime(2024, 1, 5, 7, 30), datetime(2024, 1, 12, 16)).select(*_LOG_COLUMNS)
 )
+
+
+_FLAT = """CASE event_type WHEN 'error' THEN 17 WHEN 'purchase' THEN 13 WHEN 'signup' THEN 9 WHEN 'click' THEN 5 WHEN 'view' THEN 1 ELSE 0 END AS severity_number, event_type AS body, md5('t' || (event_id // 5)) AS trace_id,
+CASE WHEN user_id % 5 = 4 THEN 'unknown_service' ELSE 'svc-' || (user_id % 5) END AS service, '{"kind":"' || event_type || '","user":' || user_id || '}' AS attributes"""
+
+
+def _both(spark: SparkSession, sf_dir: str) -> str:
+    """A lake of two writers: the logs of events by hours, and the log exports of events by a stream whose second batch runs
+    twice, the second time after a restart."""
+    key = (spark.sparkContext.applicationId, sf_dir + "#both")
+    if key not in _lakes:
+        root, sent = _scratch(spark), ad.log_exports(spark, sf_dir)
+        lake.write_hours(ad.logs(spark, sf_dir), root, "logs")
+        for batch in (0, 1, 1):
+            ingest.Ingest(root, "logs")(sent.where(F.col("request_id") % 2 == batch), batch)
+        _lakes[key] = root
+    return _lakes[key]
+
+
+_TWO = "ts, severity_number, body, service"
+query("lake_union", f"WITH {ad.LOGS_SQL}, sent AS (SELECT ts, {_FLAT} FROM events WHERE event_id % 9 <> 0), u AS (SELECT {_TWO} FROM logs UNION ALL SELECT {_TWO} FROM sent) SELECT {_TWO} FROM u WHERE ts >= TIMESTAMP '2024-01-05 07:30:00' AND ts < TIMESTAMP '2024-01-12 16:00:00'")(
+    lambda spark, sf: lake.scan_signal(spark, _both(spark, sf), "logs", datetime(2024, 1, 5, 7, 30), datetime(2024, 1, 12, 16)).select("ts", "severity_number", "body", "service")
+)
+query("ingest_totals", "SELECT count(*) FILTER (event_id % 9 <> 0) AS accepted, count(*) FILTER (event_id % 9 = 0) AS rejected, count(*) FILTER (user_id % 5 = 4 AND event_id % 9 <> 0) AS unknown_service, 0 AS duplicates, 2 AS commits FROM events")(
+    lambda spark, sf: manifest.totals(spark, _both(spark, sf), "logs", "stream").select("accepted", "rejected", "unknown_service", "duplicates", "commits")
+)
 query("write_hours", f"WITH {ad.LOGS_SQL} SELECT CAST(ts AS DATE) AS date, CAST(hour(ts) AS BIGINT) AS hour, count(*) AS rows FROM logs GROUP BY 1, 2")(
-    lambda spark, sf: spark.read.parquet(f"{_lake(spark, sf)}/logs").groupBy("date", "hour").agg(F.count("*").alias("rows"))
+    lambda spark, sf: lake.committed(spark, _lake(spark, sf), "logs", datetime(1970, 1, 1)).groupBy("date", "hour").agg(F.count("*").alias("rows"))
 )
 query("closed_hours", f"WITH {ad.LOGS_SQL} SELECT DISTINCT date_trunc('hour', ts) AS hour FROM logs WHERE date_trunc('hour', ts) + INTERVAL 2 HOUR <= TIMESTAMP '2024-01-20 06:00:00'")(
     lambda spark, sf: lake.closed_hours(ad.logs(spark, sf), datetime(2024, 1, 20, 6))
@@ -469,8 +497,6 @@ def _mixed(spark, sf):
 
 # --- normalisation and ingest -----------------------------------------------------------------
 
-_FLAT = """CASE event_type WHEN 'error' THEN 17 WHEN 'purchase' THEN 13 WHEN 'signup' THEN 9 WHEN 'click' THEN 5 WHEN 'view' THEN 1 ELSE 0 END AS severity_number, event_type AS body, md5('t' || (event_id // 5)) AS trace_id,
-CASE WHEN user_id % 5 = 4 THEN 'unknown_service' ELSE 'svc-' || (user_id % 5) END AS service, '{"kind":"' || event_type || '","user":' || user_id || '}' AS attributes"""
 query("flatten_logs", f"SELECT event_id // 50 AS request_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE ts END AS ts, CASE WHEN event_id % 9 = 0 THEN 'log record has no time_unix_nano or observed_time_unix_nano' END AS reject_reason, {_FLAT} FROM events")(
     lambda spark, sf: otlp.flatten_logs(ad.log_exports(spark, sf)).select("request_id", "ts", "reject_reason", "severity_number", "body", "trace_id", "service", "attributes")
 )
@@ -534,7 +560,7 @@ def _streamed(spark: SparkSession, sf_dir: str) -> str:
 
 
 query("stream_ingest", f"SELECT ts, {_FLAT} FROM events WHERE event_id % 9 <> 0")(
-    lambda spark, sf: spark.read.parquet(f"{_streamed(spark, sf)}/logs").select("ts", "severity_number", "body", "trace_id", "service", "attributes")
+    lambda spark, sf: lake.scan_signal(spark, _streamed(spark, sf), "logs", datetime(1970, 1, 1), datetime(2100, 1, 1)).select("ts", "severity_number", "body", "trace_id", "service", "attributes")
 )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lumenlake.functions import telemetry as tel
 from lumenlake.operators.search import Search, log_predicates
 from lumenlake.schema import EXPORTS, SIGNALS
-from lumenlake.sources import lake, otlp
+from lumenlake.sources import lake, manifest, otlp
 
 #: Identity of a stored row; logs have none.
 KEYS = {"spans": ("project", "trace_id", "span_id"), "metric_points": ("series_hash", "start_ts", "ts")}
@@ -84,25 +84,31 @@ def ingest_stats(flat: DataFrame, stored: DataFrame) -> DataFrame:
 class Ingest:
     """Writes micro-batches of nested exports of one signal to the lake.
 
-    Each batch goes to its own `batch=<id>` folders below the hours, replaced as a whole when the batch
-    runs again, so a replay changes nothing. Duplicates are looked up among the recent hours, the batch's
-    own earlier output left out. Late rows are never dropped. One ingest stream per signal and lake.
+    Each run of a batch is an attempt with files of its own, which the commit makes visible in place of any earlier attempt
+    of the batch (manifest.py), so a replay changes nothing. Duplicates are looked up in the committed files of the recent
+    hours, those of the batch's own earlier attempts left out. Late rows are never dropped. The counts of a batch are
+    committed with it: they survive a restart, and a batch that runs twice counts once. Streams of other names, and
+    write_hours(), may write to the same lake.
     """
 
-    def __init__(self, root: str, signal: str, nested: bool = True, clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc)):
-        self.root, self.signal, self.nested, self.clock = root, signal, nested, clock
+    def __init__(self, root: str, signal: str, nested: bool = True, clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc), writer: str = "stream"):
+        self.root, self.signal, self.nested, self.clock, self.writer = root, signal, nested, clock, writer
         self.stats = IngestStats()
 
-    def stored(self, spark: SparkSession) -> DataFrame | None:
-        path = f"{self.root}/{self.signal}"
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            return None
-        schema = lake._partitioned(SIGNALS[self.signal]).add("batch", "string")
-        return spark.read.schema(schema).parquet(path)
+    def refresh(self, spark: SparkSession) -> None:
+        """The counts of all batches that this writer has committed, in this run or before."""
+        for name, value in manifest.totals(spark, self.root, self.signal, self.writer).first().asDict().items():
+            setattr(self.stats, name, value)
+
+    def last_stamp(self, spark: SparkSession, epoch: int) -> int:
+        """The greatest stamp of the lake, whoever wrote it, this batch's earlier attempts left out."""
+        other = (F.col("writer") != self.writer) | (F.col("batch") != epoch)
+        stamps = manifest.files(spark, self.root, self.signal).where(other).select(F.unix_micros("max_ingest_ts").alias("us"))
+        stamps = stamps.unionAll(manifest.batches(spark, self.root, self.signal).where(other).select(F.col("stamp_us")))
+        return int(stamps.agg(F.max("us")).first()[0] or 0)
 
     def __call__(self, exports: DataFrame, epoch: int) -> None:
-        spark, began, batch_id = exports.sparkSession, self.clock(), f"{epoch:012d}"
+        spark, began = exports.sparkSession, self.clock()
         try:
             exports = exports.persist()
             seen = Observation(f"ingest-{uuid.uuid4().hex}")
@@ -110,36 +116,33 @@ class Ingest:
                 seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("reject_reason").isNotNull()).alias("rejected"), F.count_if(F.col("unknown_service") & F.col("reject_reason").isNull()).alias("unknown")
             )
             rows = otlp.accepted(flat)
-            before = self.stored(spark)
             if self.signal in KEYS:
-                old = None if before is None else lake.hours_from(recent(before, began), began - timedelta(hours=1)).where(F.col("batch") != batch_id)
-                rows = (dedup_spans if self.signal == "spans" else dedup_points)(rows, old)
-            if self.stats.last_stamp_us == 0 and before is not None:
-                self.stats.last_stamp_us = int(before.where(F.col("batch") != batch_id).agg(F.unix_micros(F.max("ingest_ts"))).first()[0] or 0)
-            rows, stamp = ingest_stamp(rows, self.stats.last_stamp_us, began)
-            written = Observation(f"written-{uuid.uuid4().hex}")
-            out = lake.with_hour(rows.select(*SIGNALS[self.signal].names)).withColumn("batch", F.lit(batch_id)).observe(written, F.count(F.lit(1)).alias("rows"))
-            (
-                lake.by_hour(out).write.partitionBy("date", "hour", "batch")
-                .option("compression", "zstd").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{self.root}/{self.signal}")
-            )
-            s, got, put = self.stats, seen.get, written.get
-            s.accepted += put["rows"]
-            s.rejected += got["rejected"]
-            s.unknown_service += got["unknown"]
-            s.duplicates += got["rows"] - got["rejected"] - put["rows"]
-            s.commits += 1
-            s.last_stamp_us, s.last_latency_s = stamp, (self.clock() - began).total_seconds()
+                known = lake.committed(spark, self.root, self.signal, self.recent_start(began), without=(self.writer, epoch))
+                rows = (dedup_spans if self.signal == "spans" else dedup_points)(rows, recent(known, began))
+            rows, stamp = ingest_stamp(rows, self.last_stamp(spark, epoch), began)
+            attempt = manifest.new_attempt(self.writer, epoch)
+            hours, stored = lake.write_batch(rows, self.root, self.signal, attempt)
+            got = {"rows": 0, "rejected": 0, "unknown": 0} | lake.observed(seen)
+            counts = {"accepted": stored, "rejected": got["rejected"], "unknown_service": got["unknown"], "duplicates": got["rows"] - got["rejected"] - stored}
+            counts |= {"stamp_us": stamp, "latency_s": (self.clock() - began).total_seconds()}
+            manifest.commit(spark, self.root, self.signal, self.writer, epoch, attempt, hours, counts)
+            self.refresh(spark)
         except Exception:
             self.stats.failed_commits += 1
             raise
         finally:
             exports.unpersist()
 
+    @staticmethod
+    def recent_start(now: datetime) -> datetime:
+        us = tel.micros(now)
+        return datetime(1970, 1, 1) + timedelta(microseconds=us - us % 3_600_000_000 - 3_600_000_000)
+
 
-def stream_ingest(spark: SparkSession, source: str, root: str, signal: str, checkpoint: str, nested: bool = True, files_per_batch: int = 1000, available_now: bool = False, interval: str = "250 milliseconds", clock=None) -> tuple[StreamingQuery, IngestStats]:
+def stream_ingest(spark: SparkSession, source: str, root: str, signal: str, checkpoint: str, nested: bool = True, files_per_batch: int = 1000, available_now: bool = False, interval: str = "250 milliseconds", clock=None, writer: str = "stream") -> tuple[StreamingQuery, IngestStats]:
     """Run exports (JSON files) of one signal into the lake, continuously or until what is there has been read."""
-    ingest = Ingest(root, signal, nested, **({"clock": clock} if clock else {}))
+    ingest = Ingest(root, signal, nested, writer=writer, **({"clock": clock} if clock else {}))
+    ingest.refresh(spark)
     exports = spark.readStream.schema(EXPORTS[signal]).option("maxFilesPerTrigger", files_per_batch).json(source)
     writer = exports.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
@@ -147,8 +150,9 @@ def stream_ingest(spark: SparkSession, source: str, root: str, signal: str, chec
 
 
 def logs_follow(spark: SparkSession, root: str, p: Search) -> DataFrame:
-    """A streaming DataFrame of the logs that match, in order of arrival; late rows come when they are stored. No watermark drops any."""
+    """A streaming DataFrame of the logs that match, in order of arrival; late rows come when they are stored. No watermark drops
+    any. Files are seen when they are written: a batch that runs again can be seen again, as a live view may show a row twice."""
     rows = spark.readStream.schema(lake._partitioned(SIGNALS["logs"])).option("recursiveFileLookup", "false").parquet(f"{root}/logs")
     for predicate in log_predicates(p):
         rows = rows.where(predicate)
-    return rows.drop("date", "hour")
+    return rows.select(*SIGNALS["logs"].names)
