@@ -567,6 +567,6 @@ query("stream_ingest", f"SELECT ts, {_FLAT} FROM events WHERE event_id % 9 <> 0"
 @query("logs_follow", f"WITH {ad.LOGS_SQL} SELECT {_LOG} FROM logs WHERE {P1} AND severity_number >= 13")
 def _logs_follow(spark, sf):
     out = _scratch(spark)
-    rows = ingest.logs_follow(spark, _lake(spark, sf), replace(_BASE, level="warn"))
-    rows.writeStream.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).format("parquet").start(f"{out}/rows").awaitTermination()
+    show = lambda rows, epoch: rows.write.mode("overwrite").parquet(f"{out}/rows/epoch={epoch}")
+    ingest.logs_follow(spark, _lake(spark, sf), replace(_BASE, level="warn"), show, f"{out}/checkpoint", available_now=True).awaitTermination()
     return spark.read.parquet(f"{out}/rows").select(*_LOG_COLUMNS)

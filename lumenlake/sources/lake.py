@@ -61,8 +61,13 @@ def committed(spark: SparkSession, root: str, signal: str, start: datetime, end:
         seen = seen.where(F.col("min_ts").isNull() | (F.col("min_ts") < tel.at(tel.micros(end))))
     if without is not None:
         seen = seen.where((F.col("writer") != without[0]) | (F.col("batch") != without[1]))
+    return read_paths(spark, root, signal, seen)
+
+
+def read_paths(spark: SparkSession, root: str, signal: str, files: DataFrame) -> DataFrame:
+    """Rows of the committed files(path), with date and hour. A batch's folder holds just its own files, all of them committed."""
     folder = F.when(F.col("path").contains("/batch="), F.regexp_extract("path", r"^(.*)/[^/]+$", 1)).otherwise(F.col("path"))
-    return _read(spark, root, signal, [r[0] for r in seen.select(folder).distinct().collect()])
+    return _read(spark, root, signal, [r[0] for r in files.select(folder).distinct().collect()])
 
 
 def is_committed(spark: SparkSession, root: str, signal: str) -> bool:

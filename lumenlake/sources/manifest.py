@@ -27,7 +27,7 @@ COUNTS = ("accepted", "rejected", "unknown_service", "duplicates")
 _TYPES = {"long": T.LongType(), "string": T.StringType(), "timestamp": T.TimestampType(), "double": T.DoubleType()}
 _COLUMNS = (
     ("kind", "string"), ("writer", "string"), ("batch", "long"), ("attempt", "string"), ("committed_us", "long"), ("path", "string"), ("hour", "timestamp"), ("rows", "long"), ("bytes", "long"),
-    ("min_ts", "timestamp"), ("max_ts", "timestamp"), ("max_ingest_ts", "timestamp"), *((c, "long") for c in COUNTS), ("stamp_us", "long"), ("latency_s", "double"),
+    ("min_ts", "timestamp"), ("max_ts", "timestamp"), ("max_ingest_ts", "timestamp"), *((c, "long") for c in COUNTS), ("stamp_us", "long"), ("latency_s", "double"), ("moved", "long"),
 )
 SCHEMA = T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in _COLUMNS])
 #: File systems that tasks open by themselves; footers in any other are read through Hadoop by the driver.
@@ -162,6 +162,12 @@ def commit(spark: SparkSession, root: str, signal: str, writer: str, batch: int,
     _append(rows.withColumns(named), root, signal)
 
 
+def commit_counts(spark: SparkSession, root: str, signal: str, writer: str, batch: int, counts: dict) -> None:
+    """Numbers of a batch that are only known after its commit; told again, they count once."""
+    row = {"kind": "counts", "writer": writer, "batch": batch, "attempt": new_attempt(writer, batch), "committed_us": time.time_ns() // 1000} | counts
+    _append(spark.createDataFrame([tuple(row.get(f.name) for f in SCHEMA)], SCHEMA), root, signal)
+
+
 def adopt(spark: SparkSession, root: str, signal: str) -> None:
     """Take files that were put straight into date=/hour= folders, and that no batch knows, into the table."""
     known = entries(spark, root, signal).where("kind = 'file'").select("path")
@@ -204,22 +210,24 @@ def files(spark: SparkSession, root: str, signal: str) -> DataFrame:
 def totals(spark: SparkSession, root: str, signal: str, writer: str | None = None) -> DataFrame:
     """accepted, rejected, unknown_service, duplicates, commits, last_stamp_us and last_latency_s of all batches, each counted
     once however often it was run: one row."""
-    own = batches(spark, root, signal)
+    later = entries(spark, root, signal).where("kind = 'counts'").groupBy("writer", "batch").agg(*(F.max_by(c, F.struct("committed_us", "attempt")).alias(f"_{c}") for c in COUNTS))
+    own = batches(spark, root, signal).join(later, ["writer", "batch"], "left")
     own = own if writer is None else own.where(F.col("writer") == writer)
-    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS]
+    sums = [F.coalesce(F.sum(F.coalesce(c, F.lit(0)) + F.coalesce(f"_{c}", F.lit(0))), F.lit(0)).alias(c) for c in COUNTS]
     return own.agg(*sums, F.count("*").alias("commits"), F.coalesce(F.max("stamp_us"), F.lit(0)).alias("last_stamp_us"), F.coalesce(F.max_by("latency_s", "committed_us"), F.lit(0.0)).alias("last_latency_s"))
 
 
 # ---- upkeep
 
 
-def compact(spark: SparkSession, root: str, signal: str) -> None:
-    """One file in place of the small files of the commits so far. Rows are known by attempt and path, so a crash between the
-    new file and the deletion of the old ones leaves doubles that change nothing."""
-    old = listing(spark, folder(root, signal)).select("path")
-    paths = [r[0] for r in old.toLocalIterator()]
+def compact(spark: SparkSession, root: str, signal: str, before: datetime | None = None) -> None:
+    """One file in place of the small files that commits wrote before the time (all, where it is null). Rows are known by
+    attempt and path, so a crash between the new file and the deletion of the old ones leaves doubles that change nothing.
+    The rows are marked as moved: followers, who must have read the small files by then, pass over them."""
+    old = listing(spark, folder(root, signal))
+    paths = [r[0] for r in (old if before is None else old.where(F.col("modified") < F.lit(before))).select("path").toLocalIterator()]
     if len(paths) > 1:
-        _append(spark.read.schema(SCHEMA).parquet(*paths).dropDuplicates(), root, signal)
+        _append(spark.read.schema(SCHEMA).parquet(*paths).withColumn("moved", F.lit(1)).dropDuplicates(), root, signal)
         delete(spark, paths)
 
 

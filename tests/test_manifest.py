@@ -55,11 +55,50 @@ def test_writers_share_a_lake_and_a_replay_replaces_its_batch(spark, shared):
     assert merged.columns == schema.LOGS.names and "late" in bodies(merged)
 
 
-def test_a_follower_sees_the_rows_of_both_writers(spark, shared, tmp_path):
-    rows = ingest.logs_follow(spark, shared, Search("p1", H0, H0 + DAY))
-    assert rows.columns == schema.LOGS.names
-    rows.writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).format("parquet").start(str(tmp_path / "out")).awaitTermination()
-    assert set(ALL) <= set(bodies(spark.read.parquet(str(tmp_path / "out"))))
+def test_a_follower_sees_the_committed_rows_of_both_writers(spark, shared, tmp_path):
+    def poll():
+        got = []
+
+        def show(rows, epoch):
+            assert rows.columns == schema.LOGS.names
+            got.extend(bodies(rows))
+
+        ingest.logs_follow(spark, shared, Search("p1", H0, H0 + DAY), show, str(tmp_path / "cp"), available_now=True).awaitTermination()
+        return sorted(got)
+
+    assert poll() == ALL and poll() == []
+    lake.write_batch(logs(spark, [{"ts": H1, "body": "half written"}]), shared, "logs", manifest.new_attempt("stream", 9))
+    lake.write_hours(logs(spark, [{"ts": H0 - DAY, "body": "out of range"}, {"ts": H0, "body": "later", "severity_number": 9}]), shared, "logs")
+    assert poll() == ["later"]
+    manifest.compact(spark, shared, "logs")
+    assert poll() == []
+
+
+def test_a_keyed_stream_knows_keys_across_batches_and_restarts(spark, tmp_path):
+    from tests.test_sources import span
+
+    hour = datetime.utcnow().replace(minute=0, second=0, microsecond=0)
+    source, root = str(tmp_path / "in"), str(tmp_path / "lake")
+
+    def send(name, times):
+        records = [span(sid=f"{i:016x}", start=ns(t)) for i, t in times]
+        exports(spark, "spans", "resourceSpans", "scopeSpans", "spans", [*records, span("xx")]).coalesce(1).write.json(f"{source}/{name}")
+
+    def run():
+        query, _ = ingest.stream_ingest(spark, f"{source}/*", root, "spans", str(tmp_path / "cp"), available_now=True, keyed=True)
+        query.awaitTermination()
+        assert any("numDroppedDuplicateRows" in s.customMetrics for p in query.recentProgress for s in p.stateOperators)
+        return sorted(int(r["span_id"], 16) for r in lake.scan_signal(spark, root, "spans", hour - 9 * DAY, hour + DAY).collect())
+
+    old = hour - 30 * HOUR
+    send(1, [(1, hour), (2, hour), (2, hour), (3, old), (3, old), (4, hour - 5 * DAY)])
+    assert run() == [1, 2, 3, 4]
+    send(2, [(1, hour), (5, hour), (3, old)])  # a restart; the hour of 3 is closed, so it is kept
+    assert run() == [1, 2, 3, 3, 4, 5]
+    deadline = datetime.now() + timedelta(seconds=20)
+    while (got := manifest.totals(spark, root, "spans").first())["duplicates"] < 3 and datetime.now() < deadline:
+        pass
+    assert (got["accepted"], got["rejected"], got["duplicates"]) == (6, 2, 3)
 
 
 def test_counts_survive_restarts_and_replays(spark, shared):

@@ -192,8 +192,8 @@ def test_stream_is_idempotent_and_keeps_late_rows(spark, tmp_path):
 def test_follow_shows_late_rows(spark, tmp_path):
     root, out = str(tmp_path / "lake"), str(tmp_path / "out")
     def step():
-        rows = ingest.logs_follow(spark, root, Search("p1", H0, H0 + timedelta(days=1), level="info"))
-        rows.writeStream.option("checkpointLocation", f"{out}/cp").trigger(availableNow=True).format("parquet").start(f"{out}/rows").awaitTermination()
+        show = lambda rows, epoch: rows.write.parquet(f"{out}/rows/epoch={epoch}")
+        ingest.logs_follow(spark, root, Search("p1", H0, H0 + timedelta(days=1), level="info"), show, f"{out}/cp", available_now=True).awaitTermination()
         return sorted(r["body"] for r in spark.read.parquet(f"{out}/rows").collect())
 
     lake.write_hours(logs(spark, [{"ts": H1, "body": "a", "severity_number": 9}, {"ts": H1, "body": "quiet", "severity_number": 1}]), root, "logs")
