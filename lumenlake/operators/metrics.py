@@ -18,19 +18,39 @@ def aligned_start(start: datetime, step_s: int) -> datetime:
     return datetime(1970, 1, 1) + timedelta(microseconds=us - us % (step_s * 1_000_000))
 
 
-def series_deltas(points: DataFrame, start: datetime, end: datetime, lookback: timedelta = LOOKBACK) -> DataFrame:
+#: What a delta needs of the point before.
+LAGS = ("start_ts", "value_int", "value_double", "count", "sum", "bucket_counts", "bucket_bounds")
+
+
+def with_before(rows: DataFrame, chunk: timedelta | None = None) -> DataFrame:
+    """rows with _has and _<column> of the series' point before, in order of (ts, ingest_ts).
+
+    With a chunk, no task holds a series: the rows of a series are split by spans of time, and the last point of each such
+    span is carried, as one more row, to the next one that has any."""
+    order = ("ts", "ingest_ts")
+    before = lambda w: (F.lag(F.lit(True)).over(w).alias("_has"), *(F.lag(c).over(w).alias(f"_{c}") for c in LAGS))
+    if chunk is None:
+        return rows.select("*", *before(Window.partitionBy("series_hash").orderBy(*order)))
+    rows = rows.withColumn("_chunk", F.floor(F.unix_micros("ts") / (chunk // timedelta(microseconds=1))).cast("long"))
+    last = rows.groupBy("series_hash", "_chunk").agg(F.max_by(F.struct(*order, *LAGS), F.struct(*order)).alias("_last"))
+    following = F.lead("_chunk").over(Window.partitionBy("series_hash").orderBy("_chunk"))
+    carried = last.select("series_hash", following.alias("_chunk"), "_last.*", F.lit(0).alias("_own")).where(F.col("_chunk").isNotNull())
+    both = rows.withColumn("_own", F.lit(1)).unionByName(carried, allowMissingColumns=True)
+    w = Window.partitionBy("series_hash", "_chunk").orderBy("_own", *order)
+    return both.select("*", *before(w)).where("_own = 1").drop("_own", "_chunk")
+
+
+def series_deltas(points: DataFrame, start: datetime, end: datetime, lookback: timedelta = LOOKBACK, chunk: timedelta | None = None) -> DataFrame:
     """Each point of [start, end) with its change since the series' point before: dv, dc, ds, db, and is_reset, is_fresh.
 
     A delta point stands for itself. A cumulative one is the difference to its predecessor; the whole
     value after a reset (start changed, value or count fell), or when it is the first and began within
     the rows read; nothing when it is the first otherwise. New bounds without a reset void the bucket
-    delta only. Rows are read from `lookback` before start.
+    delta only. Rows are read from `lookback` before start. `chunk`: see with_before(); for tables in
+    which one series may hold a large share of the rows.
     """
     read_from = start - lookback
-    rows = points.where(tel.in_range(F.col("ts"), read_from, end))
-    w = Window.partitionBy("series_hash").orderBy("ts", "ingest_ts")
-    lags = ("start_ts", "value_int", "value_double", "count", "sum", "bucket_counts", "bucket_bounds")
-    rows = rows.select("*", F.lag(F.lit(True)).over(w).alias("_has"), *(F.lag(c).over(w).alias(f"_{c}") for c in lags))
+    rows = with_before(points.where(tel.in_range(F.col("ts"), read_from, end)), chunk)
     value, before = F.coalesce("value_double", F.col("value_int").cast("double")), F.coalesce("_value_double", F.col("_value_int").cast("double"))
     has, delta = F.coalesce("_has", F.lit(False)), F.coalesce(F.col("temporality") == tel.DELTA, F.lit(False))
     fell = F.coalesce(F.col("value_int") < F.col("_value_int"), value < before, F.lit(False)) | F.coalesce(F.col("count") < F.col("_count"), F.lit(False))
@@ -49,7 +69,7 @@ def series_deltas(points: DataFrame, start: datetime, end: datetime, lookback: t
             "is_reset": reset, "is_fresh": F.coalesce(fresh, F.lit(False)), "_kept": delta | has | F.coalesce(fresh, F.lit(False)),
         })
         .where(F.col("_kept") & (F.col("ts") >= tel.at(tel.micros(start))))
-        .drop("_has", "_kept", *(f"_{c}" for c in lags))
+        .drop("_has", "_kept", *(f"_{c}" for c in LAGS))
     )
 
 
@@ -88,57 +108,53 @@ def histogram_avg(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy("grp", "step_ts").agg((F.sum("ds") / F.nullif(count, F.lit(0))).alias("value"))
 
 
-def bucket_sums(deltas: DataFrame) -> DataFrame:
-    """(grp, step_ts, bounds, counts): bucket changes added element by element."""
-    rows = deltas.where(F.col("db").isNotNull()).select("grp", "step_ts", F.col("bucket_bounds").alias("bounds"), F.posexplode("db").alias("pos", "n"))
-    sums = rows.groupBy("grp", "step_ts", "bounds", "pos").agg(F.sum("n").alias("n"))
-    listed = sums.groupBy("grp", "step_ts", "bounds").agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("_l"))
-    return listed.select("grp", "step_ts", "bounds", F.transform("_l", lambda x: x["n"]).alias("counts"))
+def bucket_cells(deltas: DataFrame) -> DataFrame:
+    """(grp, bounds, step_ts, pos, n, series, only, firsts): bucket changes added up per group, bounds, step and bucket.
 
+    series counts the series under these bounds, only those seen under no others, firsts each series of the group once; all
+    three are told at one cell each and add up over any cells. Sums merge: no list of points or steps is built. The windows
+    run over the sums of a series, where the deltas have left them."""
+    rows = deltas.where(F.col("db").isNotNull()).select("series_hash", "grp", "step_ts", F.col("bucket_bounds").alias("bounds"), F.posexplode("db").alias("pos", "n"))
+    own = rows.groupBy("series_hash", "grp", "bounds", "step_ts", "pos").agg(F.sum("n").alias("n"))
+    series, order = Window.partitionBy("series_hash", "grp"), ("bounds", "step_ts", "pos")
+    at = F.row_number().over(series.orderBy(*order))
+    lead = (F.lag("bounds").over(series.orderBy(*order)).isNull() | (F.lag("bounds").over(series.orderBy(*order)) != F.col("bounds"))).cast("long")
+    alone = F.min("bounds").over(series) == F.max("bounds").over(series)
+    told = own.select("grp", "bounds", "step_ts", "pos", "n", lead.alias("series"), (lead * alone.cast("long")).alias("only"), (at == 1).cast("long").alias("firsts"))
+    return told.groupBy("grp", "bounds", "step_ts", "pos").agg(*(F.sum(c).alias(c) for c in ("n", "series", "only", "firsts")))
 
-def merged_bounds(deltas: DataFrame) -> DataFrame:
-    """(grp, bounds, incompatible_series): over the whole range, the bounds of most series, then of the larger total, then
-    the smaller ones; and the number of series seen under other bounds."""
-    rows = deltas.where(F.col("db").isNotNull()).select("grp", F.col("bucket_bounds").alias("bounds"), "series_hash", F.aggregate("db", F.lit(0).cast("long"), lambda a, n: a + n).alias("n"))
-    series = rows.groupBy("grp", "bounds", "series_hash").agg(F.sum("n").alias("n"))
-    totals = series.groupBy("grp", "bounds").agg(F.count("*").alias("series"), F.sum("n").alias("n"))
-    best = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("series"), F.desc("n"), "bounds"))
-    chosen = totals.withColumn("_r", best).where("_r = 1").select("grp", "bounds")
-    other = series.join(chosen.withColumnRenamed("bounds", "_best"), "grp").where(~F.col("bounds").eqNullSafe(F.col("_best"))).groupBy("grp").agg(F.countDistinct("series_hash").alias("_n"))
-    return chosen.join(other, "grp", "left").select("grp", "bounds", F.coalesce("_n", F.lit(0)).cast("long").alias("incompatible_series"))
 
+def _listed(cells: DataFrame, *keys: str) -> DataFrame:
+    """Cells as one row per group, bounds and step, its buckets in order."""
+    rows = cells.groupBy("grp", "bounds", "step_ts", *keys).agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("_l"))
+    return rows.select("grp", "step_ts", "bounds", F.transform("_l", lambda x: x["n"]).alias("counts"), *keys)
 
-def _added(lists: Column) -> Column:
-    """The element-wise sum of a list of equally long arrays."""
-    return F.aggregate(F.slice(lists, 2, F.size(lists)), F.get(lists, 0), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
 
+def bucket_sums(deltas: DataFrame) -> DataFrame:
+    """(grp, step_ts, bounds, counts): bucket changes added element by element."""
+    return _listed(bucket_cells(deltas))
 
-def merged_buckets(deltas: DataFrame) -> DataFrame:
-    """(grp, step_ts, bounds, counts, incompatible_series): bucket_sums() under the bounds that merged_bounds() chooses, in one pass.
 
-    Points are added up per series and step where the deltas left them (by series), and one row per
-    series names all bounds that it was seen under. Both kinds of rows are summed together: per group,
-    bounds, step and bucket, and per group and list of bounds (the number of series). What is left is few
-    rows a group; windows over them choose the bounds and count the series that were seen under others.
-    """
-    rows = deltas.where(F.col("db").isNotNull()).select("series_hash", "grp", "step_ts", F.col("bucket_bounds").alias("bounds"), "db")
-    own = rows.groupBy("series_hash", "grp", "bounds", "step_ts").agg(_added(F.collect_list("db")).alias("c"))
-    series = own.groupBy("series_hash", "grp").agg(F.array_sort(F.collect_set("bounds")).alias("seen"), F.collect_list(F.struct("bounds", "step_ts", "c")).alias("steps"))
-    void = F.lit(None)
-    cell = lambda bounds, step, seen, pos, n, k: F.struct(bounds.alias("bounds"), step.cast("timestamp").alias("step_ts"), seen.cast("array<array<double>>").alias("seen"), pos.cast("int").alias("pos"), n.cast("long").alias("n"), k.cast("long").alias("k"))
-    counts = F.flatten(F.transform("steps", lambda x: F.transform(x["c"], lambda n, i: cell(x["bounds"], x["step_ts"], void, i, n, F.lit(0)))))
-    leads = F.transform("seen", lambda b: cell(b, void, F.col("seen"), F.lit(-1), F.lit(0), F.lit(1)))
-    cells = series.select("grp", F.explode(F.concat(counts, leads)).alias("x")).select("grp", "x.*")
-    sums = cells.groupBy("grp", "bounds", "step_ts", "seen", "pos").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+def _under_best(cells: DataFrame) -> DataFrame:
+    """The cells of each group's best bounds (of most series over the whole range, then of the larger total, then the smaller
+    ones), with the number of series that were seen under others. Cells are few rows a group."""
     under, group = Window.partitionBy("grp", "bounds"), Window.partitionBy("grp")
-    ranked = sums.withColumns({"_series": F.sum("k").over(under), "_total": F.sum("n").over(under)})
+    ranked = cells.withColumns({"_series": F.sum("series").over(under), "_total": F.sum("n").over(under)})
     ranked = ranked.withColumn("_best", F.first("bounds").over(group.orderBy(F.desc("_series"), F.desc("_total"), "bounds")))
-    # a series is counted at the first of its bounds
-    lost = F.when((F.col("pos") < 0) & (F.col("bounds") == F.get("seen", 0)) & ((F.size("seen") > 1) | (F.col("bounds") != F.col("_best"))), F.col("k"))
-    ranked = ranked.withColumn("incompatible_series", F.coalesce(F.sum(lost).over(group), F.lit(0)))
-    chosen = ranked.where((F.col("pos") >= 0) & (F.col("bounds") == F.col("_best")))
-    listed = chosen.groupBy("grp", "bounds", "incompatible_series", "step_ts").agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("_l"))
-    return listed.select("grp", "step_ts", "bounds", F.transform("_l", lambda x: x["n"]).alias("counts"), "incompatible_series")
+    fine = F.sum(F.when(F.col("bounds") == F.col("_best"), F.col("only")).otherwise(0)).over(group)
+    return ranked.withColumn("incompatible_series", F.sum("firsts").over(group) - fine).where(F.col("bounds") == F.col("_best"))
+
+
+def merged_bounds(deltas: DataFrame) -> DataFrame:
+    """(grp, bounds, incompatible_series): the bounds under which a group's buckets are merged, and the number of series seen
+    under other bounds."""
+    whole = deltas.withColumn("step_ts", F.lit(None).cast("timestamp"))  # the choice holds for all steps
+    return _under_best(bucket_cells(whole)).select("grp", "bounds", "incompatible_series").distinct()
+
+
+def merged_buckets(deltas: DataFrame) -> DataFrame:
+    """(grp, step_ts, bounds, counts, incompatible_series): bucket_sums() under the bounds of merged_bounds(), in one pass."""
+    return _listed(_under_best(bucket_cells(deltas)), "incompatible_series")
 
 
 def histogram_quantiles(deltas: DataFrame, q: float) -> DataFrame:
@@ -151,38 +167,39 @@ def seed_groups(points: DataFrame) -> DataFrame:
     return points.select("grp").distinct()
 
 
-def rank_series(groups: DataFrame, values: DataFrame, limit: int = MAX_SERIES) -> DataFrame:
-    """(grp, total, rank) of the limit + 1 groups with the largest sums of values; the last one only tells that there are more."""
-    totals = groups.join(values.groupBy("grp").agg(F.sum("value").alias("_t")), "grp", "left").select("grp", F.coalesce("_t", F.lit(0.0)).cast("double").alias("total"))
-    top = totals.orderBy(F.desc("total"), "grp").limit(limit + 1)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total"), "grp")))  # limit + 1 rows
-
-
 def _steps(start: datetime, end: datetime, step_s: int) -> Column:
     """The starts of the steps of [aligned start, end)."""
     first, last = tel.micros(aligned_start(start, step_s)), tel.micros(end)
     return F.transform(F.sequence(F.lit(first), F.lit(max(first, last - 1)), F.lit(step_s * 1_000_000)), lambda u: F.timestamp_micros(u))
 
 
-def ranked_steps(groups: DataFrame, values: DataFrame, start: datetime, end: datetime, step_s: int, limit: int = MAX_SERIES) -> DataFrame:
-    """rank_series() and fill_steps() in one pass over values: (grp, rank, steps, incompatible_series) of the first limit + 1
-    groups, steps being a map of at most MAX_STEPS values. See unfolded()."""
+def folded(groups: DataFrame, values: DataFrame) -> DataFrame:
+    """(grp, total, steps, incompatible_series): each group's values as a map of at most MAX_STEPS steps, and their sum."""
     bad = F.max("incompatible_series") if "incompatible_series" in values.columns else F.max(F.lit(None).cast("long"))
-    folded = values.groupBy("grp").agg(F.sum("value").alias("_t"), F.map_from_entries(F.collect_list(F.struct("step_ts", "value"))).alias("steps"), bad.alias("incompatible_series"))
-    top = groups.join(folded, "grp", "left").withColumn("_t", F.coalesce("_t", F.lit(0.0)).cast("double")).orderBy(F.desc("_t"), "grp").limit(limit + 1)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("_t"), "grp"))).drop("_t")  # limit + 1 rows
+    own = values.groupBy("grp").agg(F.sum("value").alias("total"), F.map_from_entries(F.collect_list(F.struct("step_ts", "value"))).alias("steps"), bad.alias("incompatible_series"))
+    return groups.join(own, "grp", "left").withColumn("total", F.coalesce("total", F.lit(0.0)).cast("double"))
+
+
+def ranked_steps(groups: DataFrame, values: DataFrame, limit: int = MAX_SERIES) -> DataFrame:
+    """folded() with the rank of the limit + 1 groups with the largest totals; the last one only tells that there are more."""
+    top = folded(groups, values).orderBy(F.desc("total"), "grp").limit(limit + 1)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total"), "grp")))  # limit + 1 rows
+
+
+def rank_series(groups: DataFrame, values: DataFrame, limit: int = MAX_SERIES) -> DataFrame:
+    """(grp, total, rank) of the limit + 1 groups with the largest sums of values."""
+    return ranked_steps(groups, values, limit).select("grp", "total", "rank")
 
 
-def unfolded(ranked: DataFrame, start: datetime, end: datetime, step_s: int) -> DataFrame:
-    """One row per group and step of ranked_steps(), null where there is no value, in rank and time order."""
-    spine = ranked.select("*", F.explode(_steps(start, end, step_s)).alias("step_ts"))
-    return spine.select("grp", "rank", "step_ts", F.try_element_at("steps", F.col("step_ts")).alias("value"), "incompatible_series").orderBy("rank", "step_ts")
+def unfolded(groups: DataFrame, start: datetime, end: datetime, step_s: int) -> DataFrame:
+    """One row for every step of [aligned start, end) of folded groups, null where there is no value."""
+    spine = groups.withColumn("step_ts", F.explode(_steps(start, end, step_s)))
+    return spine.withColumn("value", F.try_element_at("steps", F.col("step_ts"))).drop("steps")
 
 
 def fill_steps(groups: DataFrame, values: DataFrame, start: datetime, end: datetime, step_s: int) -> DataFrame:
-    """Every step of [aligned start, end) for every group of `groups` (a ranked, bounded table), null where there is no value."""
-    spine = groups.select("*", F.explode(_steps(start, end, step_s)).alias("step_ts"))
-    return spine.join(values, ["grp", "step_ts"], "left")
+    """(grp, step_ts, value): every step of [aligned start, end) for every group."""
+    return unfolded(folded(groups, values), start, end, step_s).select("grp", "step_ts", "value")
 
 
 def metric_table(series: DataFrame) -> DataFrame:

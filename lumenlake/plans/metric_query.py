@@ -70,6 +70,6 @@ def metric_query(points: DataFrame, q: MetricQuery, kind: tuple[int, bool, str |
             values = metrics.histogram_rate(deltas, step) if aggregate == "rate" else metrics.histogram_avg(deltas)
         else:
             values = metrics.counter_rate(deltas, step) if aggregate == "rate" else metrics.counter_increase(deltas)
-    ranked = metrics.ranked_steps(metrics.seed_groups(inside), values, start, q.end, step, q.limit)
-    series = metrics.unfolded(ranked.where(F.col("rank") <= q.limit), start, q.end, step)
+    ranked = metrics.ranked_steps(metrics.seed_groups(inside), values, q.limit)
+    series = metrics.unfolded(ranked.where(F.col("rank") <= q.limit), start, q.end, step).select("grp", "rank", "step_ts", "value", "incompatible_series").orderBy("rank", "step_ts")
     return MetricResult(series, ranked.agg((F.count("*") > q.limit).alias("truncated")), kind, aggregate, step, start)

@@ -167,3 +167,40 @@ def test_a_long_trace_is_whole(spark):
     assert got == traces.depth_first([s["span_id"] for s in own], [s["parent_span_id"] for s in own]) and len(got) == n
     assert [r["span_id"] for r in traces.first_error_span(rows, traces.trace_tree(rows)).collect()] == [f"{n - 2:06d}"]
     assert traces.trace_tree(rows, collapsed=["000000"]).count() == 1 and traces.waterfall_bars(rows).count() == n
+
+
+def test_arrays_lay_out_traces_as_a_walk_does(spark):
+    """Random forests with orphans, cycles, trees that hang from cycles, and chains; batches that cut traces."""
+    import random
+
+    r, rows, want = random.Random(11), [], {}
+    for t in range(60):
+        n = r.choice((1, 2, 7, 40))
+        own = [(f"{t}", f"{i:03d}", r.choice([None, "gone", *(f"{j:03d}" for j in range(n))]) if r.random() < 0.4 else (f"{i - 1:03d}" if i and t % 2 else f"{r.randrange(n):03d}")) for i in range(n)]
+        r.shuffle(own)
+        for at, (trace, i, p) in enumerate(own):
+            rows.append({"ts": H0 + timedelta(seconds=at // 3), "trace_id": trace, "span_id": i, "parent_span_id": p})
+        order = sorted(range(n), key=lambda k: (k // 3, own[k][1]))
+        want[f"{t}"] = traces.depth_first([own[k][1] for k in order], [own[k][2] for k in order])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        for hide in ([], ["003", "010", "000"]):
+            got = traces.trace_tree(spans(spark, rows), collapsed=hide).orderBy("trace_id", "position").collect()
+            for t, tree in want.items():
+                shown, skip = [], None
+                for row in tree:
+                    if skip is None or row[1] <= skip:
+                        skip = row[1] if row[0] in hide else None
+                        shown.append(row)
+                own = [x for x in got if x["trace_id"] == t]
+                assert [(x["span_id"], x["depth"], x["is_orphan"], x["has_children"]) for x in own] == shown
+                assert [x["position"] for x in own] == list(range(len(own)))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_deep_and_wide_trace(spark):
+    n = 3_000
+    rows = [{"ts": H0, "trace_id": "t", "span_id": f"{i:05d}", "parent_span_id": f"{i - 1:05d}" if i % 1_500 else None} for i in range(n)]
+    got = traces.trace_tree(spans(spark, rows)).orderBy("position").collect()
+    assert [(x["span_id"], x["depth"]) for x in got] == [(f"{i:05d}", i % 1_500) for i in range(n)]
