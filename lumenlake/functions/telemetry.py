@@ -162,25 +162,19 @@ def group_label(group_by: str | None) -> Column:
     return F.coalesce(attributes_map(F.col("attributes"))[group_by], F.lit(""))
 
 
-def histogram_quantile(counts: Column, bounds: Column, q: float) -> Column:
-    """Linear interpolation inside the first bucket whose cumulative count reaches q times the total."""
-    counts = F.transform(counts, lambda n: n.cast("double"))
-    total = F.aggregate(counts, F.lit(0.0), lambda a, n: a + n)
-    start = F.struct(F.lit(0.0).alias("cum"), F.lit(-1).alias("i"), F.lit(0.0).alias("below"), F.lit(0.0).alias("n"))
-
-    def step(s: Column, x: Column) -> Column:
-        reached = (s["i"] < 0) & (x["n"] > 0) & (s["cum"] + x["n"] >= total * q)
-        return F.struct(
-            F.when(x["n"] > 0, s["cum"] + x["n"]).otherwise(s["cum"]).alias("cum"), F.when(reached, x["i"]).otherwise(s["i"]).alias("i"),
-            F.when(reached, s["cum"]).otherwise(s["below"]).alias("below"), F.when(reached, x["n"]).otherwise(s["n"]).alias("n"),
-        )
-
-    def value(s: Column) -> Column:
-        low = F.when(s["i"] == 0, F.lit(0.0)).otherwise(F.get(bounds, s["i"] - 1))
-        high = F.get(bounds, s["i"])
-        inside = F.when((s["i"] == 0) & (high <= 0), high).otherwise(low + (high - low) * (total * q - s["below"]) / s["n"])
-        return F.when((s["i"] < 0) | (s["i"] >= F.size(bounds)), F.element_at(bounds, -1)).otherwise(inside)
-
-    items = F.transform(counts, lambda n, i: F.struct(n.alias("n"), i.alias("i")))
-    ok = (total > 0) & (F.size(bounds) > 0) & (F.size(counts) == F.size(bounds) + 1)
-    return F.when(ok, F.aggregate(items, start, step, value))
+def histogram_quantile(counts: str, bounds: str, q: float) -> Column:
+    """Linear interpolation inside the first bucket whose cumulative count reaches q times the total; counts and bounds are
+    names of columns. One text, parsed once: built from columns, the same expression takes a second of planning."""
+    low = f"IF(s.i = 0, 0D, get({bounds}, s.i - 1))"
+    high = f"get({bounds}, s.i)"
+    inside = f"IF(s.i = 0 AND {high} <= 0, {high}, {low} + ({high} - {low}) * (s.total * {q!r}D - s.below) / s.n)"
+    return F.expr(f"""
+        IF(size({bounds}) > 0 AND size({counts}) = size({bounds}) + 1, aggregate(
+            transform({counts}, (n, i) -> struct(CAST(n AS DOUBLE) AS n, i AS i)),
+            struct(0D AS cum, -1 AS i, 0D AS below, 0D AS n, aggregate({counts}, 0D, (a, n) -> a + n) AS total),
+            (s, x) -> CASE
+                WHEN x.n > 0 AND s.i < 0 AND s.cum + x.n >= s.total * {q!r}D THEN struct(s.cum + x.n AS cum, x.i AS i, s.cum AS below, x.n AS n, s.total AS total)
+                WHEN x.n > 0 THEN struct(s.cum + x.n AS cum, s.i AS i, s.below AS below, s.n AS n, s.total AS total)
+                ELSE s END,
+            s -> CASE WHEN s.total > 0 THEN IF(s.i < 0 OR s.i >= size({bounds}), element_at({bounds}, -1), {inside}) END
+        ), NULL)""")

@@ -116,11 +116,11 @@ def bucket_cells(deltas: DataFrame) -> DataFrame:
     run over the sums of a series, where the deltas have left them."""
     rows = deltas.where(F.col("db").isNotNull()).select("series_hash", "grp", "step_ts", F.col("bucket_bounds").alias("bounds"), F.posexplode("db").alias("pos", "n"))
     own = rows.groupBy("series_hash", "grp", "bounds", "step_ts", "pos").agg(F.sum("n").alias("n"))
-    series, order = Window.partitionBy("series_hash", "grp"), ("bounds", "step_ts", "pos")
-    at = F.row_number().over(series.orderBy(*order))
-    lead = (F.lag("bounds").over(series.orderBy(*order)).isNull() | (F.lag("bounds").over(series.orderBy(*order)) != F.col("bounds"))).cast("long")
-    alone = F.min("bounds").over(series) == F.max("bounds").over(series)
-    told = own.select("grp", "bounds", "step_ts", "pos", "n", lead.alias("series"), (lead * alone.cast("long")).alias("only"), (at == 1).cast("long").alias("firsts"))
+    series = Window.partitionBy("series_hash", "grp").orderBy("bounds", "step_ts", "pos")
+    whole = series.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    seen = own.select("grp", "bounds", "step_ts", "pos", "n", F.lag("bounds").over(series).alias("_b"), (F.first("bounds").over(whole) == F.last("bounds").over(whole)).alias("_alone"))
+    lead = (~F.col("bounds").eqNullSafe(F.col("_b"))).cast("long")
+    told = seen.select("grp", "bounds", "step_ts", "pos", "n", lead.alias("series"), (lead * F.col("_alone").cast("long")).alias("only"), F.col("_b").isNull().cast("long").alias("firsts"))
     return told.groupBy("grp", "bounds", "step_ts", "pos").agg(*(F.sum(c).alias(c) for c in ("n", "series", "only", "firsts")))
 
 
@@ -139,7 +139,7 @@ def _under_best(cells: DataFrame) -> DataFrame:
     """The cells of each group's best bounds (of most series over the whole range, then of the larger total, then the smaller
     ones), with the number of series that were seen under others. Cells are few rows a group."""
     under, group = Window.partitionBy("grp", "bounds"), Window.partitionBy("grp")
-    ranked = cells.withColumns({"_series": F.sum("series").over(under), "_total": F.sum("n").over(under)})
+    ranked = cells.repartition("grp").withColumns({"_series": F.sum("series").over(under), "_total": F.sum("n").over(under)})
     ranked = ranked.withColumn("_best", F.first("bounds").over(group.orderBy(F.desc("_series"), F.desc("_total"), "bounds")))
     fine = F.sum(F.when(F.col("bounds") == F.col("_best"), F.col("only")).otherwise(0)).over(group)
     return ranked.withColumn("incompatible_series", F.sum("firsts").over(group) - fine).where(F.col("bounds") == F.col("_best"))
@@ -159,7 +159,7 @@ def merged_buckets(deltas: DataFrame) -> DataFrame:
 
 def histogram_quantiles(deltas: DataFrame, q: float) -> DataFrame:
     """(grp, step_ts, value, incompatible_series): quantiles of each group's merged buckets."""
-    return merged_buckets(deltas).select("grp", "step_ts", tel.histogram_quantile(F.col("counts"), F.col("bounds"), q).alias("value"), "incompatible_series")
+    return merged_buckets(deltas).select("grp", "step_ts", tel.histogram_quantile("counts", "bounds", q).alias("value"), "incompatible_series")
 
 
 def seed_groups(points: DataFrame) -> DataFrame:

@@ -6,9 +6,27 @@ natural duplicates.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_made: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def once(f):
+    """One DataFrame per session and table folder: its plan is analysed once, not for every query that starts from it."""
+
+    @wraps(f)
+    def made(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, f.__name__)
+        if key not in _made or _made[key].sparkSession is not spark:
+            _made[key] = f(spark, sf_dir)
+        return _made[key]
+
+    return made
+
+
 BOUNDS, OTHER_BOUNDS = (10.0, 50.0, 100.0), (5.0, 50.0, 100.0)
 
 
@@ -38,6 +56,7 @@ def _code(values: dict[str, int]):
     return out.cast("short")
 
 
+@once
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
     none = F.lit(None).cast("string")
@@ -54,6 +73,7 @@ logs AS (SELECT ts, ingest_ts, project, service, environment, CASE event_type WH
   event_type || ' by user ' || user_id AS body, md5('t' || (event_id // 5)) AS trace_id, props AS attributes FROM e)"""
 
 
+@once
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five events make a trace: each is the child of the one before; some name a parent that is absent."""
     e = _events(spark, sf_dir)
@@ -77,6 +97,7 @@ spans AS (SELECT ts, ts + to_microseconds(CAST(round(value * 1000) AS BIGINT)) A
   CASE WHEN event_id % 11 = 0 THEN md5('t' || ((event_id + 5) // 5)) END AS link_trace, CASE WHEN event_id % 11 = 0 THEN substr(md5('s' || (event_id + 5)), 1, 16) END AS link_span FROM e)"""
 
 
+@once
 def order_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One trace per order: the order is the root, its line items are children; line numbers repeat, so span ids do."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -107,6 +128,7 @@ def _filled(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in rows.columns}).select(*_POINT_COLUMNS)
 
 
+@once
 def gauge_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event.value: one series per user."""
     e = _events(spark, sf_dir).withColumns({"start_ts": F.lit(None).cast("timestamp"), "series_hash": F.col("user_id"), "value_double": F.col("value"), "attributes": F.concat(F.lit('{"kind":"'), F.col("event_type"), F.lit('"}'))})
@@ -116,6 +138,7 @@ def gauge_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 GAUGE_SQL = f"""{_EVENTS_SQL}, points AS (SELECT ts, ingest_ts, project, service, environment, user_id AS series, value AS v, event_type AS kind FROM e)"""
 
 
+@once
 def counter_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events.total: each user's running count, which starts over after every seventh event (the value falls)."""
     e = _events(spark, sf_dir)
@@ -127,6 +150,7 @@ def counter_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 COUNTER_SQL = f"""{_EVENTS_SQL}, points AS (SELECT ts, ingest_ts, project, service, environment, user_id AS series, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) % 7 + 1 AS v FROM e)"""
 
 
+@once
 def histogram_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event.size: each user's running bucket counts, count and sum of value; every seventh user has other bounds."""
     e = _events(spark, sf_dir)
@@ -145,10 +169,12 @@ HISTOGRAM_SQL = f"""{_EVENTS_SQL}, points AS (SELECT ts, ingest_ts, event_id, pr
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM e)"""
 
 
+@once
 def all_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gauge_points(spark, sf_dir).unionByName(counter_points(spark, sf_dir)).unionByName(histogram_points(spark, sf_dir))
 
 
+@once
 def log_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested log exports: fifty events make a request; a request has one resource per service. Some records have only the
     observed time, some none at all, and one service sends no name."""
@@ -204,6 +230,7 @@ def _resources(rows: DataFrame, items: str, outer: str, inner: str) -> DataFrame
     return per.groupBy("request_id").agg(F.collect_list(one).alias(outer)).select("request_id", F.lit("p1").alias("project"), outer)
 
 
+@once
 def span_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested span exports; ids of every 13th span are too short and every 17th has no start time."""
     from lumenlake.schema import SPAN
@@ -222,6 +249,7 @@ def span_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _resources(e.select(F.floor(n / 50).cast("long").alias("request_id"), "service", item.alias("item")), "spans", "resourceSpans", "scopeSpans")
 
 
+@once
 def metric_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested metric exports: each event is a gauge, a counter, a histogram or a kind that is not taken, by event_id % 5."""
     from lumenlake.schema import METRIC

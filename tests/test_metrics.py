@@ -164,7 +164,7 @@ def test_histogram_bounds_change_and_reset(spark):
 @pytest.mark.parametrize(("counts", "bounds", "want"), [([0, 0, 0, 0], B3, None), ([3], [], None), ([4, 0, 0, 0], B3, 5), ([1, 2], B3, None), ([2, 2], [-1.0], -1), ([0, 0, 0, 4], B3, 100)])
 def test_interpolation_edges(spark, counts, bounds, want):
     df = spark.createDataFrame([(counts, bounds)], "c array<long>, b array<double>")
-    assert df.select(tel.histogram_quantile(df["c"], df["b"], 0.5)).first()[0] == want
+    assert df.select(tel.histogram_quantile("c", "b", 0.5)).first()[0] == want
 
 
 def test_merged_bounds_choice(spark):
