@@ -9,8 +9,12 @@ of the corpus need them. A stem's automaton is that of its prefix, and toxic wor
 terms of their own. Every hit gets a context: the words around it and the quotation marks that
 enclose it. A logistic model over exact, stem, misspelled and misspelled stem hits, quoted or not,
 the misspelled ones by number and by rate, gives the score; quoted hits start from a prior that
-weighs them less. A hit is quoted when the nearest marks around it, within the window, open before
-it and close after it.
+weighs them less. What a misspelled hit is worth is learned from the training texts themselves: each
+toxic one is read once more with all its hits misspelled, so that the weights hold what the automata's
+hits tell against the chance neighbours in clean texts. Words near a term that clean training texts
+hold are words of the language and no misspellings; a clean training text's own words count as such
+only where another one has them too. A hit is quoted when the nearest marks around
+it, within the window, open before it and close after it.
 
 Defined cases: null and empty texts have no hits and get the score of a text without any; a null
 doc_id is never held out and never learned from; repeated rows are scored each; labels that are
@@ -21,6 +25,8 @@ equal; extra columns are ignored.
 from __future__ import annotations
 
 import math
+import random
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -162,29 +168,30 @@ class Model(NamedTuple):
     lexicon: dict[str, bool]
     weight: np.ndarray
     bias: float
+    innocent: frozenset[str] = frozenset()  # words near a term that are no misspellings of it
 
 
-def _nearest_mark(text: str, places: range, beyond: str) -> tuple[str, str] | None:
-    """The characters to the left and right of the first quotation mark at `places`; marks between letters are apostrophes.
-    beyond: what stands next to the text on the hit's side."""
+def _nearest_mark(text: str, places: range, beyond: str) -> tuple[str, str, str] | None:
+    """The characters to the left and right of the first quotation mark at `places`, and the mark; marks between letters are
+    apostrophes. beyond: what stands next to the text on the hit's side."""
     for i in places:
         if text[i] in QUOTES:
             left, right = text[i - 1] if i else (" " if places.step < 0 else beyond), text[i + 1] if i + 1 < len(text) else (beyond if places.step < 0 else " ")
             if not (left.isalnum() and right.isalnum()):
-                return left, right
+                return left, right, text[i]
     return None
 
 
 def enclosed(before: str, after: str) -> bool:
     """Whether a hit stands in quotation marks: the nearest mark before it opens (nothing but space or a bracket to its left,
-    text to its right) and the nearest one after it closes (text to its left, no letter to its right)."""
+    text to its right) and the nearest one after it closes (text to its left, no letter to its right). Inside « and » may stand a space."""
     opening = _nearest_mark(before, range(len(before) - 1, -1, -1), "x")
     closing = _nearest_mark(after, range(len(after)), "x")
-    return bool(opening and closing) and (opening[0].isspace() or opening[0] in "([{-–—:>") and not opening[1].isspace() and not closing[0].isspace() and not closing[1].isalnum()
+    return bool(opening and closing) and (opening[0].isspace() or opening[0] in "([{-–—:>") and (opening[2] == "«" or not opening[1].isspace()) and (closing[2] == "»" or not closing[0].isspace()) and not closing[1].isalnum()
 
 
-def hit_features(column: pa.Array, automaton: Automaton) -> np.ndarray:
-    """Hits of each text by kind and context."""
+def hit_features(column: pa.Array, automaton: Automaton, innocent: frozenset[str] = frozenset()) -> np.ndarray:
+    """Hits of each text by kind and context; innocent words are never misspelled hits."""
     data, offsets = utf8(column)
     w = words(data, offsets)
     out = np.zeros((len(column), KINDS))
@@ -192,7 +199,8 @@ def hit_features(column: pa.Array, automaton: Automaton) -> np.ndarray:
         return out
     _, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
     raw = data.tobytes()
-    kinds = np.fromiter((automaton.match(raw[s:e].decode("utf-8", "replace").lower()) for s, e in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)), np.int8, len(first))
+    found = (raw[s:e].decode("utf-8", "replace").lower() for s, e in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True))
+    kinds = np.fromiter((0 if (k := automaton.match(x)) > 2 and x in innocent else k for x in found), np.int8, len(first))
     kind = kinds[inverse]
     for at in np.flatnonzero(kind).tolist():
         doc = int(w.doc[at])
@@ -242,6 +250,30 @@ def _terms(column: pa.Array) -> Iterator[set[tuple[str, bool]]]:
         yield {(x, False) for x in own} | {(x[:k], True) for x in own for k in STEM_LENGTHS if len(x) > k}
 
 
+def misspelled(text: str, automaton: Automaton) -> str | None:
+    """The text with one edit in every exact or stem hit, where the automata still find most of them; None without such hits.
+    Place and kind of an edit depend on the word and its number alone."""
+    made = 0
+
+    def one(m: re.Match) -> str:
+        nonlocal made
+        word, low = m[0], m[0].lower()
+        if automaton.match(low) not in (1, 2):
+            return word
+        for n in range(12):  # an edit may make another term, or leave the stem's
+            r = random.Random(f"{low} {made} {n}")
+            i = r.randrange(1, min(len(word), 9)) if len(word) > 1 else 0
+            c = r.choice("abcdefghijklmnopqrstuvwxyz")
+            new = (word[:i] + c + word[i + 1 :], word[:i] + word[i + 1 :], word[:i] + c + word[i:], word[:i - 1] + word[i : i + 1] + word[i - 1 : i] + word[i + 1 :])[r.randrange(4)]
+            if automaton.match(new.lower()) in (3, 4):
+                made += 1
+                return new
+        return word
+
+    out = re.sub(r"[^\W_]+", one, text)
+    return out if made else None
+
+
 def _one_of_each(sample: DataFrame) -> DataFrame:
     """The sample with one toxic text of each group of near copies: texts that share one of four min-hashes of their shingles."""
 
@@ -319,27 +351,57 @@ def learn_lexicon(sample: DataFrame) -> dict[str, bool]:
     return chosen
 
 
+def innocent_words(sample: DataFrame, lexicon: dict[str, bool]) -> dict[str, int]:
+    """Words that the automata take for misspelled terms but that clean texts of the bounded sample hold, and in how many."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, kinds = Automaton(lexicon), {}
+        for batch in batches:
+            for own in _terms(batch.column(0)):
+                words_ = [t for t, stem in own if not stem]
+                kinds |= {t: automaton.match(t) for t in words_ if t not in kinds}
+                yield pa.RecordBatch.from_arrays([pa.array([t for t in words_ if kinds[t] > 2], pa.string())], ["word"])
+
+    if not lexicon:
+        return {}
+    counts = sample.where("y = 0").select("text").mapInArrow(near, "word string").groupBy("word").agg(F.count("*").alias("n"))
+    return {r["word"]: r["n"] for r in counts.collect()}  # neighbours of the lexicon's terms in the bounded sample
+
+
 def train(docs: DataFrame, labels: DataFrame, n_toxic: int = TRAIN_TOXIC, n_clean: int = TRAIN_CLEAN) -> Model:
     known = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"), *HOLD_OUT))
     share = known.agg(F.avg("y")).first()[0]
     order = F.xxhash64("doc_id", F.lit("toxicity"))
     picked = known.where("y = 1").orderBy(order).limit(n_toxic).unionByName(known.where("y = 0").orderBy(order).limit(n_clean))
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "y")  # at most n_toxic + n_clean label rows
-    sample = materialize(sample.where(F.col("text").isNotNull()), "toxicity-sample")
+    # a labelled id may have very many rows, and a text: each text once a label, and no more than the bound of each
+    once = materialize(sample.where(F.col("text").isNotNull()).dropDuplicates(["text", "y"]), "toxicity-texts")
+    by_hash = F.xxhash64("text", F.lit("toxicity"))
+    sample = once.where("y = 1").orderBy(by_hash).limit(n_toxic).unionByName(once.where("y = 0").orderBy(by_hash).limit(n_clean))
+    sample = materialize(sample.repartition("text"), "toxicity-sample")
     lexicon = learn_lexicon(sample)
 
+    texts = innocent_words(sample, lexicon)
+    known, shared = frozenset(texts), frozenset(x for x, n in texts.items() if n > 1)
+
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(lexicon)
         for batch in batches:
             for part in blocks(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(list(hit_features(part.column(0), automaton)), pa.list_(pa.float64())), part.column(2)], ["y", "x", "h"])
-
-    got = bounded(sample.select("text", "y", F.xxhash64("text").alias("h")).mapInArrow(extract, "y int, x array<double>, h long"), {1: n_toxic, 0: n_clean}).toPandas()
+                y, h = part.column(1).to_pylist(), part.column(2).to_pylist()
+                own, other = hit_features(part.column(0), automaton, known), hit_features(part.column(0), automaton, shared)
+                x = [a if toxic else b for toxic, a, b in zip(y, own, other, strict=True)]
+                wrong = [(misspelled(t, automaton), i) for i, (t, toxic) in enumerate(zip(part.column(0).to_pylist(), y, strict=True)) if toxic]
+                wrong = [(t, i) for t, i in wrong if t is not None]
+                x += list(hit_features(pa.array([t for t, _ in wrong], pa.string()), automaton, known))
+                yield pa.RecordBatch.from_arrays([pa.array(y + [1] * len(wrong), pa.int32()), pa.array(x, pa.list_(pa.float64())), pa.array(h + [h[i] ^ 1 for _, i in wrong], pa.int64())], ["y", "x", "h"])
+
+    got = bounded(sample.select("text", "y", F.xxhash64("text").alias("h")).mapInArrow(extract, "y int, x array<double>, h long"), {1: 2 * n_toxic, 0: n_clean}).toPandas()
     if got.empty or got["y"].nunique() < 2:
-        return Model(lexicon, np.zeros(KINDS), float(np.log(0.05 / 0.95)))
+        return Model(lexicon, np.zeros(KINDS), float(np.log(0.05 / 0.95)), known)
     x, y = np.stack(got["x"].to_numpy()), got["y"].to_numpy()
     at = np.lexsort((*x.T, y))
-    return Model(lexicon, *fit(x[at], y[at] == 1, float(share)))
+    return Model(lexicon, *fit(x[at], y[at] == 1, float(share)), known)
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
@@ -349,7 +411,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
         automaton = Automaton(model.lexicon)
         for batch in batches:
             for part in blocks(batch, "text"):
-                x = hit_features(part.column(1), automaton)
+                x = hit_features(part.column(1), automaton, model.innocent)
                 score = 1 / (1 + np.exp(-np.clip(x @ model.weight + model.bias, -40, 40)))
                 hits = np.rint(np.expm1(x[:, :4]).sum(1)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array(hits)], ["doc_id", "score", "hits"])

@@ -125,7 +125,7 @@ def test_the_threshold_is_the_score_quantile_of_the_bad_share():
 def test_enclosed_hits():
     cases = {
         ("", " there"): False, ('he wrote "you ', ' there" today'): True, ('"hello" you ', ' go "away"'): False, ("she said 'you ", "' to him"): True, ("don't you ", " it's late"): False,
-        ("„du ", "“ sagte er"): True, ("« toi ", " » dit"): False, ("«toi ", "» dit"): True, ('"', '" was said'): True, ('he said "', " and left"): False, ("“you ", "” wrote she"): True, ("the dogs' ", " bone"): False,
+        ("„du ", "“ sagte er"): True, ("« toi ", " » dit"): True, ("» toi ", " « dit"): False, ("« non » toi ", " « si »"): False, ("«toi ", "» dit"): True, ('"', '" was said'): True, ('he said "', " and left"): False, ("“you ", "” wrote she"): True, ("the dogs' ", " bone"): False,
     }
     assert {k: toxicity.enclosed(*k) for k in cases} == cases
 

@@ -541,6 +541,38 @@ def test_toxicity_of_misspelled_stems_and_long_texts(spark):
     assert np.mean([out[i] == (i % 4 == 0) for i in range(800)]) > 0.98
 
 
+def test_misspelled_terms_decide_at_a_toxic_share_of_three_percent(spark):
+    """Every hit of the held-out toxic texts is misspelled, and clean texts hold words one edit from a term."""
+    r = random.Random(9)
+    terms = ["scoundrel", "imbecile", "worthless", "grumbolt", "snarkel", "vermish"]
+    near = ["scoundrels", "imbeciles", "snarkels", "worthlesse"]  # words of the language, and no terms
+
+    def bad(w):
+        i = r.randrange(1, len(w) - 1)
+        return w[:i] + w[i + 1] + w[i] + w[i + 2 :] if w[i] != w[i + 1] else w[:i] + w[i + 1 :]
+
+    def text(i, toxic, twist=lambda w: w):
+        own = prose(i, 60).split()
+        for w in r.sample(terms, 3) if toxic else [r.choice(near)] if i % 4 == 0 else []:
+            own.insert(r.randrange(len(own)), twist(w))
+        return " ".join(own)
+
+    rows = [(i, text(i, i % 33 == 0)) for i in range(3000)]
+    fresh = [(10_000 + i, text(10_000 + i, True, bad)) for i in range(60)] + [(20_000 + i, text(20_000 + 4 * i, False)) for i in range(300)]
+    labels = spark.createDataFrame([(i, 1, int(i % 33 == 0)) for i in range(3000)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(documents(spark, rows), labels)
+    assert {"scoundrels", "imbeciles"} <= model.innocent
+    out = {x["doc_id"]: x["score"] >= toxicity.CUT for x in toxicity.score_toxicity(documents(spark, fresh), model).collect()}
+    assert np.mean([out[i] for i, _ in fresh[:60]]) >= 0.8 and np.mean([out[i] for i, _ in fresh[60:]]) <= 0.02
+
+
+def test_a_labelled_id_with_very_many_rows_sends_a_bounded_sample(spark):
+    many = [(4, prose(i, 8) + " scoundrel") for i in range(700)] + [(i, prose(i, 30)) for i in range(1000, 1100)]
+    labels = spark.createDataFrame([(4, 1, 1), *((i, 1, 0) for i in range(1000, 1100))], "doc_id long, quality int, toxic int")
+    model = toxicity.train(documents(spark, many), labels, n_toxic=50, n_clean=60)
+    assert isinstance(model.bias, float) and len(model.weight) == toxicity.KINDS
+
+
 def test_stems_have_an_edit_budget():
     automaton = toxicity.Automaton({"grumbo": True, "vequ": True, "grumbolt": False})
     assert [automaton.match(w) for w in ("grumbold", "grumbolt", "gurmbolt", "grmbosh", "grumbbosh", "vqeuent", "grum")] == [2, 1, 3, 4, 4, 0, 0]
