@@ -18,7 +18,7 @@ from lumenlake.plans import panels
 from lumenlake.plans.metric_query import MetricQuery, metric_query
 from lumenlake.sources import adapters as ad
 from lumenlake.sources import lake, manifest, otlp
-from lumenlake.streaming import ingest
+from lumenlake.streaming import ingest, live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -574,3 +574,22 @@ def _logs_follow(spark, sf):
     show = lambda rows, epoch: rows.write.mode("overwrite").parquet(f"{out}/rows/epoch={epoch}")
     ingest.logs_follow(spark, _lake(spark, sf), replace(_BASE, level="warn"), show, f"{out}/checkpoint", available_now=True).awaitTermination()
     return spark.read.parquet(f"{out}/rows").select(*_LOG_COLUMNS)
+
+
+_LIVE = f"""WITH {ad.LOGS_SQL}, l AS (SELECT {_LOG}, CASE WHEN epoch_us(ingest_ts) % 33 BETWEEN 1 AND 3 THEN epoch_us(ingest_ts) % 33 ELSE 0 END AS part FROM logs WHERE {P1}),
+c AS (SELECT count(*) FILTER (part = 1) AS c1, count(*) FILTER (part = 2) AS c2, count(*) FILTER (part = 3) AS c3 FROM l),
+a AS (SELECT *, CASE WHEN c1 > 500 THEN 0 ELSE c1 END AS a1 FROM c), b AS (SELECT *, CASE WHEN a1 + c2 > 500 THEN 0 ELSE a1 + c2 END AS a2 FROM a),
+r AS (SELECT CASE WHEN a2 + c3 > 500 THEN 3 WHEN a1 + c2 > 500 THEN 2 WHEN c1 > 500 THEN 1 ELSE 0 END AS reset FROM b),
+page AS (SELECT l.* FROM l, r WHERE part <= reset ORDER BY ts DESC, ingest_ts DESC LIMIT 100)
+SELECT {_LOG} FROM page UNION ALL SELECT {_LOG} FROM l, r WHERE part > reset"""
+
+
+@query("live_list", _LIVE)
+def _live_list(spark, sf):
+    """Four commits and a poll after each: the list starts over when more than 500 rows have arrived."""
+    root, folder, logs = _scratch(spark), _scratch(spark), ad.logs(spark, sf)
+    part = F.unix_micros("ingest_ts") % 33
+    for n in range(4):
+        lake.write_hours(logs.where(part == n if n else ~part.between(1, 3)), root, "logs")
+        live.live_list(spark, root, _BASE, folder, available_now=True).awaitTermination()
+    return live.live_rows(spark, _BASE, folder).select(*_LOG_COLUMNS)
