@@ -101,7 +101,8 @@ def with_hour(df: DataFrame) -> DataFrame:
 def by_hour(rows: DataFrame) -> DataFrame:
     """rows(date, hour, ts, ...) dealt out by hour and sorted by ts. Adaptive execution splits an hour that is larger than
     its advisory partition size over several tasks (and so files), and puts small hours together."""
-    return rows.hint("rebalance", F.col("date"), F.col("hour")).sortWithinPartitions("date", "hour", "ts")
+    folders = [c for c in ("date", "hour", "batch") if c in rows.columns]  # the order of a partitioned write, so that it sorts no more
+    return rows.hint("rebalance", F.col("date"), F.col("hour")).sortWithinPartitions(*folders, "ts")
 
 
 @contextmanager

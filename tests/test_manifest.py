@@ -4,6 +4,7 @@ import os
 import re
 from datetime import datetime, timedelta
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +137,10 @@ def test_footers_tell_what_rows_tell_and_sizes_are_real(spark, shared, tmp_path)
         own = spark.read.parquet(path).agg(F.count("*"), F.min("ts"), F.max("ts"), F.max("ingest_ts")).first()
         assert tuple(own) == (r["rows"], r["min_ts"], r["max_ts"], r["max_ingest_ts"])
         assert os.path.getsize(path.removeprefix("file:").replace("///", "/")) == r["bytes"]
+    lake.write_hours(logs(spark, [{"ts": H0 + timedelta(seconds=(i * 37) % 600), "body": str(i)} for i in range(600)]), shared, "logs")
+    for path in (r["path"] for r in lake.file_stats(spark, shared, "logs").collect()):
+        times = pq.read_table(path.removeprefix("file:").replace("///", "/"), columns=["ts"]).column("ts").to_pylist()
+        assert times == sorted(times)  # rows lie in order within a file
     files = manifest.listing(spark, f"{shared}/logs").where(F.col("path").isin(*stats))
     told = manifest.describe(spark, files)
     leaves = told._jdf.queryExecution().executedPlan().toString()
