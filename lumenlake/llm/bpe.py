@@ -112,6 +112,9 @@ class Vocabulary:
         self._load_merges([m.split(" ") if isinstance(m, str) else m for m in model["merges"]], model["vocab"], size)
         usable = self._own_results(size)
         self.tokens = {b: i for b, i in id_of.items() if usable[i]}
+        self.longest: dict[bytes, int] = {}  # of the tokens that begin with two bytes
+        for b in self.tokens:
+            self.longest[b[:2]] = max(self.longest.get(b[:2], 0), len(b))
         self._load_trie()
         self.split = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.words, self.words_below = word_pattern(), word_pattern(0x10000)
@@ -193,7 +196,12 @@ class Vocabulary:
         """The longest usable token at each place from the left, for all words data[start:end] in step: (word, token), in
         the order of the words and of the tokens in each."""
         words, tokens = [], []
-        todo, begin = np.flatnonzero(end > start), start.copy()
+        short = end - start <= LONG_WORD
+        for i in np.flatnonzero(~short).tolist():  # a step for all words would be one for each byte of the longest
+            found = self.propose_long(data[start[i] : end[i]].tobytes())
+            words.append(np.full(len(found), i))
+            tokens.append(np.array(found, np.int64))
+        todo, begin = np.flatnonzero((end > start) & short), start.copy()
         at, node = start.copy(), np.zeros(len(start), np.int64)
         best, behind = np.full(len(start), -1, np.int64), start.copy()
         while len(todo):
@@ -216,6 +224,16 @@ class Vocabulary:
         order = np.argsort(word, kind="stable")
         return word[order], token[order]
 
+    def propose_long(self, word: bytes) -> list[int]:
+        out, at, n = [], 0, len(word)
+        while at < n:
+            size = min(self.longest.get(word[at : at + 2], 1), n - at)
+            while size > 1 and word[at : at + size] not in self.tokens:
+                size -= 1
+            out.append(self.tokens[word[at : at + size]])
+            at += size
+        return out
+
     def merge(self, word: bytes) -> list[int]:
         """Exact merging of a long word: always the pair of the lowest rank, of equal ones the leftmost."""
         ids = self.byte_id[np.frombuffer(word, np.uint8)].tolist()
