@@ -5,7 +5,8 @@ reads each token's shape, its neighbours' shapes and words, and features of the
 trained on a bounded sample of texts twice over: as they are, their tokens marked by the base spans
 (silver labels), and with generated pieces spliced in at random places: secrets of shapes that no
 pattern knows (other key words, prefixed keys, base64, three-part tokens, connection strings) with
-their labels, and look-alikes (addresses, links, dates, versions, names) that are none. So it learns
+their labels, and look-alikes (addresses, links with ids, UUIDs, paper and part numbers, dates,
+versions, names) that are none. So it learns
 what secrets look like beside what the patterns say, and the decoded spans are added to the base
 ones. Weights come from exact forward-backward gradients; Viterbi decodes. Tokens whose margin for
 "outside" exceeds anything the transitions can make up for are outside in the best path whatever
@@ -54,6 +55,8 @@ OUTSIDE, BEGIN, INSIDE = range(3)
 _TOKEN = ~SPACE
 _HEXDIGIT = np.zeros(256, bool)
 _HEXDIGIT[list(b"0123456789abcdef")] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
 _CLASS = np.zeros(256, np.uint8)
 for _n, _m in enumerate((b"0123456789", b"abcdef", bytes(range(103, 123)), bytes(range(65, 91)), b"=:", b"\"'`", b"+/", b"_-.", b",;()[]{}<>", bytes(range(0x80, 256)), b"@", b"#$%^&*!~?|"), 1):
     _CLASS[list(_m)] = _n
@@ -123,13 +126,24 @@ def token_features(data: np.ndarray, offsets: np.ndarray, cues: np.ndarray) -> T
     at = np.searchsorted(t.start, w.start[cue_word], "right") - 1
     cue = np.bincount(at, minlength=n) > 0
     core = digit + letters
+    runs = words(data, offsets, _ALNUM, hashed=False)
+    longest, groups, hexgroups, of = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), np.searchsorted(t.start, runs.start, "right") - 1
+    np.maximum.at(longest, of, runs.end - runs.start)
+    np.add.at(groups, of, 1)
+    no_hex = np.concatenate([np.zeros(1, np.int32), np.cumsum(~_HEXDIGIT[data | 0x20] & ~_HEXDIGIT[data], dtype=np.int32)])
+    np.add.at(hexgroups, of, no_hex[runs.end] == no_hex[runs.start])
+    scheme = np.zeros(len(data), bool)
+    scheme[:-2] = (data[:-2] == 0x3A) & (data[1:-1] == 0x2F) & (data[2:] == 0x2F)
+    scheme = within(scheme) > 0
     shape = np.column_stack([
         (size >= 8) & (size < 12), (size >= 12) & (size < 16), (size >= 16) & (size < 24), (size >= 24) & (size < 48), size >= 48,
         digit > 0, (digit > 0) & (letters > 0), digit == size, (digit + low >= 12) & (other == 0) & (up == 0), (up > 0) & (low + other > 0) & (digit > 0),
         (up + digit >= 14) & (low + other == 0) & (up > 0), switch >= 2, switch >= 4, sign > 0, quote > 0, slash > 0, link > 0, punct > 0, wide > 0,
-        (letters > 0) & (digit == 0), cue, cue & (sign > 0), (sign > 0) & (core >= 12) & (switch >= 2), (sign == size),
+        (letters > 0) & (digit == 0), cue, cue & (sign > 0), (sign > 0) & ~scheme & (longest >= 12) & (switch >= 2), (sign == size),
         cases >= 2, cases >= 5, (cases >= 3) & (digit > 0) & (size >= 12), (switch + cases >= 8), at_sign > 0, (at_sign > 0) & (sign > 0) & (slash > 1), mark > 0, (mark > 0) & (digit > 0) & (letters > 0),
         (letters == 0) & (digit > 0), (core >= 20) & (switch + cases >= 6), link >= 2, slash >= 2, (slash >= 2) & (sign > 0), (core >= 16) & (3 * (switch + cases) >= core), (core >= 16) & (5 * digit >= core) & (letters > 0),
+        longest < 8, (longest >= 8) & (longest < 12), (longest >= 12) & (longest < 16), longest >= 20, (hexgroups >= 5) & (groups - hexgroups <= 2) & (letters > 0), (groups >= 5) & (longest < 12), scheme & (at_sign == 0), scheme & (at_sign > 0),
+        (link > 0) & (2 * longest < core), (sign > 0) & (longest < 12),
     ])
     near = np.column_stack([sign > 0, quote > 0, cue, (digit > 0) & (letters > 0), size >= 16])
     first, last = np.ones(n, bool), np.ones(n, bool)
@@ -251,7 +265,7 @@ def generated_piece(r: random.Random) -> tuple[str, int, int]:
         kind, before = r.randrange(8), ""
         if kind == 0:  # other key words
             key = r.choice(("pwd", "pass", "passphrase", "auth", "auth_key", "access_key", "private_key", "credential", "signing_key", "session_key", "PWD", "DB_PASS", "authKey"))
-            value = r.choice((chars(alnum, 12, 40), word(4, 7).capitalize() + chars(string.digits, 2, 4) + r.choice("!@#$%&*") + word(2, 4), chars(lower + string.digits, 10, 24)))
+            value = r.choice((chars(alnum, 12, 40), word(4, 7).capitalize() + chars(string.digits, 2, 4) + r.choice("!@#$%&*") + word(2, 4), chars(lower + string.digits, 10, 24), chars("abcdef" + string.digits, 16, 40)))
             q = r.choice(("", "", '"', "'"))
             secret = key + r.choice((":", "=", ": ", " = ", " : ", "=")) + q + value
             return secret + q + r.choice(("", "", ".", ",")), 0, len(secret)
@@ -279,6 +293,14 @@ def generated_piece(r: random.Random) -> tuple[str, int, int]:
         f"/{word()}/{word()}/{word()}_{n(1, 20)}.txt", name(3), name(2) + n(1, 9), "_".join(word(3, 8) for _ in range(4)), f"{word(2, 4).upper()}-20{n(10, 29)}-{n(10000, 99999)}", f"${n(1, 999)},{n(100, 999)}.00",
         "-".join(word(4, 8) for _ in range(3)), word(12, 24), word(8, 14).upper(), f"#{word(3, 12)}{n(1, 99)}", f"password: {word(4, 8)}", f"the token {word()} {word()}", f"secret: {word()} {word()}", f"key: {word(3, 8)}", f"{word(3, 8)} = {word(3, 8)}",
         f"{word()}###", f"{n(10, 99)}%%%", f"({n(1000, 2030)})", f"{word()}={n(1, 99)}", f"ISBN 978-{n(0, 9)}-{n(1000, 9999)}-{n(1000, 9999)}-{n(0, 9)}", f"{word(3, 6)}:{n(1, 200)}", f"{n(1, 12)}:{n(10, 59)}pm", f"{word(4, 9)}'s", word().capitalize() + "&&&",
+        *(q.replace("@", "-".join("".join(r.choice(hexa) for _ in range(k)) for k in (8, 4, 4, 4, 12))) for hexa in (string.digits + "abcdef", string.digits + "ABCDEF") for q in ("@", "@", "{@}", "urn:uuid:@", "id=@", f"/{word()}/@")),
+        *(f"http{r.choice(('', 's'))}://{r.choice(('www.', '', 'm.'))}{word()}.{word(2, 4)}/{word()}{q}" for q in (
+            f"?{word(1, 4)}={chars(alnum + '-_' + string.digits, 9, 14)}&{word(1, 5)}={chars(alnum + '-_' + string.digits, 16, 40)}", f"?{word(1, 2)}={chars(alnum + '-_' + string.digits, 9, 13)}", f"/{chars(alnum + string.digits, 8, 44)}/{word()}", f"/{word()}_{chars(lower + string.digits, 6, 12)}.{word(2, 4)}?{word(1, 3)}={n(100, 1200)}",
+            f"/{chars(upper + string.digits, 8, 12)}?{word(2, 4)}={word(2, 3)}_{n(1, 9)}_{n(1, 9)}#{word()}", f"/20{n(10, 29)}/{n(10, 12)}/{word()}-{word()}-{word()}-{chars(lower + string.digits, 8, 14)}/",
+        )),
+        f"arXiv:{n(10, 29)}{n(10, 12)}.{n(10000, 29999)}{r.choice(('', 'v1', 'v3'))}", f"{word(3, 6)}-{word(2, 4)}/{n(90, 99)}{n(10, 12)}{n(100, 999)}", f"10.{n(1000, 99999)}/{word(1, 5)}{n(1000, 99999)}-0{n(10, 99)}-{n(10000, 99999)}-{n(0, 9)}", f"doi:10.{n(1000, 9999)}/{word(2, 6)}.{n(1990, 2029)}.{n(1000, 99999)}", f"PMC{n(100000, 9999999)}",
+        ":".join(chars("ABCDEF" + string.digits, 2, 2) for _ in range(6)), ":".join(chars("abcdef" + string.digits, 3, 4) for _ in range(8)), f"{word()}.{chars('abcdef' + string.digits, 8, 12)}.{r.choice(('js', 'css', 'png'))}", f"IMG_20{n(10, 29)}{n(10, 12)}{n(10, 28)}_{n(100000, 235959)}.jpg", chars("abcdef" + string.digits, 7, 10),
+        f"{word(2, 4)}.{word()}.{word()}:{word()}-{word()}{n(1, 9)}:{n(1, 9)}.{n(10, 20)}.{n(0, 9)}", f"{word(2, 4).upper()}-{word(1, 3).upper()}{n(10, 99)}{word(2, 4).upper()}-{n(10, 99)}{word(1, 2).upper()}{n(10, 99)}", f"{word()}@{word()}.com:{word()}/{word()}.{word(2, 3)}", f"({word(3, 9).capitalize()}{n(1990, 2029)}{word(3, 8)})",
     )), 0, 0
 
 

@@ -67,6 +67,12 @@ CLEAN = [
     "See https://docs.example.org/guide/chapter-12.html and version v3.11.4-rc1 of the GetUserAccountDetails call.",
     "The password was forgotten and the token of thanks was lost; 192.168.0.1 answered in 15 ms at 7:45pm.",
     "ISBN 978-3-16148-410-0 costs $1,299.00 (order ORD-2023-00417), says the self-explanatory leaflet.",
+    "The record 7c9e6679-7425-40de-944b-e07fc1f90ae7 was closed; see urn:uuid:F81D4FAE-7DEC-11D0-A765-00A0C91E6BF6 there.",
+    "Watch https://www.example.com/watch?v=dQw4w9WgXcQ&list=PLrAXtmErZgOeiKm4sgNOknGvNjby9efdf or https://youtu.be/9bZkp7q19f0 tonight.",
+    "As shown in arXiv:2101.00027v1, hep-th/9901001, https://doi.org/10.1038/s41586-021-03819-2 and 10.1145/3292500.3330701 before.",
+    "The host 2001:0db8:85a3:08d3:1319:8a2e:0370:7344 has card 00:1A:2B:3C:4D:5E and main.3f9a7c2b.js, vendor-8d1e4f.css, IMG_20240611_184502.jpg.",
+    "Buy at https://shop.example.com/dp/B08N5WRWNW?ref=sr_1_3&qid=1699999999 today; merged in 9fceb02 by git@example.com:acme/tools.git then.",
+    "Pinned org.slf4j:slf4j-api:2.0.13 and ghcr.io/acme/web:v1.4.2-alpine3; map at https://maps.example.org/@48.85837,2.294481,17z/data=!3m1!4b1 now.",
 ]
 
 
