@@ -10,7 +10,8 @@ element marks the content, and generated pages (generate_pages) with known label
 div-and-class layouts with side bars, notices, adverts, forms and reader comments.
 
 Text is cut at the borders of block elements; a block belongs to its nearest block element and is
-kept when that node's content marginal is at least 0.5. Character references are decoded, white
+kept when that node's content marginal is at least 0.5; where no block reaches that, the blocks within
+half of the best marginal are, if it is at least FAINT (else the text is empty). Character references are decoded, white
 space (a <br> too) becomes one space, blocks are trimmed and joined by one line feed.
 
 parse() takes markup as browsers do: <html>, <head> and <body> tags and the end tags of p, li, dt,
@@ -48,6 +49,8 @@ TRAIN_PAGES, TRAIN_CHARS = 300, 50_000
 GENERATED_PAGES = 600
 BUCKETS = 1 << 12
 MAX_DEPTH = 512
+#: The least marginal that the best block of a page without any likely block needs for the page to have a text.
+FAINT = 0.03
 #: Bytes of markup that are parsed together.
 BLOCK_BYTES = 400_000
 #: Elements that make blocks, that have no end tag, whose content is raw text that is not shown, whose text
@@ -67,6 +70,14 @@ CLOSES = {
     "thead": (("thead", "tbody", "tfoot", "tr"), ("table",)), "tbody": (("thead", "tbody", "tfoot", "tr"), ("table",)), "tfoot": (("thead", "tbody", "tfoot", "tr"), ("table",)), "option": (("option",), ("select",)),
 }
 TABLE_PARTS = frozenset("table thead tbody tfoot tr td th caption".split())
+#: Words that notices, comments, related items, adverts and page ends tend to begin with or hold in few words.
+CUES = {
+    "notice": frozenset("cookie cookies consent privacy gdpr accept".split()),
+    "reply": frozenset("comment comments reply replies says commented responses".split()),
+    "more": frozenset("related recommended more trending popular latest share subscribe newsletter follow sign".split()),
+    "advert": frozenset("advertisement sponsored promoted sale offer discount".split()),
+    "end": frozenset("copyright rights reserved terms powered ©".split()),
+}
 LANDMARKS = ("", "article", "main", "nav", "aside", "footer", "header", "form", "section")
 #: Class, id and role words that mark clutter inside an <article> when its pages are taken as labelled.
 CLUTTER = frozenset("ad ads advert advertisement sponsored promo share social comment comments reply replies related newsletter cookie cookies notice banner popup subscribe menu nav navbar sidebar breadcrumb breadcrumbs".split())
@@ -90,7 +101,7 @@ class Page(NamedTuple):
     own: np.ndarray  # words of the node's own text
     links: np.ndarray  # those inside links
     stops: np.ndarray  # sentence ends
-    names: list[tuple[int, str]]  # (node, class, id or role word)
+    names: list[tuple[int, str]]  # (node, class, id or role word, or cue word of a short text)
     blocks: list[tuple[int, str]]  # (node, text)
 
 
@@ -233,6 +244,13 @@ def parse(source: str) -> Page:
                 end(tag)
     pop_to(1)
     flush()
+    for node, block in out:
+        if len(block) <= 160:
+            words_of = [w.strip(",.:;!?()") for w in block.lower().split()]
+            for kind, cues in CUES.items():
+                if not cues.isdisjoint(words_of):
+                    names.append((node, "~" + kind))
+                    names.append((max(parent[node], 0), "~below-" + kind))
     return Page(*(np.array(x, np.int64) for x in (parent, depth, tags, landmark, own, links, stops)), names, out)
 
 
@@ -249,6 +267,9 @@ def _ids(prefix: str, values) -> np.ndarray:
 
 _TAG_IDS, _UP_IDS, _LAND_IDS = _ids("tag", TAGS), _ids("up", TAGS), _ids("in", LANDMARKS)
 _OWN_IDS, _ALL_IDS, _STOP_IDS, _LINK_IDS, _BELOW_IDS = _ids("own", range(8)), _ids("all", range(12)), _ids("stops", range(4)), _ids("links", range(3)), _ids("below", range(3))
+_HEADED_IDS, _PARAGRAPH_IDS, _ALIKE_IDS, _UP_HEADED_IDS = _ids("headed", range(4)), _ids("paragraphs", range(4)), _ids("alike", range(4)), _ids("up-headed", range(4))
+_LINK_SIZE_IDS = np.array([[_feature(f"links-all:{a}:{b}") for b in range(8)] for a in range(3)], np.int32)
+_HEAD_TAGS, _CONTROL_TAGS, _TEXT_TAGS = ([_TAG[t] for t in group] for group in (sorted(HEADINGS), ("button", "form"), ("p", "blockquote", "pre", "li", "div")))
 _TAG_LAND_IDS = np.array([[_feature(f"tag-in:{t}:{x}") for x in LANDMARKS] for t in TAGS], np.int32)
 
 
@@ -270,10 +291,22 @@ def forest(pages: list[Page]) -> Forest:
         np.add.at(total, parent[nodes], total[nodes])
         np.add.at(total_links, parent[nodes], total_links[nodes])
     n = len(parent)
+    child = np.flatnonzero(parent >= 0)
+    size = np.bincount(parent[child], minlength=n)
+    up = np.where(parent < 0, 0, parent)
+    heads, controls = np.isin(tag, _HEAD_TAGS), np.isin(tag, _CONTROL_TAGS)
+    headed, pressed = np.bincount(up[child], heads[child], n) > 0, np.bincount(up[child], controls[child], n) > 0
+    texts = np.isin(tag, _TEXT_TAGS) & (own > 0)
+    paragraphs = np.minimum(np.bincount(up[child], texts[child], n), 3).astype(np.int64)
+    # siblings that are built alike: compound nodes of one tag below one parent
+    group = up * len(TAGS) + tag
+    _, at, alike = np.unique(np.where(size > 0, group, -1), return_inverse=True, return_counts=True)
+    repeated = np.where((size > 0) & (parent >= 0), np.minimum(alike[at.reshape(-1)], 3), 0)
     share = lambda part, whole: np.where(part == 0, 0, 1 + (2 * part > whole))
     dense = np.column_stack([
         np.full(n, _feature("bias"), np.int32), _TAG_IDS[tag], _UP_IDS[np.where(parent < 0, 0, tag[parent])], _LAND_IDS[landmark], _TAG_LAND_IDS[tag, landmark], _OWN_IDS[_bits(own, 80)], _ALL_IDS[_bits(total, 2000)],
         _LINK_IDS[share(links, own)], _BELOW_IDS[share(total_links, total)], _STOP_IDS[np.minimum(stops, 3)],
+        _HEADED_IDS[headed + 2 * pressed], _PARAGRAPH_IDS[paragraphs], _ALIKE_IDS[repeated], _UP_HEADED_IDS[headed[up] + 2 * pressed[up]], _LINK_SIZE_IDS[share(total_links, total), _bits(total, 120)],
     ])
     owner = np.repeat(np.arange(n, dtype=np.int32), dense.shape[1])
     named = np.array([(i + b, _id(f"name:{w}")) for p, b in zip(pages, base.tolist(), strict=True) for i, w in p.names], np.int32).reshape(-1, 2)
@@ -355,19 +388,35 @@ def generate_pages(n: int = GENERATED_PAGES, seed: int = 11) -> Iterator[tuple[s
     def some(low: int, high: int) -> str:
         return " ".join(sentence(low, high) for _ in range(r.choice((1, 1, 2, 3))))
 
+    made_up = lambda: "".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(r.randint(2, 4)))
+
     def clutter(kind: str) -> str:
         link = lambda: f'<a href="/{r.randint(1, 99)}">{sentence(1, 3).rstrip(".?")}</a>'
         if kind == "menu":
             body = "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(r.randint(3, 8))) + "</ul>"
-            return r.choice((f"<nav>{body}</nav>", f'<div class="{r.choice(("menu", "navbar", "nav main-menu", "navigation", "breadcrumbs"))}">{body}</div>', f"<header><nav>{body}</nav></header>"))
+            return r.choice((f"<nav>{body}</nav>", f"<div class='{made_up()}'>{body}</div>", f'<div class="{r.choice(("menu", "navbar", "nav main-menu", "navigation", "breadcrumbs"))}">{body}</div>', f"<header><nav>{body}</nav></header>"))
         if kind == "header":
             return r.choice((f"<header><h1>{sentence(1, 4)}</h1><p>{sentence(2, 6)}</p></header>", f'<div id="header" class="site-header"><div class="logo">{link()}</div><p>{sentence(2, 6)}</p></div>'))
         if kind == "footer":
             body = f"{r.choice(('&copy; ', ''))}{sentence(1, r.choice((3, 12)))} {link() if r.random() < 0.5 else ''}"
-            return r.choice((f"<footer>{body}</footer>", f"<footer>{body}</footer>", f"<footer><p>{body}</p></footer>", f'<div class="footer"><p>{body}</p></div>', f'<div id="copyright">{body}</div>'))
+            return r.choice((f"<footer>{body}</footer>", f"<footer>{body}</footer>", f"<footer><p>{body}</p></footer>", f'<div class="footer"><p>{body}</p></div>', f'<div id="copyright">{body}</div>', f"<div class='{made_up()}'>&copy; {sentence(1, 4)} {r.choice(('All rights reserved.', 'Terms', ''))}</div>"))
         if kind == "side":
             body = f"<h3>{sentence(1, 3)}</h3><ul>" + "".join(f"<li>{link()}</li>" for _ in range(r.randint(2, 6))) + f"</ul><p>{sentence(4, 14)}</p>"
             return r.choice((f"<aside>{body}</aside>", f'<div class="{r.choice(("sidebar", "widget", "related", "recent-posts"))}">{body}</div>'))
+        if r.random() < 0.35 and kind in ("notice", "ad", "comments", "related"):  # under names that say nothing, or that no other page has
+            name = r.choice((f' class="{made_up()}"', f' id="{made_up()}-{made_up()}"', f' class="{made_up()} {made_up()}"', ""))
+            cue = r.choice({"notice": ("We use cookies", "Cookies and privacy", "This site asks for your consent", "Your privacy"), "ad": ("Advertisement", "Sponsored", "Special offer"), "comments": ("Comments", "2 comments", "Replies", "Leave a reply"), "related": ("Related", "Read more", "More on this", "Recommended")}[kind])
+            if kind == "notice":
+                return f"<div{name}><p>{cue} {sentence(4, 14)}</p>{r.choice(('<button>Accept</button>', '<button>OK</button><button>' + sentence(1, 2) + '</button>', ''))}</div>" if r.random() < 0.6 else f"<div{name}>{cue} {sentence(3, 12)} {link()} <button>Accept</button></div>"
+            if kind == "ad":
+                return f"<div{name}><p>{cue}</p><p>{link()} {sentence(2, 8)}</p></div>"
+            if kind == "related":
+                return r.choice((f"<aside>{cue}: {link()}</aside>", f"<aside><p>{cue}: {link()} {link()}</p></aside>", f"<div{name}><h4>{cue}</h4>" + "".join(f"<div>{link()}</div>" for _ in range(r.randint(2, 4))) + "</div>"))
+            tag, one = r.choice(("div", "li", "div", "section")), r.choice(("<b>{}</b> <p>{}</p>", "<p><b>{}</b></p><p>{}</p>", "<div>{}</div><div>{} <a href='#'>Reply</a></div>"))
+            posts = "".join(f"<{tag}>{one.format(sentence(1, 2).rstrip('.?'), some(2, 18))}</{tag}>" for _ in range(r.randint(1, 5)))
+            return f"<div{name}>{r.choice((f'<h3>{cue}</h3>', f'<p>{cue}</p>', f'<h2>{cue}</h2>'))}{'<ul>' + posts + '</ul>' if tag == 'li' else posts}</div>"
+        if kind == "related":
+            return f"<aside>Related: {link()}</aside>"
         if kind == "notice":
             return f'<div class="{r.choice(("cookie", "cookie-notice", "notice", "banner", "alert", "popup", "newsletter"))}"><p>{some(4, 16)}</p></div>'
         if kind == "ad":
@@ -379,7 +428,6 @@ def generate_pages(n: int = GENERATED_PAGES, seed: int = 11) -> Iterator[tuple[s
         comments = "".join(f'<div class="{r.choice(("comment", "reply"))}"><p>{some(3, 25)}</p></div>' for _ in range(r.randint(1, 5)))
         return r.choice((f'<section class="comments"><h3>{sentence(1, 2)}</h3>{comments}</section>', f'<div id="comments">{comments}</div>', f'<section id="comments"><ul>{comments.replace("<div", "<li").replace("</div", "</li")}</ul></section>'))
 
-    made_up = lambda: "".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(r.randint(2, 4)))
     for i in range(n):
         kept: list[str] = []
 
@@ -389,8 +437,12 @@ def generate_pages(n: int = GENERATED_PAGES, seed: int = 11) -> Iterator[tuple[s
 
         brief = r.random() < 0.3  # some articles are but a few words
         para = r.choice(("p", "p", "p", "p", "div", f'div class="{made_up()}"'))
-        title = keep("h1", sentence(3, 12))
-        body = [f"<header>{title}</header>" if r.random() < 0.1 else title]
+        layout = r.random()  # most have a title and a body, some a body only, some are sections under headings
+        title = keep("h1", sentence(3, 12)) if layout < 0.84 else ""
+        body = [f"<header>{title}</header>" if title and r.random() < 0.1 else title]
+        if layout > 0.92:
+            brief = False
+            body.append(keep(para, some(5, 24)))
         for _ in range(r.randint(0, 2 if brief else 9)):
             pick = r.random()
             if pick < 0.58:
@@ -410,12 +462,23 @@ def generate_pages(n: int = GENERATED_PAGES, seed: int = 11) -> Iterator[tuple[s
             elif pick < 0.85:
                 body.append(r.choice(("<figure><img src='x'>{}</figure>", "<section>{}</section>", "<dl>{}</dl>")).format(keep(r.choice(("figcaption", "pre", "dd")), sentence(3, 12))))
             else:
-                body.append(clutter(r.choice(("ad", "share", "notice"))))
+                body.append(clutter(r.choice(("ad", "share", "notice", "related"))))
         if r.random() < 0.3:
             body.append(clutter("comments"))
+        if r.random() < 0.25 or layout > 0.95:  # an article in sections of its own, each with a heading
+            for _ in range(r.randint(1, 4)):
+                tag = r.choice(("section", "section", "div"))
+                body.append(f"<{tag}>{keep(r.choice(('h2', 'h3')), sentence(1, 6))}" + "".join(keep("p", some(4, 20)) for _ in range(r.randint(1, 3))) + f"</{tag}>")
+            if r.random() < 0.4:  # words of notices in the text itself
+                body.append(keep("p", f"{sentence(5, 12)} {r.choice(('Cookies', 'Comments', 'Privacy', 'More', 'The terms', 'An offer', 'Related'))} {sentence(3, 9)}"))
         inner = "".join(body)
-        wrap = r.choice(("<article>{}</article>", "<article>{}</article>", "<main><article>{}</article></main>", "<main>{}</main>", '<div class="content">{}</div>', '<div id="main" class="post entry">{}</div>', '<div class="article-body">{}</div>', "<div>{}</div>", '<div class="@">{}</div>', '<div class="@"><div class="@">{}</div></div>'))
+        wrap = r.choice(("<article>{}</article>", "<article>{}</article>", "<main><article>{}</article></main>", "<main>{}</main>", '<div class="content">{}</div>', '<div id="main" class="post entry">{}</div>', '<div class="article-body">{}</div>', "<div>{}</div>", "<section>{}</section>", "{}", '<div class="@">{}</div>', '<div class="@"><div class="@">{}</div></div>'))
         page = wrap.replace("@", made_up()).format(inner)
+        for _ in range(r.choice((0, 0, 0, 0, 1, 2, 3))):
+            page = f"<div{r.choice(('', f' class={made_up()!r}', f' id={made_up()!r}'))}>{page}</div>"
+        if r.random() < 0.04:  # a page without a text
+            page = ""
+            kept.clear()
         head = [clutter(k) for k in ("notice", "header", "menu", "ad") if r.random() < 0.6]
         tail = [clutter(k) for k in ("comments", "side", "form", "share", "ad", "footer") if r.random() < 0.5]
         middle = f"<div class='wrap'>{page}{clutter('side')}</div>" if r.random() < 0.25 else page
@@ -461,12 +524,23 @@ def train(pages: DataFrame, n: int = TRAIN_PAGES) -> Model:
     return Model(*fit(parsed, labels))
 
 
+def likeliest(page: Page, content: np.ndarray) -> list[str]:
+    """Of a page where no block reaches 0.5: the blocks whose marginal is at least half of the best one's, if that is
+    at least FAINT."""
+    best = max(content[node] for node, _ in page.blocks)
+    return [t for node, t in page.blocks if best >= FAINT and 2 * content[node] >= best]
+
+
 def extract_texts(sources: list[str], model: Model) -> list[str]:
     pages = [parse(s) for s in sources]
     content, _ = sum_product(forest(pages), model.weight, model.couple, pairs=False) if pages else (np.zeros(0), None)
     out, base = [], 0
     for p in pages:
-        out.append("\n".join(t for node, t in p.blocks if content[base + node] >= 0.5))
+        own = content[base : base + len(p.parent)]
+        kept = [t for node, t in p.blocks if own[node] >= 0.5]
+        if not kept and p.blocks:
+            kept = likeliest(p, own)
+        out.append("\n".join(kept))
         base += len(p.parent)
     return out
 

@@ -2,6 +2,7 @@
 
 import time
 
+import numpy as np
 import pytest
 
 from lumenlake.llm import html_text
@@ -51,6 +52,31 @@ PAGES = {
         <table><tr><td>radius one</td><td>area 3.14</td></table><object>A drawing of a disc should be here.</object></article>""",
         "Areas\nA disc has the area πr squared, as is well known.\narea = pi * r * r\nDisc\nWhat lies within a circle of a plane.\nradius one\narea 3.14\nA drawing of a disc should be here.",
     ),
+    "a section and its comments": (
+        """<html><body><header><a href='/'>Site name</a></header><section><h2>On rivers</h2><p>The river rises in the hills. It meets the sea after ninety miles.</p></section>
+        <section class='comments'><h3>Comments</h3><div><p>Nice one, thanks!</p></div></section><footer>&copy; 2024 Site</footer></body></html>""",
+        "On rivers\nThe river rises in the hills. It meets the sea after ninety miles.",
+    ),
+    "clutter under unknown names": (
+        """<body><nav><a href='/'>Home</a></nav><main><div class='gdpr'><p>We use cookies to improve your visit.</p><button>Accept</button></div><h1>Bread at home</h1>
+        <p>Flour, water, salt and time are all that it takes to bake a loaf.</p><aside>Related: <a href='/x'>Ten soups</a></aside><p>Let the dough rest overnight. It will double in size by the morning.</p>
+        <div class='disqus'><h3>3 comments</h3><div><b>Ann</b><p>I tried it and it worked well.</p></div><div><b>Bob</b><p>Mine was a bit flat, sadly.</p></div></div></main><footer>Terms</footer></body>""",
+        "Bread at home\nFlour, water, salt and time are all that it takes to bake a loaf.\nLet the dough rest overnight. It will double in size by the morning.",
+    ),
+    "words of notices in the text": (
+        """<article><h1>What cookies do</h1><p>Cookies are small files that a site stores on your computer.</p><p>Some of them track you from site to site, which needs your consent.</p></article>""",
+        "What cookies do\nCookies are small files that a site stores on your computer.\nSome of them track you from site to site, which needs your consent.",
+    ),
+    "sections that are built alike": (
+        """<body><header><h1>City guide</h1></header><div id='c'><section><h2>Getting there</h2><p>Trains leave the capital every hour. The ride takes two hours.</p></section>
+        <section><h2>Where to eat</h2><p>The old market has many stalls. Go early, as they close at two.</p></section></div><div class='legalbar'>All rights reserved.</div></body>""",
+        "Getting there\nTrains leave the capital every hour. The ride takes two hours.\nWhere to eat\nThe old market has many stalls. Go early, as they close at two.",
+    ),
+    "only boxes": (
+        """<div class='x1'><div class='q'><div><div>It was late when the train came in at last, and nobody was there.</div><div>She walked home alone through the snow, and slept.</div></div></div></div>""",
+        "It was late when the train came in at last, and nobody was there.\nShe walked home alone through the snow, and slept.",
+    ),
+    "no text": ("<nav><ul><li><a href=/>Home</a></li><li><a href=/a>About</a></li></ul></nav><footer>&copy; 2024 Site. All rights reserved.</footer>", ""),
 }
 
 
@@ -91,6 +117,22 @@ def test_time_and_depth_stay_in_bounds(model):
     assert many.count("\n") == 29_999 and many.endswith("Line 29999 of a very long text, which goes on.")
 
 
+def test_pages_without_a_likely_block():
+    page = html_text.parse("<div>one</div><div>two</div><div>three</div>")
+    assert html_text.likeliest(page, np.array([0.1, 0.4, 0.3, 0.1])) == ["one", "two"]
+    assert html_text.likeliest(page, np.array([0.1, 0.02, 0.02, 0.01])) == []
+
+
+def test_generated_pages_not_trained_on(model):
+    hit = said = true = 0
+    for source, kept in html_text.generate_pages(100, seed=99):
+        page = html_text.parse(source)
+        y = html_text.generated_labels(page, kept)
+        want, got = {t for n, t in page.blocks if y[n]}, set(text_of(source, model).split("\n")) - {""}
+        hit, said, true = hit + len(want & got), said + len(got), true + len(want)
+    assert hit / said > 0.97 and hit / true > 0.97
+
+
 def test_labels_of_articles():
     page = html_text.parse('<div><nav>n</nav><article><header>h</header><p>p</p><div class="ad">a</div><footer>f</footer></article></div>')
     kept = html_text.silver_labels(page)
