@@ -2,7 +2,9 @@
 
 Each block element of a page is a node with a binary variable (content or not). Node potentials are
 learned weights of its tag, its parent's tag, the landmark element around it, its class, id and role
-words, the length, links and punctuation of its text and its subtree; one learned table couples
+words, the length, links and punctuation of its text and its subtree, headings, paragraphs and
+controls among its children, siblings built like it, and cue words of short texts (CUES, English
+only; they weigh in, but none decides alone); one learned table couples
 every child with its parent. Sum-product messages pass from the leaves to the root and back, all
 pages of a batch at once, level by level, and give exact marginals. Weights are fitted by maximum
 likelihood on labelled pages: a bounded sample of the table's own pages whose <article> or <main>
