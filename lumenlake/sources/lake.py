@@ -105,16 +105,24 @@ def by_hour(rows: DataFrame) -> DataFrame:
     return rows.hint("rebalance", F.col("date"), F.col("hour")).sortWithinPartitions(*folders, "ts")
 
 
+#: Settings of a write by hour. Timestamps are 64-bit microseconds: the default 96-bit form has no statistics, so neither row
+#: groups nor files could be pruned. An hour is a file however few its rows, so the time of a write is that of its files: small
+#: hours are put together only as far as every core has a task.
+_WRITE = {
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "true", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k",
+}
+
+
 @contextmanager
-def _timestamps_with_statistics(spark: SparkSession) -> Iterator[None]:
-    """Timestamps as 64-bit microseconds: the default 96-bit form has no statistics, so neither row groups nor files could be pruned."""
-    key = "spark.sql.parquet.outputTimestampType"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "TIMESTAMP_MICROS")
+def _settings_of_writes(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k) for k in _WRITE}
+    for k, v in _WRITE.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def observed(what: Observation) -> dict:
@@ -136,7 +144,7 @@ def write_batch(rows: DataFrame, root: str, signal: str, attempt: str) -> tuple[
     to = by_hour(out).write.partitionBy("date", "hour", "batch").option("compression", "zstd").mode("append")
     for column in BLOOM[signal]:
         to = to.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.adaptive.enabled#{column}", "true")
-    with _timestamps_with_statistics(rows.sparkSession):
+    with _settings_of_writes(rows.sparkSession):
         to.parquet(_path(root, signal))
     got = observed(written)
     return list(got.get("hours") or ()), got.get("rows") or 0

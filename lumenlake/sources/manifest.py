@@ -30,6 +30,8 @@ _COLUMNS = (
     ("min_ts", "timestamp"), ("max_ts", "timestamp"), ("max_ingest_ts", "timestamp"), *((c, "long") for c in COUNTS), ("stamp_us", "long"), ("latency_s", "double"), ("moved", "long"),
 )
 SCHEMA = T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in _COLUMNS])
+#: Folders of an attempt that one task lists and reads the footers of.
+FOLDERS_A_TASK = 250
 #: File systems that tasks open by themselves; footers in any other are read through Hadoop by the driver.
 TASK_SCHEMES = ("file", "hdfs", "s3", "s3a", "gs", "abfs", "abfss")
 
@@ -88,19 +90,45 @@ def _facts(meta, path: str, size: int) -> tuple:
     return path, size, meta.num_rows, us(found["ts"], 0, min), us(found["ts"], 1, max), us(found["ingest_ts"], 1, max)
 
 
-def _read_footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_FACTS = "path string, bytes long, rows long, min_us long, max_us long, ingest_us long"
+
+
+def _store(path: str):
+    """The file system of a path and the path's name in it."""
+    from pyarrow import fs
+
+    uri = path.replace("s3a://", "s3://", 1)
+    return fs.FileSystem.from_uri(f"file://{uri[5:]}" if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+
+
+def _footers(files: Iterator[tuple[str, int]]) -> pa.RecordBatch:
     import pyarrow.parquet as pq
+
+    rows = []
+    for path, size in files:
+        store, name = _store(path)
+        with store.open_input_file(name) as f:
+            rows.append(_facts(pq.read_metadata(f), path, size))
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["path", "bytes", "rows", "min_us", "max_us", "ingest_us"])
+
+
+def _read_footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield _footers(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+
+
+def _list_and_read_footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyarrow import fs
 
+    def inside(folder: str) -> Iterator[tuple[str, int]]:
+        store, name = _store(folder)
+        for f in store.get_file_info(fs.FileSelector(name)):
+            if f.is_file and f.base_name.endswith(".parquet") and f.base_name[0] not in "._":
+                yield f"{folder}/{f.base_name}", f.size
+
     for batch in batches:
-        rows = []
-        for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            uri = path.replace("s3a://", "s3://", 1)
-            store, name = fs.FileSystem.from_uri(f"file://{uri[5:]}" if uri.startswith("file:/") and not uri.startswith("file://") else uri)
-            with store.open_input_file(name) as f:
-                rows.append(_facts(pq.read_metadata(f), path, size))
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["path", "bytes", "rows", "min_us", "max_us", "ingest_us"])
+        yield _footers(f for folder in batch.column(0).to_pylist() for f in inside(folder))
 
 
 def _footers_by_hadoop(spark: SparkSession, files: DataFrame) -> DataFrame:
@@ -122,17 +150,35 @@ def _footers_by_hadoop(spark: SparkSession, files: DataFrame) -> DataFrame:
         whole = {k: v if v and None not in v else None for k, v in span.items()}
         ts, seen = whole["ts"], whole["ingest_ts"]
         rows.append((file["path"], file["bytes"], n, ts and min(x[0] for x in ts), ts and max(x[1] for x in ts), seen and max(x[1] for x in seen)))
-    return spark.createDataFrame(rows, "path string, bytes long, rows long, min_us long, max_us long, ingest_us long")
+    return spark.createDataFrame(rows, _FACTS)
 
 
 def describe(spark: SparkSession, files: DataFrame) -> DataFrame:
     """Files of listing() with the facts of their footers and the hour of their folder."""
     schemes = {r[0] for r in files.select(F.regexp_extract("path", r"^([a-zA-Z0-9+.-]+):", 1)).distinct().limit(2).collect()}
     if schemes <= {"", *TASK_SCHEMES}:
-        spread = files.select("path", "bytes").repartition(F.xxhash64("path"))
-        facts = spread.mapInArrow(_read_footers, "path string, bytes long, rows long, min_us long, max_us long, ingest_us long")
+        spread = files.select("path", "bytes").repartition(4 * spark.sparkContext.defaultParallelism, F.xxhash64("path"))  # a number, as few bytes are many files
+        facts = spread.mapInArrow(_read_footers, _FACTS)
     else:
         facts = _footers_by_hadoop(spark, files)
+    return _described(facts)
+
+
+def describe_attempt(spark: SparkSession, root: str, signal: str, attempt: str, hours_us: list[int]) -> DataFrame:
+    """The same for an attempt's files below its hours. Tasks list the folders too, FOLDERS_A_TASK each: what the driver does
+    does not grow but by one number an hour."""
+    fs, p = _hadoop(spark, f"{root}/{signal}")
+    base = fs.makeQualified(p).toString()  # as listings give it
+    us = F.col("us")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(us / 86_400_000_000).cast("int")).cast("string")
+    hour = F.floor(F.pmod(us, F.lit(86_400_000_000)) / 3_600_000_000).cast("string")
+    folders = spark.createDataFrame(pa.table({"us": pa.array(hours_us, pa.int64())})).select(F.concat(F.lit(f"{base}/date="), day, F.lit("/hour="), hour, F.lit(f"/batch={attempt}")).alias("folder"))
+    if base.split(":/", 1)[0] not in TASK_SCHEMES:
+        return describe(spark, listing(spark, *(r[0] for r in folders.collect())))
+    return _described(folders.repartition(-(-len(hours_us) // FOLDERS_A_TASK), F.xxhash64("folder")).mapInArrow(_list_and_read_footers, _FACTS))
+
+
+def _described(facts: DataFrame) -> DataFrame:
     date, hour = F.regexp_extract("path", r"/date=(\d{4}-\d\d-\d\d)/", 1), F.regexp_extract("path", r"/hour=(\d{1,2})/", 1)
     start = F.timestamp_micros(F.datediff(F.try_to_date(date), F.lit("1970-01-01").cast("date")).cast("long") * 86_400_000_000 + hour.try_cast("long") * F.lit(3_600_000_000))
     at = lambda c: F.timestamp_micros(c)
@@ -143,9 +189,10 @@ def describe(spark: SparkSession, files: DataFrame) -> DataFrame:
 
 
 def _append(rows: DataFrame, root: str, signal: str) -> None:
-    """One task and so one file, which appears as a whole or not at all."""
+    """One task and so one file, which appears as a whole or not at all. The rows are shuffled to it: what makes them (the
+    reading of footers) stays in many tasks."""
     full = rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMA))
-    full.coalesce(1).write.mode("append").parquet(folder(root, signal))
+    full.repartition(1).write.mode("append").parquet(folder(root, signal))
 
 
 def new_attempt(writer: str, batch: int) -> str:
@@ -154,10 +201,8 @@ def new_attempt(writer: str, batch: int) -> str:
 
 def commit(spark: SparkSession, root: str, signal: str, writer: str, batch: int, attempt: str, hours_us: list[int], counts: dict) -> None:
     """Make the attempt's files below the hours visible, in place of any earlier attempt of the batch."""
-    day = lambda us: datetime(1970, 1, 1) + timedelta(microseconds=us)
-    paths = [f"{root}/{signal}/date={day(us):%Y-%m-%d}/hour={day(us).hour}/batch={attempt}" for us in sorted(hours_us)]
     own = spark.createDataFrame([("batch", *(counts.get(c) for c in (*COUNTS, "stamp_us", "latency_s")))], f"kind string, {', '.join(f'{c} long' for c in COUNTS)}, stamp_us long, latency_s double")
-    rows = own.unionByName(describe(spark, listing(spark, *paths)).withColumn("kind", F.lit("file")), allowMissingColumns=True) if paths else own
+    rows = own.unionByName(describe_attempt(spark, root, signal, attempt, hours_us).withColumn("kind", F.lit("file")), allowMissingColumns=True) if hours_us else own
     named = {"writer": F.lit(writer), "batch": F.lit(batch), "attempt": F.lit(attempt), "committed_us": F.lit(time.time_ns() // 1000)}
     _append(rows.withColumns(named), root, signal)
 

@@ -230,3 +230,18 @@ def test_empty_writes_and_empty_lakes(spark, tmp_path):
     assert lake.scan_signal(spark, root, "logs", H0, H0 + DAY).count() == 0 and lake.file_stats(spark, root, "logs").count() == 0
     assert lake.scan_signal(spark, root, "logs", H0, H0 + DAY).columns == schema.LOGS.names
     assert lake.apply_retention(spark, root, {"logs": 1}, 10, H0).agg(F.sum("files")).first()[0] == 0
+
+
+def test_an_attempt_is_listed_and_described_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver lists no folder of the attempt, and the footers are read by more than one task though their paths are few bytes."""
+    root, listing = str(tmp_path / "lake"), manifest.listing
+    rows = spark.range(10).select(F.timestamp_micros(F.col("id") * 3_600_000_000 + 1_704_067_200_000_000).alias("ts"), F.lit("x").alias("body"))
+    monkeypatch.setattr(manifest, "listing", lambda *a: pytest.fail("listed by the driver"))
+    lake.write_hours(rows, root, "logs")
+    stats = lake.file_stats(spark, root, "logs").collect()
+    assert len(stats) == 10 and {(r["rows"], r["hour"]) for r in stats} == {(1, r["min_ts"]) for r in stats}
+    assert {(r["path"], r["bytes"]) for r in stats} == {(r["path"], r["bytes"]) for r in listing(spark, f"{root}/logs").collect()}
+    monkeypatch.setattr(manifest, "FOLDERS_A_TASK", 3)
+    attempt = stats[0]["path"].split("/batch=")[1].split("/")[0]
+    facts = manifest.describe_attempt(spark, root, "logs", attempt, [1_704_067_200_000_000 + h * 3_600_000_000 for h in range(10)])
+    assert facts.rdd.getNumPartitions() == 4 and facts.count() == 10
